@@ -7,41 +7,75 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from .values import q
 
-RANGES = 256
+RANGES = 256  # a power of two
 
 
-def ordered_ranges(df: DataFrame, order: str, out: str, partitions: int = RANGES) -> DataFrame:
-    """Tag rows with an ascending range number of a numeric column, from a sketch of it."""
-    points = [i / partitions for i in range(1, partitions)]
-    row = df.agg(F.percentile_approx(q(order), points, 10_000).alias("p")).first()
-    edges = sorted(set(row["p"] or []))
+def ordered_ranges(df: DataFrame, order: str, out: str, by: str | None = None) -> DataFrame:
+    """Tag rows with an ascending range number of a numeric column, from a sketch of it.
+
+    With ``by`` (a column with few values, such as a column name or a class) every
+    group gets ranges of its own.
+    """
+    points = [i / RANGES for i in range(1, RANGES)]
+    sketch = F.percentile_approx(q(order), points, 10_000)
+    if by:
+        cuts = df.groupBy(q(by).alias("__by")).agg(sketch.alias("__cuts"))
+        placed = df.join(F.broadcast(cuts), q(by) == F.col("__by")).withColumn(out, F.lit(0))  # one row per group
+        step = RANGES // 2
+        while step:  # binary search in the sorted cuts, as plain column expressions
+            nth = F.element_at("__cuts", F.col(out) + step)
+            placed = placed.withColumn(out, F.col(out) + F.when(nth <= q(order), step).otherwise(0))
+            step //= 2
+        return placed.select(*[q(c) for c in df.columns], out)
+    edges = sorted(set(df.agg(sketch.alias("p")).first()["p"] or []))
     splits = [float("-inf"), *[float(e) for e in edges], float("inf")]
     tagged = Bucketizer(splits=splits, inputCol="__ord", outputCol=out, handleInvalid="error") \
         .transform(df.withColumn("__ord", q(order).cast("double")))
     return tagged.drop("__ord").withColumn(out, F.col(out).cast("int"))
 
 
-def running_totals(df: DataFrame, order: str, totals: dict[str, str]) -> DataFrame:
+def running_totals(df: DataFrame, order: str, totals: dict[str, str], by: str | None = None) -> DataFrame:
     """Add, per row, the sum over all rows with a strictly smaller ``order`` value.
 
-    ``df`` has one row per ``order`` value (pre-aggregate first); ``totals`` maps
-    a new column name to the summed column.
+    ``df`` has one row per ``order`` value (per ``by`` group): pre-aggregate first.
+    ``totals`` maps a new column name to the summed column.
     """
-    ranged = ordered_ranges(df, order, "__range")
-    # at most RANGES rows: one per range
-    sums = ranged.groupBy("__range").agg(*[F.sum(q(c)).alias(f"__s_{n}") for n, c in totals.items()])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__range", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}")
-                                      for n in totals])
-    inner = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.join(F.broadcast(starts), "__range")
+    keys = [by] if by else []
+    ranged = ordered_ranges(df, order, "__range", by)
+    # at most RANGES rows per group
+    sums = ranged.groupBy(*keys, "__range").agg(*[F.sum(q(c)).alias(f"__s_{n}") for n, c in totals.items()])
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__range", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}")
+                                             for n in totals])
+    inner = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.join(F.broadcast(starts), [*keys, "__range"])
             .select(*df.columns,
                     *[(F.coalesce(F.sum(q(c)).over(inner), F.lit(0)) + F.col(f"__s_{n}")).alias(n)
                       for n, c in totals.items()]))
 
 
+def dense_codes(values: DataFrame, group: str, value: str) -> DataFrame:
+    """Number the distinct values of each group 0, 1, … in ascending order: ``(group, value, code)``.
+
+    Values are sorted over many tasks; each task numbers its own stretch and adds
+    the number of smaller values held by the tasks before it.
+    """
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stretched = materialize(
+        values.select(q(group), q(value)).where(q(value).isNotNull()).distinct()
+        .repartitionByRange(parts, group, value).withColumn("__part", F.spark_partition_id()), "codes")
+    sizes = stretched.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(group, "__part").orderBy(value)
+    return stretched.join(starts, [group, "__part"]).select(
+        group, value, (F.col("__start") + F.row_number().over(inside) - 1).alias("code"))
+
+
 def carry_forward(df: DataFrame, group: list[str], position: str, values: dict[str, Column],
                   chunk_rows: int = 100_000) -> DataFrame:
     """Last non-null value at or before each row, per group in ``position`` order.

@@ -319,7 +319,7 @@ def _compare_blocks(visits: DataFrame, blocked: DataFrame, rows: int, numbers: i
     """
     session = visits.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism,
-                min(20_000, rows // CELL_ROWS))
+                min(20_000, rows // (16 * CELL_ROWS)))
     loads = visits.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("chunks"))
     left = visits.join(loads, ["cell", "block"]).withColumn("chunk", F.pmod("qid", "chunks")).drop("chunks")
     right = blocked.join(loads, ["cell", "block"]) \

@@ -1,4 +1,4 @@
 """Ready-made queries; importing the package registers all of them."""
 
-from . import preparing, privacy  # noqa: F401
+from . import preparing, privacy, utility  # noqa: F401
 from .registry import QUERIES, SQL, runner  # noqa: F401
