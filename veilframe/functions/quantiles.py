@@ -31,45 +31,51 @@ class _Target:
     inside: int         # values in [low, high]
 
 
-def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
-                    weight: str | None = None) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], weight: str | dict[str, str] | None = None,
+                    facts: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles, the definition of numpy and ``percentile``.
 
-    ``weight`` names an integer column: each row then stands for that many copies.
+    ``weight`` names an integer column (or one per column): each row then stands for
+    that many copies. A ``facts`` dictionary is filled with ``n, min, max, mean, std``
+    of every column, which the first pass knows anyway (``std`` is not weighted).
     """
     if not probs:
         return {}
     cols = list(probs)
-    values = {c: as_number(c, df.schema[c].dataType) for c in cols}
-    base = df.select(*[values[c].alias(f"v{i}") for i, c in enumerate(cols)],
-                     (q(weight).cast("long") if weight else F.lit(1).cast("long")).alias("w"))
+    weights = weight if isinstance(weight, dict) else dict.fromkeys(cols, weight)
     index = {c: f"v{i}" for i, c in enumerate(cols)}
-
-    def held(cond_col: Column) -> Column:
-        return F.sum(F.when(cond_col, F.col("w")))
-
-    first = base.agg(*[held(F.col(index[c]).isNotNull()).alias(f"n{i}") for i, c in enumerate(cols)],
-                     *[F.min(index[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
-                     *[F.max(index[c]).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    copies = {c: f"w{sorted({w or '' for w in weights.values()}).index(weights[c] or '')}" for c in cols}
+    base = df.select(*[as_number(c, df.schema[c].dataType).alias(index[c]) for c in cols],
+                     *[(q(name) if name else F.lit(1)).cast("long").alias(f"w{k}")
+                       for k, name in enumerate(sorted({w or "" for w in weights.values()}))])
+    base = base.select(*[F.when(F.col(copies[c]) > 0, F.col(index[c])).alias(index[c]) for c in cols],
+                       *sorted(set(copies.values())))
+    first = base.agg(*[e for c in cols for v, w in [(F.col(index[c]), F.col(copies[c]))] for e in (
+        F.sum(F.when(v.isNotNull(), w)).alias(f"n_{index[c]}"), F.min(v).alias(f"lo_{index[c]}"), F.max(v).alias(f"hi_{index[c]}"),
+        *([(F.sum(v * w)).alias(f"m_{index[c]}"), F.stddev(v).alias(f"s_{index[c]}")] if facts is not None else []))]).first()
     targets: dict[tuple[str, int], _Target] = {}
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"] or 0
+    for c in cols:
+        v = index[c]
+        n = first[f"n_{v}"] or 0
+        if facts is not None:
+            facts[c] = {"n": n, "min": first[f"lo_{v}"], "max": first[f"hi_{v}"], "std": first[f"s_{v}"],
+                        "mean": first[f"m_{v}"] / n if n else None}
         for p in probs[c] if n else []:
             for rank in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                targets[(c, rank)] = _Target(c, rank, first[f"lo{i}"], first[f"hi{i}"], 0, n)
+                targets[(c, rank)] = _Target(c, rank, first[f"lo_{v}"], first[f"hi_{v}"], 0, n)
 
     margin = 4.0 / SKETCH_ACCURACY
     crowded = [t for t in targets.values() if t.inside > RANK_LIMIT and t.low < t.high]
     while crowded and margin < 0.5:
-        if not _narrow(base, index, crowded, margin):
+        if not _narrow(base, index, copies, crowded, margin):
             margin *= 8
         # a bracket of one single value needs no ranking, however many rows hold it
         crowded = [t for t in crowded if t.inside > RANK_LIMIT and t.low < t.high]
 
-    ranked = _pick(base, index, list(targets.values()))
+    ranked = _pick(base, index, copies, list(targets.values()))
     result: dict[str, list[float | None]] = {}
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"] or 0
+    for c in cols:
+        n = first[f"n_{index[c]}"] or 0
         out: list[float | None] = []
         for p in probs[c]:
             if not n:
@@ -83,7 +89,7 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
     return result
 
 
-def _narrow(base: DataFrame, index: dict[str, str], crowded: list[_Target], margin: float) -> bool:
+def _narrow(base: DataFrame, index: dict[str, str], copies: dict[str, str], crowded: list[_Target], margin: float) -> bool:
     """One sketch pass and one counting pass; True if some bracket became smaller."""
     sketches = []
     for i, t in enumerate(crowded):
@@ -96,10 +102,10 @@ def _narrow(base: DataFrame, index: dict[str, str], crowded: list[_Target], marg
     found = base.agg(*sketches).first()
     counts = []
     for i, t in enumerate(crowded):
-        v = F.col(index[t.column])
+        v, w = F.col(index[t.column]), F.col(copies[t.column])
         low, high = found[f"b{i}"]
-        counts.append(F.sum(F.when(v < low, F.col("w")).otherwise(0)).alias(f"u{i}"))
-        counts.append(F.sum(F.when((v >= low) & (v <= high), F.col("w")).otherwise(0)).alias(f"c{i}"))
+        counts.append(F.sum(F.when(v < low, w).otherwise(0)).alias(f"u{i}"))
+        counts.append(F.sum(F.when((v >= low) & (v <= high), w).otherwise(0)).alias(f"c{i}"))
     seen = base.agg(*counts).first()
     smaller = False
     for i, t in enumerate(crowded):
@@ -110,7 +116,8 @@ def _narrow(base: DataFrame, index: dict[str, str], crowded: list[_Target], marg
     return smaller
 
 
-def _pick(base: DataFrame, index: dict[str, str], targets: list[_Target]) -> dict[tuple[str, int], float]:
+def _pick(base: DataFrame, index: dict[str, str], copies: dict[str, str],
+          targets: list[_Target]) -> dict[tuple[str, int], float]:
     """Values at the wanted ranks; each bracket is ranked over its distinct values."""
     answer = {(t.column, t.rank): t.low for t in targets if t.low == t.high}
     todo = [t for t in targets if t.low < t.high]
@@ -123,10 +130,10 @@ def _pick(base: DataFrame, index: dict[str, str], targets: list[_Target]) -> dic
     for b, ((column, low, high), group) in enumerate(brackets.items()):
         v = F.col(index[column])
         entries.append(F.when((v >= low) & (v <= high),
-                              F.struct(F.lit(b).alias("b"), v.alias("v"))))
+                              F.struct(F.lit(b).alias("b"), v.alias("v"), F.col(copies[column]).alias("w"))))
         wanted += [(b, t) for t in group]
-    counted = (base.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), "w")
-               .groupBy("e.b", "e.v").agg(F.sum("w").alias("n")))
+    counted = (base.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+               .groupBy("e.b", "e.v").agg(F.sum("e.w").alias("n")))
     running = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("upto", F.sum("n").over(running))
     hit = F.lit(False)

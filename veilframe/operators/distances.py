@@ -10,7 +10,7 @@ from ..functions.hashing import row_hash
 from ..functions.ordered import running_totals
 from ..functions.quantiles import exact_quantiles
 from ..session import materialize
-from .encode import common_columns, encode, fit_encoder
+from .encode import Encoder, common_columns, encode, fit_encoder
 from .neighbours import fold, nearest_two
 from .split import sample_rows
 
@@ -30,66 +30,78 @@ def dcr(query: DataFrame, reference: DataFrame, keep: Sequence[str] = (), fit_on
     return rows.join(near, ["num", "cat"]).select(*keep, F.col("d1").alias("dcr"), "d2")
 
 
-def distance_frame(train: DataFrame, holdout: DataFrame, synth: DataFrame,
-                   columns: Sequence[str] | None = None) -> DataFrame:
+def shared_encoder(train: DataFrame, holdout: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None) -> Encoder:
+    """Encoder fitted on train for the given columns, by default those all three tables have."""
+    used = list(columns) if columns is not None else [c for c in common_columns(train, synth) if c in holdout.columns]
+    return fit_encoder(train.select(*used))
+
+
+def distance_frame(train: DataFrame, holdout: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None,
+                   encoder: Encoder | None = None) -> DataFrame:
     """Distances of synthetic and holdout vectors to train, searched once and written out:
     ``d1, d2, synth_rows, holdout_rows`` (how many rows each vector stands for)."""
-    used = list(columns) if columns is not None else [c for c in common_columns(train, synth) if c in holdout.columns]
-    encoder = fit_encoder(train.select(*used))
+    encoder = encoder or shared_encoder(train, holdout, synth, columns)
     both = encode(synth, encoder, [F.lit(1).alias("s")]).unionByName(encode(holdout, encoder, [F.lit(0).alias("s")]))
     queries = fold(both, synth_rows=F.col("s"), holdout_rows=1 - F.col("s"))
     near = nearest_two(materialize(queries, "vectors"), fold(encode(train, encoder)))
     return materialize(near.select("d1", "d2", "synth_rows", "holdout_rows"), "distances")
 
 
-def dcr_summary(distances: DataFrame) -> DataFrame:
-    """One row: min, median, mean, 5th percentile for synth→train and holdout→train, and
-    ``privacy_preserved``: synthetic rows are at the median not closer than holdout rows."""
-    out = {}
-    for side in ("synth", "holdout"):
-        weight = f"{side}_rows"
-        part = distances.where(F.col(weight) > 0)
-        cuts = exact_quantiles(part, {"d1": [0.5, 0.05]}, weight)["d1"]
-        facts = part.agg(F.min("d1").alias("least"), (F.sum(F.col("d1") * F.col(weight)) / F.sum(weight)).alias("mean")).first()
-        out[side] = (facts["least"], cuts[0], facts["mean"], cuts[1])
-    names = ("min", "median", "mean", "p5")
-    values = [F.round(F.lit(v).cast("double"), 6).alias(f"{side}_{n}") for side in out for n, v in zip(names, out[side])]
-    kept = F.lit(out["synth"][1]).cast("double") >= F.lit(out["holdout"][1]).cast("double")
-    return distances.sparkSession.range(1).select(*values, kept.alias("privacy_preserved"))
-
-
 def nndr_ratio():
     """d1 / d2, and 0 where d2 is 0."""
     return F.when(F.col("d2") > 0, F.col("d1") / F.col("d2")).otherwise(0.0)
 
 
+def distance_summary(distances: DataFrame) -> DataFrame:
+    """One row with everything below: ``dcr_summary`` and ``nndr_summary`` in the same passes."""
+    part = distances.select(F.col("d1").alias("synth"), F.col("d1").alias("holdout"), nndr_ratio().alias("ratio"),
+                            "synth_rows", "holdout_rows")
+    facts: dict[str, dict] = {}
+    cuts = exact_quantiles(part, {"synth": [0.5, 0.05], "holdout": [0.5, 0.05], "ratio": [0.5]},
+                           {"synth": "synth_rows", "holdout": "holdout_rows", "ratio": "synth_rows"}, facts)
+    number = lambda v: F.lit(v).cast("double")
+    values = []
+    for side in ("synth", "holdout"):
+        found = {"min": facts[side]["min"], "median": cuts[side][0], "mean": facts[side]["mean"], "p5": cuts[side][1]}
+        values += [F.round(number(v), 6).alias(f"{side}_{n}") for n, v in found.items()]
+    w = F.col("synth_rows")
+    share = F.sum(F.when(F.col("ratio") < 0.1, w).otherwise(0)) / F.sum(w)
+    return part.agg(*values, (number(cuts["synth"][0]) >= number(cuts["holdout"][0])).alias("privacy_preserved"),
+                    F.round(number(facts["ratio"]["mean"]), 6).alias("nndr_mean"),
+                    F.round(number(cuts["ratio"][0]), 6).alias("nndr_median"), F.round(share, 6).alias("nndr_share_below_0_1"))
+
+
+def dcr_summary(distances: DataFrame) -> DataFrame:
+    """One row: min, median, mean, 5th percentile for synth→train and holdout→train, and
+    ``privacy_preserved``: synthetic rows are at the median not closer than holdout rows."""
+    whole = distance_summary(distances)
+    return whole.select(*[c for c in whole.columns if not c.startswith("nndr_")])
+
+
 def nndr_summary(distances: DataFrame) -> DataFrame:
     """One row: mean, median and share below 0.1 of the synthetic rows' neighbour ratio."""
-    part = distances.where("synth_rows > 0").select(nndr_ratio().alias("ratio"), "synth_rows")
-    median = exact_quantiles(part, {"ratio": [0.5]}, "synth_rows")["ratio"][0]
-    w = F.col("synth_rows")
-    return part.agg(F.round(F.sum(F.col("ratio") * w) / F.sum(w), 6).alias("synth_mean"),
-                    F.round(F.lit(median).cast("double"), 6).alias("synth_median"),
-                    F.round(F.sum(F.when(F.col("ratio") < 0.1, w).otherwise(0)) / F.sum(w), 6).alias("share_below_0_1"))
+    return distance_summary(distances).select(F.col("nndr_mean").alias("synth_mean"), F.col("nndr_median").alias("synth_median"),
+                                              F.col("nndr_share_below_0_1").alias("share_below_0_1"))
 
 
 # ------------------------------------------------------ membership inference
 
 def mia_features(train: DataFrame, holdout: DataFrame, synth: DataFrame, sample_size: int | None = None,
-                 seed: int = 42, columns: Sequence[str] | None = None, member_order=None) -> DataFrame:
+                 seed: int = 42, columns: Sequence[str] | None = None, member_order=None,
+                 encoder: Encoder | None = None) -> DataFrame:
     """``distance, members, non_members``: how far equally many train and holdout rows
     are from the closest synthetic row; equal vectors are one row with counts.
 
     ``sample_size`` is an optional cap; by default the smaller of both sides is used whole.
     """
-    used = list(columns) if columns is not None else [c for c in common_columns(train, synth) if c in holdout.columns]
-    n = min(train.count(), holdout.count())
+    sizes = train.count(), holdout.count()
+    n = min(sizes)
     if sample_size:
         n = min(n, sample_size)
         synth = sample_rows(synth, sample_size, seed)
-    encoder = fit_encoder(train.select(*used))
-    picked = [sample_rows(d, n, seed, order=member_order if member_order is not None else row_hash(d.columns, seed))
-              for d in (train, holdout)]
+    encoder = encoder or shared_encoder(train, holdout, synth, columns)
+    picked = [sample_rows(d, n, seed, order=member_order if member_order is not None else row_hash(d.columns, seed), rows=rows)
+              for d, rows in zip((train, holdout), sizes)]
     both = encode(picked[0], encoder, [F.lit(1).alias("m")]).unionByName(encode(picked[1], encoder, [F.lit(0).alias("m")]))
     queries = fold(both, members=F.col("m"), non_members=1 - F.col("m"))
     near = nearest_two(materialize(queries, "members"), fold(encode(synth, encoder)))
@@ -129,7 +141,7 @@ def membership_inference(features: DataFrame, n_estimators: int = 100, folds: in
     ready = VectorAssembler(inputCols=["distance"], outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=n_estimators, maxDepth=max_depth, seed=seed)
     cv = CrossValidator(estimator=forest, estimatorParamMaps=[{}], evaluator=BinaryClassificationEvaluator(),
-                        numFolds=folds, foldCol="fold", parallelism=2).fit(
+                        numFolds=folds, foldCol="fold", parallelism=folds).fit(
         ready.select("features", "label", "fold"))
     tested = features.agg(F.sum("members").alias("n_members_tested"), F.sum("non_members").alias("n_non_members_tested"))
     auc = F.lit(float(cv.avgMetrics[0]))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.quantiles import exact_medians
+from ..functions.quantiles import exact_quantiles
 from ..functions.values import as_number, label_columns, nan_to_null, numeric_columns, q
 from .profile import _long
 
@@ -27,7 +27,7 @@ def _sides(real: DataFrame, synth: DataFrame, columns: list[str], kind: str) ->
 
 
 def jsd_numeric(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None,
-                bins: int = JSD_BINS) -> DataFrame:
+                bins: int = JSD_BINS, facts: dict[str, dict] | None = None) -> DataFrame:
     """``(column, jsd)``: Jensen-Shannon divergence of histograms over the joint range.
 
     Natural logarithm, so the range is 0 … ln 2. A little mass is added to every
@@ -37,16 +37,12 @@ def jsd_numeric(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None
     cols, _ = shared_columns(real, synth, columns)
     if not cols:
         return real.sparkSession.createDataFrame([], "column string, jsd double")
-    facts = []
-    for d in (real, synth):
-        v = {c: as_number(c, d.schema[c].dataType) for c in cols}
-        facts.append(d.agg(*[e for i, c in enumerate(cols) for e in (
-            F.min(v[c]).alias(f"lo{i}"), F.max(v[c]).alias(f"hi{i}"), F.count(v[c]).alias(f"n{i}"))]).first())
+    facts = facts if facts is not None else side_facts(real, synth, cols)[0]
     rows = []
     for i, c in enumerate(cols):
-        lows = [f[f"lo{i}"] for f in facts if f[f"lo{i}"] is not None]
-        highs = [f[f"hi{i}"] for f in facts if f[f"hi{i}"] is not None]
-        rows.append((c, min(lows, default=None), max(highs, default=None), facts[0][f"n{i}"], facts[1][f"n{i}"]))
+        r, s = facts[f"r{i}"], facts[f"s{i}"]
+        rows.append((c, min((f["min"] for f in (r, s) if f["n"]), default=None), max((f["max"] for f in (r, s) if f["n"]), default=None),
+                     r["n"], s["n"]))
     spans = real.sparkSession.createDataFrame(rows, "column string, lo double, hi double, nr long, ns long")
     width = (F.col("hi") - F.col("lo")) / bins
     wide = [(c, lo, (hi - lo) / bins) for c, lo, hi, *_ in rows if lo is not None and hi > lo]
@@ -77,22 +73,30 @@ def jsd_numeric(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None
         "column", F.when((F.col("nr") > 0) & (F.col("ns") > 0), F.coalesce("d", F.lit(0.0))).alias("jsd"))
 
 
-def stat_deltas(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def side_facts(real: DataFrame, synth: DataFrame, cols: Sequence[str], median: bool = False) -> tuple[dict, dict]:
+    """Facts (n, min, max, mean, std) and medians of numeric columns, both tables in the same
+    passes: column i of the real table is ``r{i}``, of the synthetic table ``s{i}``."""
+    def part(d: DataFrame, mine: str, other: str) -> DataFrame:
+        return d.select(*[as_number(c, d.schema[c].dataType).alias(f"{mine}{i}") for i, c in enumerate(cols)],
+                        *[F.lit(None).cast("double").alias(f"{other}{i}") for i in range(len(cols))])
+
+    facts: dict[str, dict] = {}
+    both = part(real, "r", "s").unionByName(part(synth, "s", "r"))
+    found = exact_quantiles(both, {f"{side}{i}": [0.5] if median else [] for i in range(len(cols)) for side in "rs"}, facts=facts)
+    return facts, {c: v[0] for c, v in found.items()} if median else {}
+
+
+def stat_deltas(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None, known: tuple[dict, dict] | None = None) -> DataFrame:
     """``(column, mean_delta, std_delta, median_delta)``, real minus synthetic, 4 digits."""
+    schema = "column string, mean_delta double, std_delta double, median_delta double"
     cols, _ = shared_columns(real, synth, columns)
     if not cols:
-        return real.sparkSession.createDataFrame(
-            [], "column string, mean_delta double, std_delta double, median_delta double")
-    rows = []
-    for d in (real, synth):
-        v = {c: as_number(c, d.schema[c].dataType) for c in cols}
-        medians = exact_medians(d, cols)
-        row = d.agg(*[e for i, c in enumerate(cols) for e in (
-            F.avg(v[c]).alias(f"m{i}"), F.stddev(v[c]).alias(f"s{i}"))]).first()
-        rows.append([(row[f"m{i}"], row[f"s{i}"], medians[c]) for i, c in enumerate(cols)])
+        return real.sparkSession.createDataFrame([], schema)
+    facts, medians = known or side_facts(real, synth, cols, median=True)
     gap = lambda a, b: None if a is None or b is None else float(a) - float(b)
-    data = [(c, *[gap(a, b) for a, b in zip(rows[0][i], rows[1][i])]) for i, c in enumerate(cols)]
-    frame = real.sparkSession.createDataFrame(data, "column string, mean_delta double, std_delta double, median_delta double")
+    data = [(c, gap(facts[f"r{i}"]["mean"], facts[f"s{i}"]["mean"]), gap(facts[f"r{i}"]["std"], facts[f"s{i}"]["std"]),
+             gap(medians[f"r{i}"], medians[f"s{i}"])) for i, c in enumerate(cols)]
+    frame = real.sparkSession.createDataFrame(data, schema)
     return frame.select("column", *[F.round(c, 4).alias(c) for c in frame.columns[1:]])
 
 
@@ -114,16 +118,23 @@ def marginal_report(real: DataFrame, synth: DataFrame, columns: Sequence[str] |
     """Long form ``(kind, column, metric, value)`` of all column comparisons."""
     long = lambda d, kind, names: d.unpivot("column", names, "metric", "value") \
         .select(F.lit(kind).alias("kind"), "column", "metric", "value")
-    jsd = jsd_numeric(real, synth, columns).withColumn("jsd", F.round("jsd", 6))
+    cols, _ = shared_columns(real, synth, columns)
+    known = side_facts(real, synth, cols, median=True) if cols else ({}, {})
+    jsd = jsd_numeric(real, synth, columns, facts=known[0]).withColumn("jsd", F.round("jsd", 6))
     tvd = tvd_categorical(real, synth, columns).withColumn("tvd", F.round("tvd", 6))
-    return (long(jsd, "numerical", ["jsd"])
-            .unionByName(long(stat_deltas(real, synth, columns), "numerical", ["mean_delta", "std_delta", "median_delta"]))
+    deltas = stat_deltas(real, synth, columns, known)
+    return (long(jsd, "numerical", ["jsd"]).unionByName(long(deltas, "numerical", ["mean_delta", "std_delta", "median_delta"]))
             .unionByName(long(tvd, "categorical", ["tvd"])))
 
 
+def summary_of(report: DataFrame) -> DataFrame:
+    """One row: mean_jsd and mean_tvd of a ``marginal_report`` (NULL without such columns)."""
+    mean = lambda m: F.round(F.avg(F.when(F.col("metric") == m, F.col("value"))), 6).alias(f"mean_{m}")
+    return report.agg(mean("jsd"), mean("tvd"))
+
+
 def marginal_summary(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: mean_jsd and mean_tvd over the rounded column values (NULL without columns)."""
-    both = (jsd_numeric(real, synth, columns).select(F.round("jsd", 6).alias("jsd"), F.lit(None).cast("double").alias("tvd"))
-            .unionByName(tvd_categorical(real, synth, columns)
-                         .select(F.lit(None).cast("double").alias("jsd"), F.round("tvd", 6).alias("tvd"))))
-    return both.agg(F.round(F.avg("jsd"), 6).alias("mean_jsd"), F.round(F.avg("tvd"), 6).alias("mean_tvd"))
+    both = (jsd_numeric(real, synth, columns).select(F.lit("jsd").alias("metric"), F.round("jsd", 6).alias("value"))
+            .unionByName(tvd_categorical(real, synth, columns).select(F.lit("tvd").alias("metric"), F.round("tvd", 6).alias("value"))))
+    return summary_of(both)

@@ -61,10 +61,15 @@ def _orderable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, order: Column | None = None) -> DataFrame:
-    """Exactly ``n`` rows without replacement; all rows if ``n`` is 0 or not smaller."""
-    rows = df.count()
-    if n <= 0 or n >= rows:
+def sample_rows(df: DataFrame, n: int, seed: int = 42, order: Column | None = None, rows: int | None = None) -> DataFrame:
+    """Exactly ``n`` rows without replacement; all rows if ``n`` is 0 or not smaller.
+
+    ``rows`` saves counting when the size of ``df`` is known.
+    """
+    if n <= 0:
+        return df
+    rows = df.count() if rows is None else rows
+    if n >= rows:
         return df
     spark = df.sparkSession
     quota = spark.createDataFrame([(0, n)], "__qg int, __quota long")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators import anonymity, association, distances, efficacy, marginals
 from ..operators.verdict import DP_FIELDS, Thresholds, verdict
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -58,15 +59,17 @@ def privacy_report(train: DataFrame, holdout: DataFrame, synth: DataFrame, confi
     metadata = F.struct(_rows(train).alias("real_train_rows"), _rows(holdout).alias("real_holdout_rows"), _rows(synth).alias("synth_rows"))
     null = F.lit(None)
     distance = attack = classical = null
+    encoder = distances.shared_encoder(train, holdout, synth, config.columns) if config.compute_distance or config.compute_mia else None
     if config.compute_distance:
-        frame = distances.distance_frame(train, holdout, synth, config.columns)
-        d = one_row(distances.dcr_summary(frame))
+        frame = distances.distance_frame(train, holdout, synth, encoder=encoder)
+        d = one_row(distances.distance_summary(frame))
         side = lambda s: F.struct(*[d[f"{s}_{n}"].alias(n) for n in ("min", "median", "mean", "p5")])
-        n = one_row(distances.nndr_summary(frame))
+        n = F.struct(*[d[f"nndr_{n}"].alias(a) for n, a in (("mean", "synth_mean"), ("median", "synth_median"),
+                                                            ("share_below_0_1", "share_below_0_1"))])
         distance = F.struct(F.struct(side("synth").alias("synth_to_real"), side("holdout").alias("holdout_to_real"),
                                      d["privacy_preserved"].alias("privacy_preserved")).alias("dcr"), n.alias("nndr"))
     if config.compute_mia:
-        features = distances.mia_features(train, holdout, synth, config.mia_sample_size, config.seed, config.columns)
+        features = distances.mia_features(train, holdout, synth, config.mia_sample_size, config.seed, encoder=encoder)
         attack = one_row(distances.membership_inference(features, config.mia_n_estimators, seed=config.seed))
     if config.compute_classical and config.quasi_identifiers and config.sensitive_attribute:
         classical = one_row(anonymity.classical_metrics(synth, config.quasi_identifiers, config.sensitive_attribute,
@@ -106,9 +109,9 @@ def utility_report(train: DataFrame, synth: DataFrame, test: DataFrame, config:
                         F.lit(config.task).alias("task_type"))
     statistical = correlations = ml = F.lit(None)
     if config.compute_statistical:
-        per_column = marginals.marginal_report(train, synth, columns).agg(
-            F.collect_list(F.struct("kind", "column", "metric", "value"))).scalar()  # a few entries per column
-        statistical = F.struct(per_column.alias("columns"), one_row(marginals.marginal_summary(train, synth, columns)).alias("summary"))
+        compared = materialize(marginals.marginal_report(train, synth, columns), "marginals")
+        per_column = compared.agg(F.collect_list(F.struct("kind", "column", "metric", "value"))).scalar()  # a few entries per column
+        statistical = F.struct(per_column.alias("columns"), one_row(marginals.summary_of(compared)).alias("summary"))
     if config.compute_correlations:
         correlations = F.struct(association.pearson_mae(train, synth, columns).select("pearson_corr_mae").scalar().alias("pearson_corr_mae"),
                                 association.cramers_v_mae(train, synth, columns).scalar().alias("cramers_v_mae"))
@@ -161,14 +164,15 @@ def scorecard(train: DataFrame, holdout: DataFrame, synth: DataFrame, qi: Sequen
         wide = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
         return wide.unpivot([], wide.columns, "metric", "value").select(F.lit(section).alias("section"), F.lit("").alias("column"), "metric", "value")
 
-    frame = distances.distance_frame(train, holdout, synth, columns)
-    attack = distances.mia_rank_auc(distances.mia_features(train, holdout, synth, columns=columns))
+    encoder = distances.shared_encoder(train, holdout, synth, columns)
+    frame = distances.distance_frame(train, holdout, synth, encoder=encoder)
+    attack = distances.mia_rank_auc(distances.mia_features(train, holdout, synth, encoder=encoder))
+    compared = materialize(marginals.marginal_report(train, synth, columns), "marginals")
     parts = [
-        marginals.marginal_report(train, synth, columns).select(F.col("kind").alias("section"), "column", "metric", "value"),
-        long(marginals.marginal_summary(train, synth, columns), "summary"),
+        compared.select(F.col("kind").alias("section"), "column", "metric", "value"), long(marginals.summary_of(compared), "summary"),
         long(association.pearson_mae(train, synth, columns), "correlation"), long(association.cramers_v_mae(train, synth, columns), "correlation"),
         long(anonymity.classical_metrics(synth, qi, sensitive, train.unionByName(holdout)), "anonymity"),
-        long(distances.dcr_summary(frame), "dcr"), long(distances.nndr_summary(frame), "nndr"), long(attack, "attack")]
+        long(distances.distance_summary(frame), "distance"), long(attack, "attack")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

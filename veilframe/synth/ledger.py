@@ -25,7 +25,7 @@ def epsilon_of(rho: float, delta: float) -> float:
 def rho_of(epsilon: float, delta: float) -> float:
     """The largest rho whose epsilon stays within ``epsilon``."""
     log = math.log(1.0 / delta)
-    return (math.sqrt(log + epsilon) - math.sqrt(log)) ** 2
+    return (math.sqrt(log + epsilon) - math.sqrt(log)) ** 2 * (1 - 1e-9)  # room for rounding
 
 
 def budget_ledger(releases: DataFrame) -> DataFrame:

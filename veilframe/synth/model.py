@@ -58,9 +58,7 @@ def normal_cdf(z: Column) -> Column:
     # The published coefficients.
     p, coefficients = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(p) * F.abs(z))
-    tail = F.lit(0.0)
-    for c in reversed(coefficients):
-        tail = (tail + F.lit(c)) * t
+    tail = sum((F.lit(c) * F.pow(t, F.lit(float(k + 1))) for k, c in enumerate(coefficients)), F.lit(0.0))
     upper = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * tail
     return F.least(F.when(z >= 0, 1 - upper).otherwise(upper), F.lit(1.0 - 2.0 ** -53))
 
@@ -96,17 +94,21 @@ class Model:
         seed = seed if seed is not None else (self.seed or 0)
         if condition is None:
             return self._draw(0, n, seed).drop("__id")
-        kept, have = [], 0
-        for attempt in range(max_tries):
-            part = self._draw(attempt * n, (attempt + 1) * n, seed).where(F.expr(condition))
+        kept, have, start, size = [], 0, 0, n
+        for _ in range(max_tries):
+            part = self._draw(start, start + size, seed).where(F.expr(condition))
             found = part.count()
+            start += size
+            # the next round is as large as the share kept so far suggests
+            share = max((have + found) / start, 0.25 / start)
             if have + found > n:
-                part, found = sample_rows(part, n - have, order=key_hash("__id")), n - have
+                part, found = sample_rows(part, n - have, order=key_hash("__id"), rows=found), n - have
             if found:
                 kept.append(part)
                 have += found
             if have == n:
                 break
+            size = min(100 * n, math.ceil(1.2 * (n - have) / share) + 10)
         if not kept:
             return self._draw(0, 1, seed).drop("__id").limit(0)
         out = kept[0]
@@ -119,15 +121,14 @@ class Model:
         tasks = max(spark.sparkContext.defaultParallelism, math.ceil((end - start) / ROWS_PER_TASK))
         rows = spark.range(start, end, 1, tasks).withColumnRenamed("id", "__id")
         at = {c: i for i, (c, _) in enumerate(self.order)}
+        if self.factor is not None:  # correlated normals, one projection per step so that no step is repeated
+            d = len(self.order)
+            rows = rows.select("__id", *[standard_normal(seed, j, F.col("__id")).alias(f"__e{j}") for j in range(d)])
+            rows = rows.select("__id", *[sum((F.lit(float(w)) * F.col(f"__e{j}") for j, w in enumerate(self.factor[i][:i + 1])), F.lit(0.0))
+                                         .alias(f"__z{i}") for i in range(d)])
+            rows = rows.select("__id", *[normal_cdf(F.col(f"__z{i}")).alias(f"__u{i}") for i in range(d)])
         for i, (column, parent) in enumerate(self.order):
-            if self.factor is not None:
-                z = F.lit(0.0)
-                for j, weight in enumerate(self.factor[i][:i + 1]):
-                    if weight:
-                        z = z + F.lit(float(weight)) * standard_normal(seed, j, F.col("__id"))
-                u = normal_cdf(z)
-            else:
-                u = uniform(seed, "t", column, F.col("__id"))
+            u = F.col(f"__u{i}") if self.factor is not None else uniform(seed, "t", column, F.col("__id"))
             k = self.slots[column]
             table = self.cells.where(F.col("target") == column).select(
                 F.col("parent_token").alias("__p"), F.col("token").alias(f"__t{i}"), F.col("a").alias("__a"), F.col("b").alias("__b"),
@@ -136,7 +137,7 @@ class Model:
             drawn = rows.withColumns({"__u": u, "__given": given}).withColumn("__slot", F.floor(F.col("__u") * k))
             rows = (drawn.join(table, (F.col("__given") == F.col("__p")) & (F.col("__slot") == F.col("__s"))
                                & (F.col("__u") >= F.col("__a")) & (F.col("__u") < F.col("__b")))
-                    .select(*rows.columns, f"__t{i}"))
+                    .select(*[c for c in rows.columns if c != f"__u{i}"], f"__t{i}"))
         return rows.select("__id", *[
             detokenize(F.col(f"__t{at[s.name]}"), s, uniform(seed, "v", s.name, F.col("__id"))).alias(s.name) for s in self.specs])
 
