@@ -27,9 +27,3 @@ def uniform(*parts: Column | int | str) -> Column:
     """Number in [0, 1) determined by ``parts`` (53 bits of a 64-bit hash)."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") * F.lit(2.0 ** -53)
-
-
-def standard_normal(*parts: Column | int | str) -> Column:
-    """Standard normal number determined by ``parts`` (Box-Muller)."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(F.lit("r"), *parts)))
-    return radius * F.cos(F.lit(2.0) * F.pi() * uniform(F.lit("a"), *parts))

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .values import as_number, q
 
-SKETCH_ACCURACY = 10_000
-RANK_LIMIT = 200_000  # values one ranking task may be given
+SKETCH_ACCURACY = 5_000
+RANK_LIMIT = 1_000_000  # values one ranking task may be given
 
 
 @dataclass
@@ -91,28 +91,32 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], weight: str |
 
 def _narrow(base: DataFrame, index: dict[str, str], copies: dict[str, str], crowded: list[_Target], margin: float) -> bool:
     """One sketch pass and one counting pass; True if some bracket became smaller."""
+    # targets that still share a bracket share its sketch
+    shared: dict[tuple, list[_Target]] = {}
+    for t in crowded:
+        shared.setdefault((t.column, t.low, t.high), []).append(t)
     sketches = []
-    for i, t in enumerate(crowded):
-        v = F.col(index[t.column])
-        place = (t.rank - t.below) / t.inside
-        inside = F.when((v >= t.low) & (v <= t.high), v)
-        sketches.append(F.percentile_approx(
-            inside, [max(0.0, place - margin), min(1.0, place + margin)],
-            SKETCH_ACCURACY).alias(f"b{i}"))
-    found = base.agg(*sketches).first()
+    for b, ((column, low, high), group) in enumerate(shared.items()):
+        v = F.col(index[column])
+        points = [x for t in group for place in [(t.rank - t.below) / t.inside]
+                  for x in (max(0.0, place - margin), min(1.0, place + margin))]
+        sketches.append(F.percentile_approx(F.when((v >= low) & (v <= high), v), points, SKETCH_ACCURACY).alias(f"b{b}"))
+    row = base.agg(*sketches).first()
+    found = {id(t): row[f"b{b}"][2 * k:2 * k + 2] for b, group in enumerate(shared.values()) for k, t in enumerate(group)}
     counts = []
     for i, t in enumerate(crowded):
         v, w = F.col(index[t.column]), F.col(copies[t.column])
-        low, high = found[f"b{i}"]
+        low, high = found[id(t)]
         counts.append(F.sum(F.when(v < low, w).otherwise(0)).alias(f"u{i}"))
         counts.append(F.sum(F.when((v >= low) & (v <= high), w).otherwise(0)).alias(f"c{i}"))
     seen = base.agg(*counts).first()
     smaller = False
     for i, t in enumerate(crowded):
         below, inside = seen[f"u{i}"], seen[f"c{i}"]
-        if below <= t.rank < below + inside and (inside < t.inside or found[f"b{i}"][0] == found[f"b{i}"][1]):
+        low, high = found[id(t)]
+        if below <= t.rank < below + inside and (inside < t.inside or low == high):
             smaller = True
-            t.low, t.high, t.below, t.inside = *found[f"b{i}"], below, inside
+            t.low, t.high, t.below, t.inside = low, high, below, inside
     return smaller
 
 

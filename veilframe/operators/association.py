@@ -7,37 +7,67 @@ combination table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import as_number, nan_to_null, q
 from .marginals import shared_columns
 
-_PAIRS_PER_AGGREGATE = 200
+_PAIRS_PER_AGGREGATE = 10  # wider aggregates are slower than one pass of matrix products
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(a, b, r)`` for every pair, over the rows where both are present; NULL if a
-    column is constant there."""
+    column is constant there.
+
+    A few pairs are one aggregate. Many pairs come from matrix products over Arrow
+    batches: a task returns one row of sums per pair, whatever its number of rows.
+    """
     pairs = list(combinations(columns, 2))
-    value = {c: as_number(c, df.schema[c].dataType) for c in columns}
-    frames = []
-    for start in range(0, len(pairs), _PAIRS_PER_AGGREGATE):
-        structs = []
-        for a, b in pairs[start:start + _PAIRS_PER_AGGREGATE]:
-            x = F.when(value[b].isNotNull(), value[a])
-            y = F.when(value[a].isNotNull(), value[b])
-            r = F.try_divide(F.covar_samp(x, y), F.stddev(x) * F.stddev(y))
-            structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-        frames.append(df.agg(F.array(*structs).alias("p")).select(F.inline("p")))
-    if not frames:
+    if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    value = {c: as_number(c, df.schema[c].dataType) for c in columns}
+    if len(pairs) > _PAIRS_PER_AGGREGATE:
+        return _pearson_products(df, list(columns), value)
+    structs = []
+    for a, b in pairs:
+        x = F.when(value[b].isNotNull(), value[a])
+        y = F.when(value[a].isNotNull(), value[b])
+        r = F.try_divide(F.covar_samp(x, y), F.stddev(x) * F.stddev(y))
+        structs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+    return df.agg(F.array(*structs).alias("p")).select(F.inline("p"))
+
+
+def _pearson_products(df: DataFrame, columns: list[str], value: dict) -> DataFrame:
+    """Pairwise-complete sums as matrix products. Values are centred first, so that large
+    offsets cost no digits."""
+    means = df.agg(*[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centred = df.select(*[(value[c] - F.lit(means[i] or 0.0)).alias(f"v{i}") for i, c in enumerate(columns)])
+    upper = np.triu_indices(len(columns), k=1)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(columns), len(columns)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            here = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            total += [here.T @ here, x.T @ here, here.T @ x, (x * x).T @ here, here.T @ (x * x), x.T @ x]
+        yield pa.RecordBatch.from_arrays([pa.array(upper[0]), pa.array(upper[1]), *[pa.array(t[upper]) for t in total]],
+                                         names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = centred.mapInArrow(products, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = lambda sq, v: F.col("n") * F.col(sq) - F.col(v) * F.col(v)
+    # what is left of a constant column after rounding is not a spread
+    real = lambda sq, v: F.when(spread(sq, v) > 1e-12 * F.col("n") * F.col(sq), spread(sq, v))
+    r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(real("xx", "x") * real("yy", "y"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return s.select(F.element_at(names, F.col("i").cast("int") + 1).alias("a"), F.element_at(names, F.col("j").cast("int") + 1).alias("b"),
+                    F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(F.col("n") > 1, r))).alias("r"))
 
 
 def pearson_mae(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

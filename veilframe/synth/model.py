@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.hashing import standard_normal, uniform
+from ..functions.hashing import uniform
 from ..functions.values import q
 from ..operators.split import sample_rows
 from ..functions.hashing import key_hash
@@ -53,14 +56,29 @@ def slot_counts(cells: DataFrame) -> dict[str, int]:
     return {r["target"]: int(min(MAX_SLOTS, max(16, 1 << math.ceil(math.log2(r["n"]))))) for r in sizes.collect()}  # one row per column
 
 
-def normal_cdf(z: Column) -> Column:
+def normal_cdf(z: np.ndarray) -> np.ndarray:
     """Standard normal distribution function (Abramowitz & Stegun 26.2.17, error below 7.5e-8)."""
     # The published coefficients.
     p, coefficients = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(p) * F.abs(z))
-    tail = sum((F.lit(c) * F.pow(t, F.lit(float(k + 1))) for k, c in enumerate(coefficients)), F.lit(0.0))
-    upper = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * tail
-    return F.least(F.when(z >= 0, 1 - upper).otherwise(upper), F.lit(1.0 - 2.0 ** -53))
+    t = 1.0 / (1.0 + p * np.abs(z))
+    upper = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * sum(c * t ** (k + 1) for k, c in enumerate(coefficients))
+    return np.minimum(np.where(z >= 0, 1.0 - upper, upper), 1.0 - 2.0 ** -53)
+
+
+def _correlated(rows: DataFrame, factor: np.ndarray, seed: int) -> DataFrame:
+    """Columns ``__u0 …``: places in [0, 1) of correlated normals. The numbers are hashes of the
+    row id, so they do not depend on partitioning; the matrix product runs on Arrow batches."""
+    d = len(factor)
+    drawn = rows.select("__id", *[uniform(seed, part, j, F.col("__id")).alias(f"__{part}{j}") for part in "ra" for j in range(d)])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.column_stack([c.to_numpy() for c in b.columns[1:]]) if b.num_rows else np.empty((0, 2 * d))
+            normal = np.sqrt(-2.0 * np.log(1.0 - raw[:, :d])) * np.cos(2.0 * np.pi * raw[:, d:])
+            u = normal_cdf(normal @ factor.T)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(u[:, i]) for i in range(d)]], names=["__id", *[f"__u{i}" for i in range(d)]])
+
+    return drawn.mapInArrow(place, "__id long, " + ", ".join(f"__u{i} double" for i in range(d)))
 
 
 @dataclass
@@ -121,12 +139,8 @@ class Model:
         tasks = max(spark.sparkContext.defaultParallelism, math.ceil((end - start) / ROWS_PER_TASK))
         rows = spark.range(start, end, 1, tasks).withColumnRenamed("id", "__id")
         at = {c: i for i, (c, _) in enumerate(self.order)}
-        if self.factor is not None:  # correlated normals, one projection per step so that no step is repeated
-            d = len(self.order)
-            rows = rows.select("__id", *[standard_normal(seed, j, F.col("__id")).alias(f"__e{j}") for j in range(d)])
-            rows = rows.select("__id", *[sum((F.lit(float(w)) * F.col(f"__e{j}") for j, w in enumerate(self.factor[i][:i + 1])), F.lit(0.0))
-                                         .alias(f"__z{i}") for i in range(d)])
-            rows = rows.select("__id", *[normal_cdf(F.col(f"__z{i}")).alias(f"__u{i}") for i in range(d)])
+        if self.factor is not None:
+            rows = _correlated(rows, np.array(self.factor), seed)
         for i, (column, parent) in enumerate(self.order):
             u = F.col(f"__u{i}") if self.factor is not None else uniform(seed, "t", column, F.col("__id"))
             k = self.slots[column]
