@@ -67,7 +67,7 @@ def _pearson_products(df: DataFrame, columns: list[str], value: dict) -> DataFra
     r = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(real("xx", "x") * real("yy", "y"))
     names = F.array(*[F.lit(c) for c in columns])
     return s.select(F.element_at(names, F.col("i").cast("int") + 1).alias("a"), F.element_at(names, F.col("j").cast("int") + 1).alias("b"),
-                    F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(F.col("n") > 1, r))).alias("r"))
+                    F.when((F.col("n") > 1) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def pearson_mae(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
