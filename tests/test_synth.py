@@ -156,7 +156,7 @@ def test_sql_records_and_publish(spark, tmp_path):
 
 def test_registry(spark, tmp_path):
     reg = registry.ProcessRegistry(spark, f"{tmp_path}/registry")
-    reg.start("p1", "/data/adult.csv", "configs/a.yaml")
+    reg.start("p1", "/data/census.csv", "configs/a.yaml")
     reg.add_metadata("p1", "privacy_report", {"auc": float("nan"), "deep": [float("inf"), 1.0]})
     reg.start("p2", "/data/other.csv", "configs/b.yaml")
     reg.add_log("p1", "all good")
@@ -166,7 +166,7 @@ def test_registry(spark, tmp_path):
     assert json.loads(got["p1"]["privacy_report"]) == {"auc": None, "deep": [None, 1.0]}
     assert got["p2"]["status"] == "RUNNING" and got["p2"]["end_time"] is None and got["p2"]["privacy_report"] is None
     parsed = {r["run_id"]: r for r in runs.parse_process_status(reg.state()).collect()}
-    assert (parsed["p1"]["status"], parsed["p1"]["verdict"], parsed["p1"]["dataset_name"]) == ("completed", "PASS", "adult")
+    assert (parsed["p1"]["status"], parsed["p1"]["verdict"], parsed["p1"]["dataset_name"]) == ("completed", "PASS", "census")
     assert parsed["p2"]["status"] == "running" and parsed["p2"]["duration_sec"] is None
 
 

@@ -23,7 +23,7 @@ def ordered_ranges(df: DataFrame, order: str, out: str, by: str | None = None) -
     sketch = F.percentile_approx(q(order), points, 10_000)
     if by:
         cuts = df.groupBy(q(by).alias("__by")).agg(sketch.alias("__cuts"))
-        placed = df.join(F.broadcast(cuts), q(by) == F.col("__by")).withColumn(out, F.lit(0))  # one row per group
+        placed = df.join(cuts, q(by) == F.col("__by")).withColumn(out, F.lit(0))
         step = RANGES // 2
         while step:  # binary search in the sorted cuts, as plain column expressions
             nth = F.element_at("__cuts", F.col(out) + step)
@@ -51,7 +51,8 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, str], by: str |
     starts = sums.select(*keys, "__range", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}")
                                              for n in totals])
     inner = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.join(F.broadcast(starts), [*keys, "__range"])
+    starts = starts if by else F.broadcast(starts)  # at most RANGES rows
+    return (ranged.join(starts, [*keys, "__range"])
             .select(*df.columns,
                     *[(F.coalesce(F.sum(q(c)).over(inner), F.lit(0)) + F.col(f"__s_{n}")).alias(n)
                       for n, c in totals.items()]))

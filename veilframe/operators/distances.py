@@ -43,7 +43,7 @@ def distance_frame(train: DataFrame, holdout: DataFrame, synth: DataFrame, colum
     encoder = encoder or shared_encoder(train, holdout, synth, columns)
     both = encode(synth, encoder, [F.lit(1).alias("s")]).unionByName(encode(holdout, encoder, [F.lit(0).alias("s")]))
     queries = fold(both, synth_rows=F.col("s"), holdout_rows=1 - F.col("s"))
-    near = nearest_two(materialize(queries, "vectors"), fold(encode(train, encoder)))
+    near = nearest_two(queries, fold(encode(train, encoder)))
     return materialize(near.select("d1", "d2", "synth_rows", "holdout_rows"), "distances")
 
 
@@ -104,7 +104,7 @@ def mia_features(train: DataFrame, holdout: DataFrame, synth: DataFrame, sample_
               for d, rows in zip((train, holdout), sizes)]
     both = encode(picked[0], encoder, [F.lit(1).alias("m")]).unionByName(encode(picked[1], encoder, [F.lit(0).alias("m")]))
     queries = fold(both, members=F.col("m"), non_members=1 - F.col("m"))
-    near = nearest_two(materialize(queries, "members"), fold(encode(synth, encoder)))
+    near = nearest_two(queries, fold(encode(synth, encoder)))
     return materialize(near.select(F.col("d1").alias("distance"), "members", "non_members"), "attack")
 
 

@@ -181,12 +181,14 @@ def nearest_two(queries: DataFrame, reference: DataFrame) -> DataFrame:
     ``reference`` is a folded table with ``copies``. Without a second reference row
     ``d2`` is infinite.
     """
+    asked = materialize(queries.withColumn("qid", F.monotonically_increasing_id()), "queries")
     ref = materialize(reference.select("num", "cat", "copies"), "reference")
     sizes = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("num")).alias("a"), F.max(F.size("cat")).alias("b")).first()
     rows, numbers, cats = sizes["n"], sizes["a"] or 0, sizes["b"] or 0
     if rows <= BROADCAST_ROWS and rows * (numbers + cats + 1) <= BROADCAST_VALUES:
-        return _against_small(queries, ref, numbers, cats)
-    return _against_cells(queries, ref, rows, numbers, cats)
+        return _against_small(asked.drop("qid"), ref, numbers, cats)
+    near = _against_cells(asked.select("num", "cat", "qid"), ref, rows, numbers, cats)
+    return asked.join(near, "qid").drop("qid")
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -232,7 +234,8 @@ def learn_cells(ref: DataFrame, rows: int, numbers: int, cats: int) -> Cells:
                  _matrix(table["cat"], n, np.int64).reshape(n, cats), wanted)
 
 
-def _against_cells(queries: DataFrame, ref: DataFrame, rows: int, numbers: int, cats: int) -> DataFrame:
+def _against_cells(numbered: DataFrame, ref: DataFrame, rows: int, numbers: int, cats: int) -> DataFrame:
+    """``(qid, d1, d2)`` of numbered query vectors."""
     spark = ref.sparkSession
     cells = spark.sparkContext.broadcast(learn_cells(ref, rows, numbers, cats))
 
@@ -257,8 +260,6 @@ def _against_cells(queries: DataFrame, ref: DataFrame, rows: int, numbers: int,
         [(r["cell"], r["blocks"]) for r in found], "cell long, blocks long")), "cell") \
         .withColumn("block", F.pmod(F.xxhash64("num", "cat"), F.col("blocks"))).drop("blocks")
 
-    numbered = materialize(queries.select("num", "cat").withColumn("qid", F.monotonically_increasing_id()), "queries")
-
     def best_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = boxes.value
         for b in batches:
@@ -303,11 +304,7 @@ def _against_cells(queries: DataFrame, ref: DataFrame, rows: int, numbers: int,
     visits = materialize(_spread(first).mapInArrow(
         other_cells, "num array<double>, cat array<long>, qid long, cell long, block long"), "visits")
     more = _compare_blocks(visits, blocked, rows, numbers, cats, with_vectors=False)
-    merged = _merge(first.select("qid", "s1", "s2").unionByName(more))
-    vectors_of = numbered.join(merged, "qid").drop("qid")
-    if set(queries.columns) == {"num", "cat"}:
-        return vectors_of
-    return queries.join(vectors_of, ["num", "cat"])
+    return _merge(first.select("qid", "s1", "s2").unionByName(more))
 
 
 def _compare_blocks(visits: DataFrame, blocked: DataFrame, rows: int, numbers: int, cats: int,

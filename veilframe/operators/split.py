@@ -101,11 +101,13 @@ def stratified_split(df: DataFrame, target: str, holdout: float = 0.2, seed: int
     """
     _check_share(holdout)
     sizes = df.groupBy(q(target).alias("__qg")).agg(F.count(F.lit(1)).alias("__n"))
-    facts = sizes.agg(F.sum("__n").alias("rows"), F.min("__n").alias("least")).first()
+    facts = sizes.agg(F.sum("__n").alias("rows"), F.min("__n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
     rows = facts["rows"] or 0
     if facts["least"] is not None and facts["least"] < 2:
         raise ValueError(f"a class of {target!r} has fewer than two rows and cannot be split")
     wanted = math.ceil(holdout * rows)
+    if rows and min(wanted, rows - wanted) < facts["classes"]:
+        raise ValueError(f"{facts['classes']} classes do not fit into parts of {rows - wanted} and {wanted} rows")
     quota = class_quotas(sizes, wanted, rows)
     hashed = order if order is not None else row_hash(df.columns, seed)
     return _named(_take_lowest(df, hashed, quota, target, rows))
