@@ -39,7 +39,12 @@ def _take_lowest(df: DataFrame, order: Column, quota: DataFrame, group: str | No
            .join(quota, F.col("__g").eqNullSafe(F.col("__qg")))
            .where("__upto >= __quota AND __upto - __n < __quota")
            .select("__qg", F.col("__b").alias("__cut"), (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__left")))
-    placed = tagged.join(cut, F.col("__g").eqNullSafe(F.col("__qg")), "left")
+    if group is None:  # one cut for the whole table: two numbers
+        row = cut.first()
+        at, left = (row["__cut"], row["__left"]) if row else (None, None)
+        placed = tagged.withColumns({"__cut": F.lit(at).cast("long"), "__left": F.lit(left).cast("long")})
+    else:
+        placed = tagged.join(cut, F.col("__g").eqNullSafe(F.col("__qg")), "left")
     sure = placed.where("__cut IS NULL OR __b <> __cut") \
         .select(*[q(c) for c in cols], F.coalesce(F.col("__b") < F.col("__cut"), F.lit(False)).alias("__taken"))
     # the bucket with the cut: equal rows are folded into one with a count
