@@ -102,7 +102,7 @@ def dp_default_delta(t: Tables) -> DataFrame:
     return default_delta_frame(t.lineitem).select("rows", F.round(F.col("delta") * 1e9, 6).alias("delta_times_1e9"))
 
 
-# Releases of a run: the line items of an order, each costing by its quantity.
+# Releases of a run: the events of a user, each costing by its value.
 RELEASES_SQL = """
 releases AS (SELECT user_id AS run_id, event_id AS step, value / 10000 AS rho, CASE event_type WHEN 'signup' THEN 0.01 ELSE 0 END AS epsilon,
                     1e-6::DOUBLE AS delta FROM events)"""
