@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.values import q
 from ..session import materialize
@@ -16,6 +20,26 @@ HASH_RANGE = 1 << 62
 BROADCAST_BYTES = 8 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers of a session that was started without it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="veilframe-code-"), "veilframe.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(q(name).cast("string"), F.lit(""))
 
@@ -49,4 +73,4 @@ def hashed_share(parts: list[Column], share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit(20241), *parts), F.lit(HASH_RANGE)) < F.lit(int(min(1.0, max(0.0, share)) * HASH_RANGE))
 
 
-__all__ = ["SPACE", "WORD", "BROADCAST_BYTES", "fresh", "hashed_share", "materialize", "q", "small_side", "text_or_empty", "word_count"]
+__all__ = ["SPACE", "WORD", "BROADCAST_BYTES", "fresh", "hashed_share", "materialize", "q", "ship_package", "small_side", "text_or_empty", "word_count"]

@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from . import sql
+from .common import ship_package
 from .exact_dedup import exact_duplicates
+from .mixing import mixed_words
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -18,8 +24,18 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed_words(_table(spark, folder, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_source_mix": op3_source_mix,
+    "op4_token_counts": op4_token_counts,
 }
 SQL: dict[str, str] = {
     "op1_exact_dedup": sql.OP1,
