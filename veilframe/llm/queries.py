@@ -11,6 +11,7 @@ import public_tokenizers
 from . import sql
 from .common import ship_package
 from .exact_dedup import exact_duplicates
+from .minhash import near_duplicates
 from .mixing import mixed_words
 from .token_counts import token_counts
 
@@ -32,10 +33,15 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"), link=(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_token_counts": op4_token_counts,
+    "op9_near_dedup": op9_near_dedup,
 }
 SQL: dict[str, str] = {
     "op1_exact_dedup": sql.OP1,
