@@ -13,7 +13,9 @@ from .common import ship_package
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
 from .mixing import mixed_words
+from .quality import quality_scores
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +35,14 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), link=(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -41,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_token_counts": op4_token_counts,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
 SQL: dict[str, str] = {
