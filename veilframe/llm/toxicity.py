@@ -3,8 +3,8 @@
 The channel: letters are written as look-alike signs, repeated, hidden behind a sign, or set apart by spaces and dots. A
 token that looks like that opens a lattice of readings; Viterbi search finds the likeliest under a letter model (order
 2) counted over the whole corpus. The restored words, and their beginnings, are looked up in a lexicon that was learnt
-from labelled documents: what significantly more toxic than other documents have. The weights of a text's hits are
-calibrated to a probability.
+from labelled documents: what is significantly more frequent in toxic ones. A word weighs as much as its heaviest entry;
+a logistic regression on the weights of a text's words, in sum and for its length, gives the probability.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import materialize, q, small_side, text_or_empty
@@ -26,8 +27,10 @@ from .tokenizers_fast import _Memory
 
 TRAIN_ROWS = 20_000     # labelled documents used for fitting, about (a documented bound; scores cover all documents)
 SURE = 18.0             # likelihood ratio (2 ln) that a lexicon entry needs
-PURE = 0.8              # share of toxic documents among those that have it
-BEGINNINGS = (4, 5)     # letters of a word's beginning that are entries of their own
+LEAST_WEIGHT = 2.0      # how much more frequent it is in toxic documents (ln)
+LEAST_DOCS = 3          # toxic documents that have it
+BEGINNINGS = (3, 4, 5, 6)   # letters of a word's beginning that are entries of their own
+STRIDE = 1 + len(BEGINNINGS)
 SLICE = 1 << 20
 
 # Letters that a sign can stand for; "*" hides any vowel.
@@ -39,6 +42,8 @@ _EDGES = re.compile(r"^[^\w@$€£+|(<*]+|[^\w@$€£+*]+$")
 _SUSPECT = re.compile(r"(?:[^\W\d_].*[0-9@$!|+(<€£¡*#.\-_~]|[0-9@$!|+(<€£¡*#].*[^\W\d_]|(.)\1\1)")
 _APART = re.compile(r"(?:(?<=\s)|^)\S(?:[ .\-_*~]{1,2}\S){2,}(?=[\s.,;:!?]|$)")
 
+_SPACE = re.compile(r"\s")
+
 _SYMBOLS = 64
 
 
@@ -124,101 +129,128 @@ class Decoder:
 
 
 def _entry(kind: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{kind}{text}") - (1 << 63)
+    return (xxhash.xxh32_intdigest(f"{kind}{text}") | 1) - (1 << 31)
 
 
 class Reader:
-    """Text → hashes of the restored words and beginnings in it."""
+    """Text → its distinct words as they were restored, each as the entries that stand for it."""
 
     def __init__(self, costs: np.ndarray, lexicon: dict[int, float] | None = None) -> None:
         self.decoder, self.lexicon = Decoder(costs), lexicon
-        self.memory = _Memory(self._entries, 200_000)
+        self.memory = _Memory(self._entries if lexicon is None else self._weight, 200_000)
 
     def word(self, token: str) -> str:
         token = _EDGES.sub("", token)
         return self.decoder.restore(token) if _SUSPECT.search(token) else token
 
     def _entries(self, token: str) -> tuple[int, ...]:
+        """The word itself and its beginnings; 0 for a beginning that the word does not have."""
         word = self.word(token)
         if len(word) < 3 or not any(map(str.isalpha, word)):
             return ()
-        found = [_entry("w", word), *(_entry("b", word[:n]) for n in BEGINNINGS if len(word) > n)]
-        if self.lexicon is not None:
-            found = [x for x in found if x in self.lexicon]
-        return tuple(found)
+        return (_entry("w", word), *(_entry("b", word[:n]) if len(word) > n else 0 for n in BEGINNINGS))
+
+    def _weight(self, token: str) -> float:
+        return max((self.lexicon.get(x, 0.0) for x in self._entries(token)), default=0.0)
 
-    def of_text(self, text: str) -> set[int]:
-        found: set[int] = set()
+    def of_text(self, text: str) -> list:
+        """What ``memory`` holds for the distinct tokens of each slice, those set apart letter by letter included."""
+        found: list = []
         start = 0
         while start < len(text):
             end = len(text)
             if end - start > SLICE:
-                cut = re.compile(r"\s").search(text, start + SLICE)
+                cut = _SPACE.search(text, start + SLICE)
                 end = cut.start() if cut else end
             part = text[start:end].lower()
             start = end
-            for token in set(part.split()):
-                entries = self.memory[token]
-                if entries:
-                    found.update(entries)
-            for match in _APART.finditer(part):
-                found.update(self.memory[match.group().replace(" ", "_")])
+            tokens = set(part.split())
+            if _APART.search(part):
+                tokens.update(m.group().replace(" ", "_") for m in _APART.finditer(part))
+            found.extend(map(self.memory.__getitem__, tokens))
         return found
 
 
 class Model(NamedTuple):
     costs: np.ndarray
     lexicon: dict[int, float]
-    steps: np.ndarray
-    levels: np.ndarray
+    weights: np.ndarray     # of the logistic regression, the last one its constant
     base: float             # share of toxic documents, what is said if nothing could be learnt
 
 
+def evidence(weights: np.ndarray, words: int) -> tuple[float, ...]:
+    """What the regression sees: weights in sum, for the length, the heaviest, and how many there are."""
+    held = weights[weights > 0]
+    total = math.fsum(np.sort(held))
+    return (math.log1p(total), total / math.sqrt(words + 10.0), float(held.max()) if len(held) else 0.0, math.log1p(len(held)),
+            100 * len(held) / (words + 20.0))
+
+
 def _reading(costs: np.ndarray):
     kept: list[Reader] = []
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def entries(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.append(Reader(costs))
-        return pa.array([sorted(kept[0].of_text(x.as_py() or "")) for x in texts], pa.list_(pa.int64()))
+        return pa.array([[e for word in kept[0].of_text(x.as_py() or "") for e in word] for x in texts], pa.list_(pa.int32()))
 
     return entries
 
 
+def _evidence_column(lexicon: dict[int, float]):
+    """Column function: entries of a text's words → what the regression sees."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def seen(entries: pa.Array) -> pa.Array:
+        out = []
+        for x in entries:
+            weights = np.array([lexicon.get(e, 0.0) for e in x.as_py() or ()], float).reshape(-1, STRIDE).max(1, initial=0.0)
+            out.append(evidence(weights, len(weights)))
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return seen
+
+
+def learn_lexicon(rows: DataFrame) -> dict[int, float]:
+    """Entries that words of toxic documents have significantly more often, and their weights (ln of the ratio of rates).
+
+    ``rows (id, y, entries)`` is a bounded sample, and an entry is held by at least ``LEAST_DOCS`` of its toxic documents.
+    """
+    words = rows.groupBy("y").agg(F.sum(F.size("entries") / STRIDE).alias("n"), F.count(F.lit(1)).alias("docs")).collect()
+    words = {r["y"]: float(r["n"] or 0) for r in words}
+    if not words.get(1.0) or not words.get(0.0):
+        return {}
+    each = rows.select("id", "y", F.explode("entries").alias("entry")).where(F.col("entry") != 0)
+    hits = materialize(each.where(F.col("y") == 1).groupBy("id", "entry").agg(F.count(F.lit(1)).alias("n"))
+                       .groupBy("entry").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS), "hits")
+    others = (each.where(F.col("y") == 0).join(small_side(hits.select("entry"), 12), "entry", "left_semi")
+              .groupBy("entry").agg(F.count(F.lit(1)).alias("o")))
+    both = hits.join(others, "entry", "left").select("entry", "t", F.coalesce("o", F.lit(0)).alias("o"))
+    rate = words[1.0] / (words[1.0] + words[0.0])
+    total = F.col("t") + F.col("o")
+    ratio = 2 * (F.col("t") * F.log(F.col("t") / (total * rate))
+                 + F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / (total * (1 - rate)))).otherwise(0))
+    weight = F.log((F.col("t") + 0.5) / words[1.0]) - F.log((F.col("o") + 0.5) / words[0.0])
+    chosen = both.where((ratio > SURE) & (weight > LEAST_WEIGHT)).select("entry", weight.alias("weight")).collect()
+    return {r["entry"]: float(r["weight"]) for r in chosen}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         bound: int = TRAIN_ROWS) -> Model:
-    """Letter model from all documents; lexicon and calibration from labelled ones that are not held out."""
+    """Letter model from all documents; lexicon and regression from labelled ones that are not held out."""
     costs = letter_model(docs, text_col)
     sample = materialize(labelled_sample(labels, label, id_col, bound), "labelled")
     rows = materialize(docs.select(q(id_col).alias("id"), text_or_empty(text_col).alias("text"))
                        .join(small_side(sample, 24), "id").select("id", "y", _reading(costs)("text").alias("entries")), "entries")
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
     n, toxic = facts["n"] or 0, facts["y"] or 0.0
-    if not toxic or toxic == n:
-        return Model(costs, {}, np.array([0.0]), np.array([0.0 if not toxic else 1.0]), toxic / n if n else 0.0)
-    each = rows.select("y", F.explode("entries").alias("entry"))
-    hits = each.where(F.col("y") == 1).groupBy("entry").agg(F.count(F.lit(1)).alias("t")).where(F.col("t") > 2)
-    counted = (each.join(hits, "entry").groupBy("entry").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n")))
-    rate = toxic / n
-    both = counted.withColumn("other", F.col("n") - F.col("t"))
-    ratio = 2 * (F.col("t") * F.log(F.col("t") / (F.col("n") * rate))
-                 + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (F.col("n") * (1 - rate)))).otherwise(0))
-    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (n - toxic + 1))
-    # entries are words of a bounded sample that at least three of its toxic documents have
-    chosen = both.where((ratio > SURE) & (F.col("t") >= PURE * F.col("n"))).select("entry", weight.alias("weight")).collect()
-    lexicon = {r["entry"]: float(r["weight"]) for r in chosen}
+    lexicon = learn_lexicon(rows) if 0 < toxic < n else {}
     if not lexicon:
-        return Model(costs, {}, np.array([0.0]), np.array([rate]), rate)
-    table = F.create_map(*[F.lit(x) for pair in sorted(lexicon.items()) for x in pair]) if len(lexicon) <= 500 else None
-    if table is None:
-        weights = rows.select("id", "y", F.explode_outer("entries").alias("entry")).join(
-            F.broadcast(docs.sparkSession.createDataFrame(chosen, "entry long, weight double")), "entry", "left")
-        evidence = weights.groupBy("id", "y").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("features"))
-    else:
-        evidence = rows.select("id", "y", F.aggregate("entries", F.lit(0.0), lambda s, x: s + F.coalesce(table[x], F.lit(0.0))).alias("features"))
-    fitted = IsotonicRegression(featuresCol="features", labelCol="label").fit(evidence.select("features", F.col("y").alias("label")))
-    return Model(costs, lexicon, np.array(fitted.boundaries.toArray()), np.array(fitted.predictions.toArray()), rate)
+        return Model(costs, {}, np.zeros(0), toxic / n if n else 0.0)
+    seen = rows.select(array_to_vector(_evidence_column(lexicon)("entries")).alias("features"), F.col("y").alias("label"))
+    fitted = LogisticRegression(regParam=1e-4, maxIter=60).fit(materialize(seen, "evidence"))
+    return Model(costs, lexicon, np.append(fitted.coefficients.toArray(), fitted.intercept), toxic / n)
 
 
 def score_column(model: Model):
@@ -227,11 +259,15 @@ def score_column(model: Model):
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
+        if not model.lexicon:
+            return pa.array(np.full(len(texts), model.base))
         if not kept:
             kept.append(Reader(model.costs, model.lexicon))
-        weight = np.array([math.fsum(model.lexicon[e] for e in kept[0].of_text(x.as_py() or "")) if model.lexicon else 0.0 for x in texts])
-        level = np.interp(weight, model.steps, model.levels)
-        return pa.array(np.clip(0.998 * level + 0.002 * (1 - np.exp(-weight / 10)), 0.0, 1.0))
+        out = np.zeros(len(texts))
+        for k, x in enumerate(texts):
+            weights = np.array(kept[0].of_text(x.as_py() or ""), float)
+            out[k] = np.dot(model.weights[:-1], evidence(weights, len(weights))) + model.weights[-1]
+        return pa.array(1 / (1 + np.exp(-np.clip(out, -60, 60))))
 
     return score
 
