@@ -4,8 +4,8 @@
    each hash permutation both the smallest and the largest value are kept: each agrees between two sets with probability
    equal to their similarity, so half the hash evaluations give a signature of the same length.
 2. Documents of the same words are folded to one (heavy-hitter split, no hot groups), copies are never paired.
-3. Bands of the signature tie documents to the first of their bucket; the ties give coarse clusters. A pair with
-   similarity 0.85 shares no band with a probability below 1e-6.
+3. Bands of the signature tie documents to the first of their bucket; the ties give coarse clusters. There are as
+   many bands as it takes for a linked pair to share none with a probability below 1e-6.
 4. Inside a coarse cluster all links are decided on full sets, without listing pairs: the sets are indexed, the most
    central document gathers those it links, and only documents still outside are compared with all others. Large
    clusters are cut into chunks, and pairs of chunks are compared by separate tasks.
@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ from .components import connected_components
 from .exact_dedup import COUNTERS, HEAVY_SHARE, mark_groups
 
 SHINGLE = 5
-LINK = (85, 100)        # similarity of a link: intersection * 100 >= 85 * union
-ROWS, BANDS = 7, 36     # 252 signature values from 126 permutations
+LINK = (80, 100)        # similarity of a link: intersection * 100 >= 80 * union
+ROWS = 7                # signature values in a band
+MISS = 1e-6             # probability that two linked documents share no band
 CHUNK = 2048            # documents of a cluster that one task holds, times two
 CHUNK_BYTES = 12 << 20  # and their text
 SLICE = 1 << 20
@@ -105,10 +107,15 @@ def shingle_set(words: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed)
 
 
+def bands_for(link: tuple[int, int], rows: int = ROWS, miss: float = MISS) -> int:
+    agree = (link[0] / link[1]) ** rows
+    return 1 if agree >= 1 else math.ceil(math.log(miss) / math.log1p(-agree))
+
+
 class MinMax:
     """Signatures: minimum and maximum of the set under each permutation."""
 
-    def __init__(self, rows: int = ROWS, bands: int = BANDS, seed: int = 7) -> None:
+    def __init__(self, rows: int, bands: int, seed: int = 7) -> None:
         self.rows, self.bands = rows, bands
         n = (rows * bands + 1) // 2
         draw = np.random.Generator(np.random.PCG64(seed))
@@ -276,7 +283,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, folded: DataFrame, width
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
-                    link: tuple[int, int] = LINK, rows: int = ROWS, bands: int = BANDS, keep: tuple[str, ...] = (),
+                    link: tuple[int, int] = LINK, rows: int = ROWS, keep: tuple[str, ...] = (),
                     counters: int = COUNTERS, share: float = HEAVY_SHARE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``, then the columns ``keep`` of ``docs``, and ``first``
     (one row of each component has it true).
@@ -289,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(q(id_col).alias("doc_id"), *[q(c) for c in keep], text_or_empty(text_col).alias("__text"))
     keys = materialize(
         base.select("doc_id", *[q(c) for c in keep], F.octet_length("__text").cast("long").alias("n_bytes"),
-                    document_keys(width, rows, bands)("__text").alias("k"))
+                    document_keys(width, rows, bands_for(link, rows))("__text").alias("k"))
         .select("doc_id", *[q(c) for c in keep], "n_bytes", "k.*").withColumn("row", F.monotonically_increasing_id()), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     filled = keys.where(F.col("n_shingles") > 0).select("doc_id", "row", "digest")

@@ -13,6 +13,7 @@ from .common import ship_package
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
 from .mixing import mixed_words
+from .packing import packed_documents
 from .quality import quality_scores
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
@@ -47,6 +48,10 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), link=(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op9_near_dedup": op9_near_dedup,
+    "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {
     "op1_exact_dedup": sql.OP1,
