@@ -16,7 +16,10 @@ from .mixing import mixed_words
 from .packing import packed_documents
 from .quality import quality_scores
 from .token_counts import token_counts
+from .token_output import round_trip
 from .toxicity import toxicity_scores
+from .url_filter import judge_urls
+from .vptree import nearest
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +31,10 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_table(spark, folder, "pages"))
+
+
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_words(_table(spark, folder, "documents"))
 
@@ -36,6 +43,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_table(spark, folder, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -44,6 +55,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), link=(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -54,13 +69,17 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_source_mix": op3_source_mix,
     "op4_token_counts": op4_token_counts,
+    "op5_nearest": op5_nearest,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_token_output": op8_token_output,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {
     "op1_exact_dedup": sql.OP1,
+    "op5_nearest": sql.OP5,
 }
