@@ -122,7 +122,8 @@ def _decode(with_ids: bool):
                 parts_ = [raw[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
                 split = np.zeros(n, bool)
                 if n:
-                    split[0], split[-1] = split[0] | bool(before), split[-1] | bool(after)
+                    split[0] |= bool(before)
+                    split[-1] |= bool(after)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part, np.int32)), pa.array(first + np.arange(n)), pa.array(np.full(n, block, np.int32)),
                      pa.array(names, mask=nulls), pa.array(place + starts), pa.array(sizes), pa.array([zlib.crc32(x) for x in parts_], pa.int64()),
