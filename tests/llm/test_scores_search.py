@@ -258,12 +258,12 @@ def test_queries_and_their_sql(spark):
 
 def test_pipeline(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "near dedup", "source mix", "packing"]
-    docs = table(spark, "documents")
-    labels = {r["doc_id"]: r["quality"] for r in table(spark, "labels").collect()}
+    docs = table(spark, "documents", LARGER)
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, "labels", LARGER).collect()}
     columns = docs.columns
     counts = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, FOLDER).toPandas(), docs.schema)
+        docs = spark.createDataFrame(stage(spark, docs, LARGER).toPandas(), docs.schema)
         assert docs.columns == columns
         counts.append(docs.count())
         if name == "quality classifier":
@@ -272,7 +272,7 @@ def test_pipeline(spark):
             assert not any(i in kept for i, good in labels.items() if not good)
         if name in ("exact dedup", "near dedup"):
             assert docs.select("doc_id").distinct().count() == counts[-1] < counts[-2]
-    result = corpus_pipeline.run(spark, FOLDER)
+    result = corpus_pipeline.run(spark, LARGER)
     assert set(result.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert result.where("piece = 0").count() == counts[-1]
 

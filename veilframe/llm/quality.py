@@ -1,8 +1,9 @@
 """Quality scores: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
 The Gaussian kernel between standardised statistics is approximated by cosines at random frequencies. The normal
-equations of the ridge fit are sums over documents: every task adds up its own, and their sums are added. What the
-regression gives is calibrated on documents that it has not seen, by Spark's isotonic regression.
+equations of the ridge fit are sums over documents: every task adds up its own, and their sums are added. They are kept
+by fold, so that every labelled document also gets the score of a fit that has not seen it; on these scores Spark's
+isotonic regression learns what a score means.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ FEATURES = 256
 WIDTH = 4.0             # of the kernel, in standard deviations of a statistic
 RIDGE = 1e-3            # times the number of documents
 TRAIN_ROWS = 60_000     # labelled documents used for fitting, about (a documented bound; scores cover all documents)
-CALIBRATION = 4         # one of so many of them calibrates
+FOLDS = 4
 FIT_TASKS = 16
 SEED = 11
 
@@ -66,20 +67,30 @@ def labelled_sample(labels: DataFrame, label: str, id_col: str = "doc_id", bound
 
 def _equations(mean, scale, frequencies, phases):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = b = None
+        sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             rows = np.array(batch.column(0).to_pylist(), float).reshape(-1, len(STATS))
-            if not len(rows):
-                continue
-            x = fourier(rows, mean, scale, frequencies, phases)
-            xx, xy = x.T @ x, x.T @ np.array(batch.column(1).to_pylist(), float)
-            a, b = (xx, xy) if a is None else (a + xx, b + xy)
-        if a is not None:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary())})
+            y, folds = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for fold in np.unique(folds):
+                mine = folds == fold
+                x = fourier(rows[mine], mean, scale, frequencies, phases)
+                a, b = sums.get(fold, (0.0, 0.0))
+                sums[fold] = [a + x.T @ x, b + x.T @ y[mine]]
+        if sums:
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([int(f) for f in sums], pa.int32()),
+                                              "a": pa.array([a.tobytes() for a, _ in sums.values()], pa.binary()),
+                                              "b": pa.array([b.tobytes() for _, b in sums.values()], pa.binary())})
 
     return run
 
 
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = max(a[0, 0], 1.0)
+    penalty = np.full(len(b), RIDGE * n)
+    penalty[0] = 1e-9
+    return np.linalg.solve(a + np.diag(penalty), b)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         features: int = FEATURES, bound: int = TRAIN_ROWS, seed: int = SEED) -> Model | None:
     """Learn from the labelled documents that are not held out; None if there is not one document of each label."""
@@ -95,34 +106,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     draw = np.random.Generator(np.random.PCG64(seed))
     frequencies = draw.normal(0, 1 / WIDTH, (len(STATS), features))
     phases = draw.uniform(0, 2 * np.pi, features)
-    calibrates = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(CALIBRATION)) == 0
-    # the sample is bounded, so are the sums that come to the driver: one matrix for each of a few tasks
-    sums = (rows.where(~calibrates).select("stats", "y").coalesce(FIT_TASKS)
-            .mapInArrow(_equations(mean, scale, frequencies, phases), "a binary, b binary").collect())
+    folded = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(FOLDS)).cast("int"))
+    # the sample is bounded, so are the sums that come to the driver: a matrix for each fold of a few tasks
+    sums = (folded.select("stats", "y", "fold").coalesce(FIT_TASKS)
+            .mapInArrow(_equations(mean, scale, frequencies, phases), "fold int, a binary, b binary").collect())
     size = 1 + len(STATS) + features
-    a, b = np.zeros((size, size)), np.zeros(size)
-    for r in sums:
-        a += np.frombuffer(bytes(r["a"])).reshape(size, size)
-        b += np.frombuffer(bytes(r["b"]))
-    n = a[0, 0]
-    if not n:
-        return None
-    penalty = np.full(size, RIDGE * n)
-    penalty[0] = 0
-    weights = np.linalg.solve(a + np.diag(penalty) + 1e-9 * n * np.eye(size), b)
-    model = Model(mean, scale, frequencies, phases, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    seen = rows.where(calibrates)
-    if not seen.limit(1).count():
-        return model
-    scored = seen.select(_raw_column(model)("stats").alias("features"), F.col("y").alias("label"))
-    fitted = IsotonicRegression(featuresCol="features", labelCol="label").fit(scored)
+    a, b = np.zeros((FOLDS, size, size)), np.zeros((FOLDS, size))
+    for r in sorted(sums):
+        a[r["fold"]] += np.frombuffer(bytes(r["a"])).reshape(size, size)
+        b[r["fold"]] += np.frombuffer(bytes(r["b"]))
+    model = Model(mean, scale, frequencies, phases, _solve(a.sum(0), b.sum(0)), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    others = [model._replace(weights=_solve(a.sum(0) - a[f], b.sum(0) - b[f])) for f in range(FOLDS)]
+    scored = folded.select(_raw_column(others)("stats", "fold").alias("features"), F.col("y").alias("label"))
+    fitted = IsotonicRegression(featuresCol="features", labelCol="label").fit(materialize(scored, "scored"))
     return model._replace(steps=np.array(fitted.boundaries.toArray()), levels=np.array(fitted.predictions.toArray()))
 
 
-def _raw_column(model: Model):
+def _raw_column(models: list[Model]):
     @F.arrow_udf(T.DoubleType())
-    def raw(stats: pa.Array) -> pa.Array:
-        return pa.array(raw_scores(np.array(stats.to_pylist(), float).reshape(-1, len(STATS)), model))
+    def raw(stats: pa.Array, folds: pa.Array) -> pa.Array:
+        rows, folds = np.array(stats.to_pylist(), float).reshape(-1, len(STATS)), folds.to_numpy()
+        out = np.zeros(len(rows))
+        for fold in np.unique(folds):
+            out[folds == fold] = raw_scores(rows[folds == fold], models[fold])
+        return pa.array(out)
 
     return raw
 
