@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import quantiles
 from veilframe.functions.ordered import carry_forward, dense_codes, running_totals
-from veilframe.functions.values import bin_column, sanitize_nonfinite
+from veilframe.functions.values import bin_column, recode_contains, recode_equals, sanitize_nonfinite, split_at
 from veilframe.operators import clean, profile, roles, split
 from veilframe.plans.prepare import PrepareConfig, prepare
 
@@ -95,10 +95,19 @@ def test_align_types_keeps_what_cannot_be_cast(spark):
     assert [f.dataType.simpleString() for f in clean.align_types(synth, real).schema.fields] == ["int", "string"]
 
 
+# Coarse classes of the census columns.
+CENSUS = {
+    "age": ("age_bin", lambda c: F.coalesce(bin_column(c.try_cast("double"), (0, 30, 60, 100), ("<=30", "31-60", "61+")), F.lit("nan"))),
+    "education-num": ("edu_bin", lambda c: split_at(c.try_cast("double"), 10, "low", "high")),
+    "marital-status": ("marital_bin", lambda c: recode_contains(c, "Married", "married", "not-married")),
+    "race": ("race_bin", lambda c: recode_equals(c, "White", "Non-White")),
+}
+
+
 def test_generalize_and_bins(spark):
     df = spark.createDataFrame([("30", 10, "Married-civ", "White"), ("31", 11, "Divorced", "Black"), ("?", None, None, None)],
                                "age string, `education-num` int, `marital-status` string, race string")
-    got = clean.generalize_qi(df).select("age_bin", "edu_bin", "marital_bin", "race_bin").collect()
+    got = clean.generalize(df, {"missing": ("x", lambda c: c), **CENSUS}).select("age_bin", "edu_bin", "marital_bin", "race_bin").collect()
     assert [tuple(r) for r in got] == [("<=30", "low", "married", "White"), ("31-60", "high", "not-married", "Non-White"),
                                        ("nan", "high", "not-married", "Non-White")]
     assert spark.range(1).select(bin_column(F.lit(0.0), (0, 1), ("x",)).alias("b")).first()["b"] is None

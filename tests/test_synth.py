@@ -10,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.operators import logs, marginals, runs
+from veilframe.operators.roles import ColumnRoles
 from veilframe.operators.verdict import Thresholds
 from veilframe.plans import pipeline, reports
 from veilframe.plans.prepare import PrepareConfig, prepare
 from veilframe.sources import catalog, readers, registry, writers
 from veilframe.synth import SYNTHESIZERS, fit_private_tree, fit_tree, load_model
-from veilframe.synth.fit import spanning_tree
+from veilframe.synth.fit import fit_copula, spanning_tree
 from veilframe.synth.ledger import epsilon_of, estimate_max_steps, rho_of
 from veilframe.synth.tokens import ColumnSpec
 
@@ -218,3 +219,32 @@ def test_reports_can_be_switched_off(spark, table):
     assert row["dp_guarantees"]["available"] is False and row["empirical_risk"]["distance_metrics"] is None and row["diagnostic"]["classical"] is None
     with pytest.raises(ValueError, match="not found"):
         reports.utility_report(small, small, small, reports.UtilityConfig("nope"))
+
+
+def test_intervals_meet(spark, table):
+    model = fit_private_tree(table, epsilon=5.0, preprocessor_eps=1.0, seed=3)
+    for fitted in (model, fit_tree(table), fit_copula(table)):
+        groups = {}
+        for r in fitted.cells.collect():
+            groups.setdefault((r["target"], r["parent_token"]), []).append((r["a"], r["b"]))
+        for cells in groups.values():
+            cells.sort()
+            assert cells[0][0] == 0.0 and cells[-1][1] == 1.0
+            assert all(x[1] == y[0] for x, y in zip(cells, cells[1:]))
+    assert model.sample(5000).count() == 5000
+
+
+def test_many_tokens_below_few_parents(spark):
+    """One parent token with most of the children; tables of very different size."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 7, "big").otherwise(F.concat(F.lit("p"), F.col("id") % 50)).alias("parent"),
+        F.when(F.col("id") % 10 < 7, F.concat(F.lit("c"), F.col("id") % 3000)).otherwise(F.concat(F.lit("d"), F.col("id") % 50)).alias("child"))
+    model = fit_tree(rows, ColumnRoles(categorical=("parent", "child")))
+    drawn = model.sample(6000)
+    assert drawn.count() == 6000
+    assert drawn.join(rows.distinct(), ["parent", "child"], "left_anti").count() == 0
+
+
+def test_missing_rows_of_a_condition_are_told(table):
+    with pytest.warns(UserWarning, match="10 of 10 rows are missing"):
+        assert fit_tree(table).sample(10, condition="city = 'west'", max_tries=1).count() == 0

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.quantiles import exact_medians
-from ..functions.values import as_number, is_numeric, nan_to_null, q, recode_contains, recode_equals, \
-    split_at, bin_column
+from ..functions.values import as_number, is_numeric, nan_to_null, q
 
 
 def nullify(df: DataFrame, tokens: Iterable[str] = ("?",), columns: Iterable[str] | None = None) -> DataFrame:
@@ -192,16 +191,10 @@ def align_types(synth: DataFrame, real: DataFrame) -> DataFrame:
     return synth.select(*[q(c).try_cast(wanted[c]).alias(c) if c in good else q(c) for c in synth.columns])
 
 
-def generalize_qi(df: DataFrame) -> DataFrame:
-    """Add coarse versions of the usual census quasi-identifiers that are present."""
-    added: dict[str, Column] = {}
-    if "age" in df.columns:
-        age = q("age").try_cast("double")
-        added["age_bin"] = F.coalesce(bin_column(age, (0, 30, 60, 100), ("<=30", "31-60", "61+")), F.lit("nan"))
-    if "education-num" in df.columns:
-        added["edu_bin"] = split_at(q("education-num").try_cast("double"), 10, "low", "high")
-    if "marital-status" in df.columns:
-        added["marital_bin"] = recode_contains(q("marital-status"), "Married", "married", "not-married")
-    if "race" in df.columns:
-        added["race_bin"] = recode_equals(q("race"), "White", "Non-White")
-    return df.withColumns(added) if added else df
+def generalize(df: DataFrame, rules: Mapping[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """Add coarser versions of columns: ``rules`` maps a column to the new column's name and the expression that makes it.
+
+    Rules for columns that ``df`` does not have are passed over; a new column takes the place of one of its name.
+    ``functions.values`` has the usual expressions (bins, thresholds, recoding).
+    """
+    return df.withColumns({name: make(q(column)) for column, (name, make) in rules.items() if column in df.columns})

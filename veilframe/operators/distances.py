@@ -10,6 +10,7 @@ from ..functions.hashing import row_hash
 from ..functions.ordered import running_totals
 from ..functions.quantiles import exact_quantiles
 from ..session import materialize
+from .efficacy import UNLIMITED_DEPTH
 from .encode import Encoder, common_columns, encode, fit_encoder
 from .neighbours import fold, nearest_two
 from .split import sample_rows
@@ -92,13 +93,13 @@ def mia_features(train: DataFrame, holdout: DataFrame, synth: DataFrame, sample_
     """``distance, members, non_members``: how far equally many train and holdout rows
     are from the closest synthetic row; equal vectors are one row with counts.
 
-    ``sample_size`` is an optional cap; by default the smaller of both sides is used whole.
+    ``sample_size`` optionally bounds the labelled rows an attacker is fitted on; by default the smaller of both
+    sides is used whole. The synthetic table is always used whole.
     """
     sizes = train.count(), holdout.count()
     n = min(sizes)
     if sample_size:
         n = min(n, sample_size)
-        synth = sample_rows(synth, sample_size, seed)
     encoder = encoder or shared_encoder(train, holdout, synth, columns)
     picked = [sample_rows(d, n, seed, order=member_order if member_order is not None else row_hash(d.columns, seed), rows=rows)
               for d, rows in zip((train, holdout), sizes)]
@@ -125,7 +126,7 @@ def interpret_attack(auc):
 
 
 def membership_inference(features: DataFrame, n_estimators: int = 100, folds: int = 5, seed: int = 42,
-                         max_depth: int = 5) -> DataFrame:
+                         max_depth: int = UNLIMITED_DEPTH) -> DataFrame:
     """One row: cross-validated ROC-AUC of a random forest that tells members from
     non-members by their distance, its standard deviation over the folds, and a band."""
     from pyspark.ml.classification import RandomForestClassifier

@@ -18,7 +18,7 @@ from .clean import FillValues
 from ..functions.quantiles import exact_medians
 from . import scores
 
-_UNLIMITED_DEPTH = 30  # the deepest tree Spark ML grows
+UNLIMITED_DEPTH = 30  # the deepest tree Spark ML grows
 LOSS_BAND = 0.1
 
 
@@ -85,9 +85,12 @@ def _prepare(train: DataFrame, test: DataFrame, config: EfficacyConfig) -> tuple
 def run_experiment(train: DataFrame, test: DataFrame, config: EfficacyConfig) -> DataFrame:
     """One row of scores of a random forest: f1_weighted and roc_auc, or mae and r2."""
     fit_rows, test_rows = _prepare(train, test, config)
-    depth = config.max_depth if config.max_depth is not None else _UNLIMITED_DEPTH
-    kind = RandomForestClassifier if config.task == "classification" else RandomForestRegressor
-    model = kind(numTrees=config.n_estimators, maxDepth=depth, seed=config.seed).fit(materialize(fit_rows, "fit"))
+    depth = config.max_depth if config.max_depth is not None else UNLIMITED_DEPTH
+    # a regression tree looks at all features of a node, a classification tree at a random few
+    forest = (RandomForestClassifier(featureSubsetStrategy="auto") if config.task == "classification"
+              else RandomForestRegressor(featureSubsetStrategy="all"))
+    forest.setParams(numTrees=config.n_estimators, maxDepth=depth, seed=config.seed)
+    model = forest.fit(materialize(fit_rows, "fit"))
     if config.task != "classification":
         return scores.regression_scores(model.transform(test_rows), "label", "prediction")
     scored = materialize(model.transform(test_rows).select(

@@ -129,13 +129,9 @@ def describe_all(df: DataFrame) -> DataFrame:
     return out
 
 
-PREVIEW_LIMIT = 1000
-
-
 def preview_rows(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
-    """The first ``n`` rows (never more than 1000: a preview is for looking at)."""
-    n = min(int(n), PREVIEW_LIMIT)
-    return (df.orderBy(*[q(c) for c in order_by]) if order_by else df).limit(n)
+    """The first ``n`` rows, in the order of ``order_by`` if given."""
+    return (df.orderBy(*[q(c) for c in order_by]) if order_by else df).limit(int(n))
 
 
 def preview_stats(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
@@ -149,7 +145,7 @@ def preview_stats(df: DataFrame, n: int = 10, order_by: list[str] | None = None)
         structs.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
             (F.count(F.lit(1)) - F.count(v)).alias("null_count"),
-            F.size(F.collect_set(v)).cast("long").alias("unique_count"),  # at most 1000 rows
+            F.size(F.collect_set(v)).cast("long").alias("unique_count"),  # of the `n` rows asked for
             (F.round(F.avg(v), 4) if numeric else nothing).alias("mean"),
             (F.min(v) if numeric else nothing).alias("min"), (F.max(v) if numeric else nothing).alias("max")))
     return head.agg(F.array(*structs).alias("a")).select(F.inline("a"))

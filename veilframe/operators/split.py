@@ -13,10 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import HASH_SPACE, row_hash
+from ..functions.ordered import dense_codes
 from ..functions.values import q
 
 _ROWS_PER_BUCKET = 4_000
-_MAX_BUCKETS = 1 << 20
+_MAX_BUCKETS = 1 << 30
 
 
 def _bucket_count(rows: int) -> int:
@@ -121,15 +122,19 @@ def stratified_split(df: DataFrame, target: str, holdout: float = 0.2, seed: int
 def class_quotas(sizes: DataFrame, wanted: int, rows: int) -> DataFrame:
     """Largest-remainder shares of ``wanted`` over classes ``(__qg, __n)``, in whole numbers.
 
-    The ranking is over classes, one row each.
+    The ranking is over classes, by ranges of them.
     """
     whole = F.expr(f"(__n * {wanted}L) div {max(rows, 1)}L")
     rest = F.expr(f"(__n * {wanted}L) % {max(rows, 1)}L")
     parted = sizes.select("__qg", whole.alias("__w"), rest.alias("__r"))
     given = parted.agg(F.sum("__w").alias("w")).first()["w"] or 0
-    best = Window.orderBy(F.col("__r").desc(), F.col("__qg").asc_nulls_first())
-    return parted.select("__qg", (F.col("__w") + F.when(F.row_number().over(best) <= wanted - given, 1)
-                                  .otherwise(0)).alias("__quota"))
+    if wanted == given:
+        return parted.select("__qg", F.col("__w").alias("__quota"))
+    place = F.struct((-F.col("__r")).alias("r"), F.col("__qg").alias("g"))
+    ranked = dense_codes(parted.select(F.lit(0).alias("__all"), place.alias("__place")), "__all", "__place").select(
+        F.col("__place.g").alias("__g"), "code")
+    return parted.join(ranked, F.col("__qg").eqNullSafe(F.col("__g"))).select(
+        "__qg", (F.col("__w") + F.when(F.col("code") < wanted - given, 1).otherwise(0)).alias("__quota"))
 
 
 def _named(tagged: DataFrame) -> DataFrame:

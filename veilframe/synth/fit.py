@@ -7,7 +7,8 @@ from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.values import nan_to_null, q
 from ..operators.association import _pair_stats, pair_cells, pearson_pairs
@@ -17,8 +18,6 @@ from ..session import materialize
 from .model import NO_PARENT, Model, intervals, slot_counts
 from .tokens import BINS, ColumnSpec, column_specs, tokenize
 
-COPULA_DOMAIN_LIMIT = 100_000  # tokens of all columns together, kept in order
-
 
 def prepare_tokens(df: DataFrame, roles: ColumnRoles | None, bins: int, edges=None) -> tuple[list[ColumnSpec], DataFrame, int]:
     """Specs, the token table (written out: it is read several times) and its row count."""
@@ -47,22 +46,24 @@ def fit_marginal(df: DataFrame, roles: ColumnRoles | None = None, bins: int = BI
     return Model("marginal", specs, [(c, None) for c in names], cells, slot_counts(cells), rows, seed)
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Quantile of the standard normal at the middle of an interval; one value per distinct token."""
+    normal = NormalDist()
+    return ((a + b) / 2).clip(1e-9, 1 - 1e-9).map(normal.inv_cdf)
+
+
 def fit_copula(df: DataFrame, roles: ColumnRoles | None = None, bins: int = BINS, seed: int = 42) -> Model:
     """Gaussian copula: tokens in order → normal scores → correlation of the scores."""
     specs, tokens, rows = prepare_tokens(df, roles, bins)
     names = [s.name for s in specs]
     counts = materialize(token_counts(tokens, names), "counts")
-    if (size := counts.count()) > COPULA_DOMAIN_LIMIT:
-        raise ValueError(f"{size} distinct tokens are too many for an ordered copula; use the tree")
     cells = materialize(intervals(counts, ordered=True), "model")
-    score = {}
-    for r in cells.select("target", "token", "a", "b").collect():  # size checked above
-        score[(r["target"], r["token"])] = NormalDist().inv_cdf(min(max((r["a"] + r["b"]) / 2, 1e-9), 1 - 1e-9))
-    scores = df.sparkSession.createDataFrame([(c, t, s) for (c, t), s in score.items()], "target string, token string, score double")
+    scores = materialize(cells.select("target", "token", normal_score(F.col("a"), F.col("b")).alias("score")), "scores")
     scored = tokens
     for i, c in enumerate(names):
         part = scores.where(F.col("target") == c).select(F.col("token").alias(f"__k{i}"), F.col("score").alias(f"__z{i}"))
-        scored = scored.join(F.broadcast(part), q(c) == F.col(f"__k{i}")).drop(f"__k{i}")  # size checked above
+        scored = scored.join(part, q(c) == F.col(f"__k{i}")).drop(f"__k{i}")
     zs = [f"__z{i}" for i in range(len(names))]
     matrix = np.eye(len(names))
     for r in pearson_pairs(scored.select(*zs), zs).collect():  # one row per pair of columns

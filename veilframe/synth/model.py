@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,33 +18,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.hashing import uniform
-from ..functions.values import q
+from ..functions.hashing import key_hash, uniform
+from ..functions.ordered import dense_codes, running_totals
 from ..operators.split import sample_rows
-from ..functions.hashing import key_hash
+from ..session import materialize
 from .tokens import ColumnSpec, detokenize
 
 NO_PARENT = ""
-MAX_SLOTS = 65_536
+LEAST_SLOTS = 16
 ROWS_PER_TASK = 2_000_000
 
 
 def intervals(counts: DataFrame, ordered: bool = False) -> DataFrame:
-    """``(target, parent_token, token, a, b)`` from ``(target, parent_token, token, n)``.
+    """``(target, parent_token, token, a, b)`` from ``(target, parent_token, token, n)``, ``n`` a whole number.
 
-    Running sums are made in two levels (64 hash groups per column), so a column with
-    very many values is not summed in one task. ``ordered`` keeps the token order
-    instead, for the bounded domains of ordered methods.
+    Sums of whole numbers are exact, so an interval starts where the one before ends, and the last one ends at 1. Running
+    sums are made in two levels (hash groups that grow with the root of the tokens), so a column with very many values is
+    not summed in one task. ``ordered`` keeps the order of the tokens, for methods without parents: tokens are numbered
+    over ranges, and summed range by range.
     """
-    group = F.lit(0) if ordered else F.pmod(F.xxhash64("token"), F.lit(64))
-    order = F.coalesce(F.col("token").try_cast("double"), F.lit(float("inf")))
-    cut = counts.withColumn("__g", group)
     keys = ["target", "parent_token"]
+    if ordered:
+        place = F.struct(F.coalesce(F.col("token").try_cast("double"), F.lit(float("inf"))).alias("number"), F.col("token").alias("text"))
+        codes = dense_codes(counts.select("target", place.alias("place")), "target", "place").select(
+            F.col("target").alias("__c"), F.col("place.text").alias("__t"), "code")
+        numbered = materialize(counts.join(codes, (F.col("target") == F.col("__c")) & (F.col("token") == F.col("__t"))).drop("__c", "__t"), "numbered")
+        summed = running_totals(numbered, "code", {"__before": "n"}, "target")
+        totals = numbered.groupBy("target").agg(F.sum("n").alias("__total"))
+        return summed.join(totals, "target").select(
+            *keys, "token", (F.col("__before") / F.col("__total")).alias("a"), ((F.col("__before") + F.col("n")) / F.col("__total")).alias("b"))
+    groups = max(16, math.isqrt(counts.count()))
+    cut = counts.withColumn("__g", F.pmod(F.xxhash64("token"), F.lit(groups)))
     sums = cut.groupBy(*keys, "__g").agg(F.sum("n").alias("__s"))
     before = Window.partitionBy(*keys).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, "__g", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start"),
                          F.sum("__s").over(Window.partitionBy(*keys)).alias("__total"))
-    inside = Window.partitionBy(*keys, "__g").orderBy(order, "token").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "__g").orderBy("token").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("__start") + F.sum("n").over(inside)
     return (cut.join(starts, [*keys, "__g"]).withColumn("__upto", upto)
             .select(*keys, "token", ((F.col("__upto") - F.col("n")) / F.col("__total")).alias("a"),
@@ -53,7 +63,7 @@ def intervals(counts: DataFrame, ordered: bool = False) -> DataFrame:
 def slot_counts(cells: DataFrame) -> dict[str, int]:
     """Slots per column: about one per token of its largest table."""
     sizes = cells.groupBy("target", "parent_token").agg(F.count(F.lit(1)).alias("n")).groupBy("target").agg(F.max("n").alias("n"))
-    return {r["target"]: int(min(MAX_SLOTS, max(16, 1 << math.ceil(math.log2(r["n"]))))) for r in sizes.collect()}  # one row per column
+    return {r["target"]: max(LEAST_SLOTS, 1 << math.ceil(math.log2(r["n"]))) for r in sizes.collect()}  # one row per column
 
 
 def normal_cdf(z: np.ndarray) -> np.ndarray:
@@ -104,7 +114,8 @@ class Model:
         """Exactly ``n`` rows (default: as many as were fitted), from the model alone.
 
         With ``condition`` (an SQL predicate) rows are drawn in rounds and kept if they
-        satisfy it; after ``max_tries`` rounds the rows found so far are returned.
+        satisfy it. If ``max_tries`` rounds do not find enough, what was found is returned with a warning that says how
+        many rows are missing.
         """
         n = self.sample_size if n in (None, 0) else n
         if n <= 0:
@@ -114,7 +125,7 @@ class Model:
             return self._draw(0, n, seed).drop("__id")
         kept, have, start, size = [], 0, 0, n
         for _ in range(max_tries):
-            part = self._draw(start, start + size, seed).where(F.expr(condition))
+            part = materialize(self._draw(start, start + size, seed).where(F.expr(condition)), "round")  # drawn once
             found = part.count()
             start += size
             # the next round is as large as the share kept so far suggests
@@ -127,6 +138,8 @@ class Model:
             if have == n:
                 break
             size = min(100 * n, math.ceil(1.2 * (n - have) / share) + 10)
+        if have < n:
+            warnings.warn(f"{n - have} of {n} rows are missing: {start} draws gave {have} that satisfy {condition!r}", stacklevel=2)
         if not kept:
             return self._draw(0, 1, seed).drop("__id").limit(0)
         out = kept[0]
@@ -143,12 +156,21 @@ class Model:
             rows = _correlated(rows, np.array(self.factor), seed)
         for i, (column, parent) in enumerate(self.order):
             u = F.col(f"__u{i}") if self.factor is not None else uniform(seed, "t", column, F.col("__id"))
-            k = self.slots[column]
-            table = self.cells.where(F.col("target") == column).select(
+            cells = self.cells.where(F.col("target") == column)
+            given = F.col(f"__t{at[parent]}") if parent else F.lit(NO_PARENT)
+            drawn = rows.withColumns({"__u": u, "__given": given})
+            k = F.lit(self.slots[column])
+            if parent and self.slots[column] > LEAST_SLOTS:
+                # every parent token has slots for its own table, so small tables stay small next to a large one
+                slots = cells.groupBy(F.col("parent_token").alias("__q")).agg(
+                    F.greatest(F.lit(LEAST_SLOTS), F.pow(F.lit(2), F.ceil(F.log2(F.count(F.lit(1)))))).cast("long").alias("__k"))
+                cells = cells.join(slots, F.col("parent_token") == F.col("__q")).drop("__q")
+                drawn = drawn.join(slots, F.col("__given") == F.col("__q")).drop("__q").withColumnRenamed("__k", "__m")
+                k = F.col("__k")
+            table = cells.select(
                 F.col("parent_token").alias("__p"), F.col("token").alias(f"__t{i}"), F.col("a").alias("__a"), F.col("b").alias("__b"),
                 F.explode(F.sequence(F.floor(F.col("a") * k), F.greatest(F.floor(F.col("a") * k), F.ceil(F.col("b") * k) - 1))).alias("__s"))
-            given = F.col(f"__t{at[parent]}") if parent else F.lit(NO_PARENT)
-            drawn = rows.withColumns({"__u": u, "__given": given}).withColumn("__slot", F.floor(F.col("__u") * k))
+            drawn = drawn.withColumn("__slot", F.floor(F.col("__u") * (F.col("__m") if "__m" in drawn.columns else k)))
             rows = (drawn.join(table, (F.col("__given") == F.col("__p")) & (F.col("__slot") == F.col("__s"))
                                & (F.col("__u") >= F.col("__a")) & (F.col("__u") < F.col("__b")))
                     .select(*[c for c in rows.columns if c != f"__u{i}"], f"__t{i}"))

@@ -30,6 +30,7 @@ from .tokens import BINS, NULL_TOKEN
 
 MAX_DOMAIN_CELLS = 2_000_000
 MIN_ROWS = 10
+COUNT_SCALE = 1 << 16   # noisy counts are kept in so many parts of one
 _EXPONENTS = range(-40, 64)  # powers of two a private bound can take
 
 
@@ -134,7 +135,9 @@ def fit_private_tree(df: DataFrame, roles: ColumnRoles | None = None, epsilon: f
         for child, parent in order[1:]:
             counts += _noisy_edge(table, pairs, parent, child, domain, noisy, sigma_two, rng)
             releases.append({"release": "pair table", "columns": f"{parent},{child}", "rho": 1 / (2 * sigma_two ** 2), "epsilon": 0.0})
-    frame = df.sparkSession.createDataFrame([c[1:] for c in counts if c[4] > 0], "target string, parent_token string, token string, n double")
+    # whole numbers, so that the intervals of a column meet exactly
+    whole = [(*c[1:4], n) for c in counts if (n := round(c[4] * COUNT_SCALE)) > 0]
+    frame = df.sparkSession.createDataFrame(whole, "target string, parent_token string, token string, n long")
     cells = materialize(intervals(frame), "model")
     rho_spent = sum(r["rho"] for r in releases)
     spent = sum(r["epsilon"] for r in releases) + epsilon_of(rho_spent, delta)
