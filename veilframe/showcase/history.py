@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import logs, runs, verdict
 from ..sources import catalog, readers, registry, writers
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .registry import Tables, query
 
 # ----------------------------------------------------------------- verdicts
@@ -338,3 +341,63 @@ def dataset_summary(t: Tables) -> DataFrame:
     for name in ("customer", "part", "supplier"):
         writers.write_csv(getattr(t, name), f"{folder}/{name}")
     return catalog.dataset_summary(t.spark, f"{folder}/*/*.csv")
+
+
+@query("write_table_modes", """
+SELECT c_custkey AS key, c_name AS name, 1 AS part FROM customer UNION ALL SELECT s_suppkey, s_name, 2 FROM supplier""")
+def write_table_modes(t: Tables) -> DataFrame:
+    """A catalog table: written, written anew, appended to, and read back."""
+    table = f"veilframe_{uuid.uuid4().hex}"
+    people = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit(1).alias("part"))
+    more = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.lit(2).alias("part"))
+    writers.write_table(more, table)
+    writers.write_table(people, table, if_exists="replace")
+    writers.write_table(more, table, if_exists="append")
+    try:
+        return materialize(t.spark.table(table), "table")
+    finally:
+        t.spark.sql(f"DROP TABLE {table}")
+
+
+@query("report_round_trip", """
+SELECT o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS total,
+       'orders_' || o_orderstatus || '__tree__20240101_000000' AS report_name FROM orders GROUP BY o_orderstatus""")
+def report_round_trip(t: Tables) -> DataFrame:
+    """One report per order status, saved and read back together."""
+    folder = scratch_path(t.spark, "reports")
+    facts = materialize(t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")), "facts")
+    for row in facts.select("status").collect():  # one row per status
+        writers.write_report(facts.where(F.col("status") == row["status"]), folder, f"orders_{row['status']}", "tree", datetime(2024, 1, 1))
+    return writers.read_reports(t.spark, folder)
+
+
+@query("publish_staged", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def publish_staged(t: Tables) -> DataFrame:
+    """A staged table, published and read from its final place."""
+    staged, final = scratch_path(t.spark, "staged"), scratch_path(t.spark, "final")
+    t.orders.select("o_orderkey", "o_custkey", "o_totalprice").write.parquet(staged)
+    writers.publish(t.spark, staged, final)
+    return t.spark.read.parquet(final)
+
+
+@query("registry_round_trip", """
+SELECT 'nation-' || n_nationkey AS process_id, CASE WHEN n_nationkey % 5 = 4 THEN 'ERROR' ELSE 'COMPLETED_PASS' END AS status,
+       n_name AS source_data_info, '/synth/' || n_nationkey AS synthetic_data_location,
+       '{"customers": ' || count(c_custkey) || '}' AS privacy_report
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
+def registry_round_trip(t: Tables) -> DataFrame:
+    """A process per nation: started, described and ended in the registry; its state is read back."""
+    book = registry.ProcessRegistry(t.spark, scratch_path(t.spark, "registry"))
+    sizes = t.customer.groupBy("c_nationkey").count()
+    nations = t.nation.join(sizes, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", "n_name", F.coalesce("count", F.lit(0)).alias("n"))
+    rows = nations.collect()  # 25 nations
+    with book.batch():
+        for r in rows:
+            book.start(f"nation-{r['n_nationkey']}", r["n_name"], "/config")
+    with book.batch():
+        for r in rows:
+            book.add_metadata(f"nation-{r['n_nationkey']}", "privacy_report", {"customers": r["n"]})
+            book.finish(f"nation-{r['n_nationkey']}", "ERROR" if r["n_nationkey"] % 5 == 4 else "COMPLETED_PASS", f"/synth/{r['n_nationkey']}")
+    book.compact("process_events")
+    return book.state().select("process_id", "status", "source_data_info", "synthetic_data_location", "privacy_report")

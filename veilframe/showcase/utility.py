@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.hashing import key_hash
 from ..operators import association, efficacy, marginals, quality, scores
 from .registry import Tables, query
 
@@ -280,3 +281,14 @@ def ml_efficacy(t: Tables) -> DataFrame:
     synth = train.withColumn("n_chars", (F.col("n_chars") * 1.1).cast("long")).withColumn("n_words", F.col("n_words") + 3)
     config = efficacy.EfficacyConfig("quality", n_estimators=20, max_depth=6)
     return efficacy.ml_efficacy(train, synth, docs.where("is_test").drop("is_test"), config)
+
+
+@query("ml_regression")
+def ml_regression(t: Tables) -> DataFrame:
+    """How well a forest learns an order's price from its lines: trained on four of five orders, tested on the others."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"),
+                                                 F.sum("l_extendedprice").alias("price"))
+    facts = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "o_totalprice", "o_orderpriority", "quantity", "lines", "price", (key_hash("o_orderkey", 5) < 858993459).alias("is_test"))
+    config = efficacy.EfficacyConfig("o_totalprice", task="regression", n_estimators=20, max_depth=8)
+    return efficacy.run_experiment(facts.where("NOT is_test").drop("is_test"), facts.where("is_test").drop("is_test"), config)

@@ -9,11 +9,15 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .writers import publish
+
 # Identifiers of the metadata types.
 METADATA_TYPES = {
     "source_info": "11111111-1111-1111-1111-111111111111",
@@ -38,13 +42,41 @@ def sanitize(value: Any) -> Any:
 
 
 class ProcessRegistry:
-    """Registry tables below one folder of the shared storage."""
+    """Registry tables below one folder of the shared storage.
+
+    Inside ``with registry.batch():`` rows are held back and every table gets one file at the end; ``compact`` rewrites
+    what single appends have left.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._held: dict[str, tuple[str, list[tuple]]] | None = None
+
+    @contextmanager
+    def batch(self) -> Iterator[ProcessRegistry]:
+        self._held, outer = {}, self._held
+        try:
+            yield self
+            for table, (schema, rows) in self._held.items():
+                self._write(table, schema, rows)
+        finally:
+            self._held = outer
 
     def _append(self, table: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{table}")
+        if self._held is not None:
+            self._held.setdefault(table, (schema, []))[1].append(row)
+        else:
+            self._write(table, schema, [row])
+
+    def _write(self, table: str, schema: str, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{table}")
+
+    def compact(self, table: str, files: int = 1) -> None:
+        """Put a table's rows into few files: a copy is written, the old files are set aside, and the copy takes their place."""
+        fresh, old = f"{self.folder}/{table}-{uuid.uuid4().hex}", f"{self.folder}/{table}-old-{uuid.uuid4().hex}"
+        self.table(table).coalesce(files).write.parquet(fresh)
+        publish(self.spark, f"{self.folder}/{table}", old)
+        publish(self.spark, fresh, f"{self.folder}/{table}")
 
     def start(self, process_id: str, source_info: str, config_path: str) -> None:
         self._append("process_events", EVENTS, (process_id, _now(), "RUNNING", source_info, config_path, None, None, None))
