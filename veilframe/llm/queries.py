@@ -82,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_exact_dedup": sql.OP1,
     "op5_nearest": sql.OP5,
+    "op9_near_dedup": sql.OP9,
 }

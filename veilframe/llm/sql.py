@@ -16,3 +16,18 @@ d AS (SELECT a.vec_id AS query_id, b.vec_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+') if x <> ''] AS words FROM documents),
+n AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                          ELSE list_distinct([array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)]) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM n),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.j FROM reached r JOIN links l ON r.other = l.i)
+SELECT n.doc_id, len(any_value(shingles)) AS n_shingles, min(other) AS component_id, n.doc_id = min(other) AS kept
+FROM n JOIN reached USING (doc_id) GROUP BY n.doc_id
+"""
