@@ -52,3 +52,34 @@ def test_every_query_is_registered_once():
 
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 90
+
+
+def test_parts_of_a_split_are_pruned(spark, lineitem):
+    from veilframe.plans.prepare import PrepareConfig, prepare
+
+    done = prepare(lineitem.select("l_quantity", "l_returnflag"), PrepareConfig(target="l_returnflag"))
+    text = plan(done.train)
+    assert "PartitionFilters: [isnotnull(split" in text and done.train.columns == ["l_quantity", "l_returnflag"]
+    assert done.train.count() + done.holdout.count() == done.tagged.count()
+
+
+def test_no_window_without_partition(spark, lineitem):
+    from veilframe.operators.split import class_quotas
+
+    sizes = lineitem.groupBy(F.col("l_suppkey").alias("__qg")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = lineitem.count()
+    quotas = class_quotas(sizes, rows // 5, rows)
+    assert "Exchange SinglePartition" not in plan(quotas)
+    assert quotas.agg(F.sum("__quota")).first()[0] == rows // 5
+
+
+def test_a_run_leaves_nothing(spark):
+    from veilframe.session import materialize, scratch_run, shared_dir
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    with scratch_run(spark) as root:
+        assert materialize(spark.range(5), "few").count() == 5
+        path = hadoop.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        assert root.startswith(shared_dir(spark)) and fs.exists(path)
+    assert not fs.exists(path)

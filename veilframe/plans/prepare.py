@@ -78,4 +78,4 @@ def prepare(df: DataFrame, config: PrepareConfig = PrepareConfig(), order: Colum
         tagged = stratified_split(kept, config.target, config.holdout, config.seed, order)
     else:
         tagged = random_split(kept, config.holdout, config.seed, order)
-    return Prepared(materialize(tagged, "split"), roles, report, config)
+    return Prepared(materialize(tagged, "split", partition_by="split"), roles, report, config)

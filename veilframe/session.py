@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,19 +51,46 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_runs: list[str] = []  # folders of the runs that are open, the innermost last
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/veilframe-{label}-{uuid.uuid4().hex}"
+    """A fresh path below the folder of the open run, or else below the shared folder."""
+    return f"{_runs[-1] if _runs else shared_dir(spark)}/veilframe-{label}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession, remove: bool = True) -> Iterator[str]:
+    """Intermediate tables written inside share one folder, which is removed at the end.
+
+    Results that are needed afterwards must be written elsewhere before; frames made inside cannot be read any more. With
+    ``remove`` false the folder stays, and its path can be given to ``remove_path`` later.
+    """
+    root = scratch_path(spark, "run")
+    _runs.append(root)
+    try:
+        yield root
+    finally:
+        _runs.remove(root)
+        if remove:
+            remove_path(spark, root)
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Used where a frame is read several times or was costly to make. The files
     survive the loss of executors, and reading them back gives the optimizer
-    true sizes for its join choices.
+    true sizes for its join choices. Filters on ``partition_by`` skip whole folders.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c.replace('`', '``')}`" for c in df.columns])
