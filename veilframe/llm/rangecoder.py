@@ -27,11 +27,14 @@ HEADER = struct.Struct("<4sIIIIII")     # magic, ids, lanes, vocabulary, bytes o
 
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
-_SCALE = 16                             # bits of a coded probability
-_REFRESH = 4                            # steps between order-0 tables
-_GAIN = 24                              # what an occurrence adds to an id's count
+_SCALE = np.uint64(16)                  # bits of a coded probability
+_REFRESH = 8                            # steps between tables of probabilities
+_LEVELS, _SIZES = 8, 24                 # confidences of an order; magnitudes of a count
+# confidence after a miss (halved) and after a hit (one more)
+_NEXT = np.array([*(x >> 1 for x in range(_LEVELS)), *(min(x + 1, _LEVELS - 1) for x in range(_LEVELS))], np.int8)
+_GAIN = np.int32(24)                              # what an occurrence adds to an id's count
 _TABLE = 1 << 17                        # slots of the order-2 table
-_NONE = np.int64(-1)
+_NONE = np.int32(-1)
 
 # stretch(p) = ln(p / (1 - p)) in 1/256, for p in 1/4096; squash is its inverse
 _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
@@ -39,67 +42,83 @@ _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) fo
 
 
 class _Models:
-    """Predictions for one step of all lanes, and what is learnt from it."""
+    """Predictions for one step of all lanes, and what is learnt from it.
+
+    What the mixing sees of an order is its confidence (order 0: the magnitude of the predicted id's count), so mixed
+    probabilities are looked up in tables, which are made anew at every refresh.
+    """
 
     def __init__(self, lanes: int, vocabulary: int) -> None:
-        self.counts = np.ones(vocabulary, np.int64)
+        self.counts = np.ones(vocabulary, np.int32)     # their sum stays far below 2**31
+        self.sizes = np.ones(vocabulary + 1, np.int8)   # magnitudes of the counts, as of the last refresh
         self.limits = np.arange(vocabulary + 1, dtype=np.int64)
-        self.total, self.steps = vocabulary, 0
+        self.steps = 0
         self.last = [np.full(lanes, vocabulary, np.int64), np.full(lanes, vocabulary, np.int64)]
         self.ids = [np.full(vocabulary + 1, _NONE), np.full(_TABLE, _NONE)]     # order 1, order 2
-        self.sure = [np.zeros(vocabulary + 1, np.int64), np.zeros(_TABLE, np.int64)]
-        self.hits = np.full((2, 8), 1024, np.int64)      # of 4096, by order and confidence
+        self.sure = [np.zeros(vocabulary + 1, np.int8), np.zeros(_TABLE, np.int8)]
+        self.hits = np.full((2, _LEVELS), 1024, np.int64)      # of 4096, by order and confidence
         self.weights = np.array([[40000, 20000, 6000], [0, 50000, 6000]], np.int64)  # of 65536, for order 2 and order 1
+        self._mix()
+
+    def _mix(self) -> None:
+        """Mixed probabilities (of 4096) of the order-2 id and of the order-1 id, by what the orders say of them."""
+        total = int(self.limits[-1]).bit_length()
+        t1, t2 = _STRETCH[self.hits[0]], _STRETCH[self.hits[1]]
+        t0 = _STRETCH[np.minimum(4095, (1 << np.arange(_SIZES + 1)) * 4096 >> total)][:_SIZES]
+        # by confidence of order 2, whether order 1 agrees and how surely, size of the count
+        agree = np.concatenate(([0], t1))
+        self.inputs = [np.stack(np.broadcast_arrays(t2[:, None, None], agree[None, :, None], t0[None, None, :])).reshape(3, -1),
+                       np.stack(np.broadcast_arrays(np.zeros((_LEVELS, _SIZES), np.int64), t1[:, None], t0[None, :])).reshape(3, -1)]
+        self.mixed = [_SQUASH[np.clip((w[:, None] * x).sum(0) >> 16, -2047, 2047) + 2047].astype(np.int32) for w, x in zip(self.weights, self.inputs)]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Order-2 id, order-1 id, and their shares of 2**16."""
         one, two = self.last
-        self.slots = [one, ((two * 40503 + one * 2654435761) >> 7) & (_TABLE - 1)]
-        first, second = self.ids[0][self.slots[0]], self.ids[1][self.slots[1]]
-        s1, s2 = self.sure[0][self.slots[0]], self.sure[1][self.slots[1]]
-        same = (first == second) & (second >= 0)
-        t1, t2 = _STRETCH[self.hits[0][s1]], _STRETCH[self.hits[1][s2]]
-        zero = np.minimum(4095, self.counts[np.maximum(second, 0)] * 4096 // self.total)
-        zero1 = np.minimum(4095, self.counts[np.maximum(first, 0)] * 4096 // self.total)
-        self.inputs = [np.stack((t2, np.where(same, t1, 0), _STRETCH[zero])), np.stack((np.zeros_like(t1), t1, _STRETCH[zero1]))]
-        mixed = [_SQUASH[np.clip((w[:, None] * x).sum(0) >> 16, -2047, 2047) + 2047] for w, x in zip(self.weights, self.inputs)]
-        self.mixed, self.guess, self.levels = mixed, (first, second), (s1, s2)
-        usable1 = (first >= 0) & ~same
-        part2 = np.where(second >= 0, mixed[0] << 4, 1)
-        part1 = np.where(usable1, ((65536 - part2) * mixed[1]) >> 12, 1)
-        return second, first, np.clip(part2, 1, 65000), np.clip(np.minimum(part1, 65400 - np.clip(part2, 1, 65000)), 1, 65000)
+        self.slots = (one, ((two * 40503 + one * 2654435761) >> 7) & (_TABLE - 1))
+        first, second = self.ids[0][one], self.ids[1][self.slots[1]]
+        level1, level2 = self.sure[0][one], self.sure[1][self.slots[1]]
+        same = first == second
+        self.guess, self.levels = (first, second), (level1, level2)
+        agree = (level1 + np.int8(1)) * same
+        # an id of -1 (none yet) finds the last size, which no id has
+        self.spots = ((level2 * np.int16(_LEVELS + 1) + agree) * np.int16(_SIZES) + self.sizes[second], level1 * np.int16(_SIZES) + self.sizes[first])
+        part2 = self.mixed[0][self.spots[0]] << 4
+        part2[second < 0] = 1
+        part1 = (65300 - part2) * self.mixed[1][self.spots[1]] >> 12
+        part1[same | (first < 0)] = 1
+        np.maximum(part1, 1, out=part1)
+        return second, first, part2, part1
 
     def learn(self, ids: np.ndarray, active: int) -> None:
         """``ids`` of the lanes; only the first ``active`` lanes have one."""
-        first, second = self.guess
-        now = ids[:active]
-        for k, (guess, x) in enumerate(((second, self.inputs[0]), (first, self.inputs[1]))):
-            have = guess[:active] >= 0
-            if have.any():
-                error = np.where(guess[:active] == now, 4095, 0) - self.mixed[k][:active]
-                self.weights[k] += (x[:, :active] * np.where(have, error, 0)).sum(1) // (256 * active)
-        np.clip(self.weights, -262144, 262144, out=self.weights)
-        for k, guess in enumerate((first, second)):
-            slot, level = self.slots[k][:active], self.levels[k][:active]
-            guess = guess[:active]
+        now = ids[:active].astype(np.int32)
+        self.steps += 1
+        refresh = self.steps % _REFRESH == 0
+        for k in (0, 1):
+            guess, level, slot = self.guess[k][:active], self.levels[k][:active], self.slots[k][:active]
             hit = guess == now
-            known = guess >= 0
-            for s in range(8):
-                here = known & (level == s)
-                n = int(here.sum())
-                if n:
-                    rate = int((hit & here).sum()) * 4095 // n
-                    self.hits[k][s] += (rate - self.hits[k][s]) // 8
-            np.clip(self.hits[k], 1, 4094, out=self.hits[k])
+            if refresh:
+                self._adapt(k, hit, guess >= 0, level, self.spots[1 - k][:active])
             self.ids[k][slot] = np.where(hit | (level > 0), guess, now)
-            self.sure[k][slot] = np.where(hit, np.minimum(level + 1, 7), level >> 1)
-        np.add.at(self.counts, now, _GAIN)
-        self.steps += 1
-        if self.steps % _REFRESH == 0:
+            self.sure[k][slot] = _NEXT[level + np.int8(_LEVELS) * hit]
+        np.add.at(self.counts, ids[:active], _GAIN)
+        if refresh:
             np.cumsum(self.counts, out=self.limits[1:])
-            self.total = int(self.limits[-1])
+            np.minimum(np.frexp(self.counts.astype(np.float32))[1], _SIZES - 1, out=self.sizes[:-1], casting="unsafe")
+            self._mix()
         self.last = [ids, self.last[0]]
 
+    def _adapt(self, k: int, hit: np.ndarray, known: np.ndarray, level: np.ndarray, spot: np.ndarray) -> None:
+        """Hit rates by confidence, and a step of the weights against the mean error; ``k`` 0 is order 1."""
+        seen = np.bincount((2 * level + hit)[known], minlength=2 * _LEVELS).reshape(_LEVELS, 2).astype(np.int64)
+        n = seen.sum(1)
+        rate = seen[:, 1] * 4095 // np.maximum(n, 1)
+        self.hits[k] = np.clip(np.where(n > 0, self.hits[k] + (rate - self.hits[k]) // 4, self.hits[k]), 1, 4094)
+        if known.any():
+            error = np.where(hit, 4095, 0) - self.mixed[1 - k][spot]
+            step = (self.inputs[1 - k][:, spot] * np.where(known, error, 0)).sum(1) // (64 * len(hit))
+            self.weights[1 - k] = np.clip(self.weights[1 - k] + step, -262144, 262144)
+
 
 def _interval(models: _Models, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of order 0, as its table stood at the last refresh."""
@@ -126,9 +145,10 @@ class _Writer:
         self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
         self.words, self.at = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
 
-    def code(self, lanes: np.ndarray | slice, start: np.ndarray, part: np.ndarray, total) -> None:
+    def code(self, lanes: np.ndarray | slice, start: np.ndarray, part: np.ndarray, total: int = 0) -> None:
+        """An interval of each lane: of ``total``, by default of the scale of probabilities."""
         low, size = self.low[lanes], self.size[lanes]
-        unit = size // total
+        unit = size // np.uint64(total) if total else size >> _SCALE
         low = low + unit * start.astype(np.uint64)
         size = unit * part.astype(np.uint64)
         lane = np.arange(len(self.low))[lanes]
@@ -163,9 +183,9 @@ class _Reader:
             self.value = (self.value << _16) | self.words[self.at]
             self.at += 1
 
-    def target(self, lanes, total) -> np.ndarray:
-        self.unit = self.size[lanes] // total
-        return np.minimum(((self.value[lanes] - self.low[lanes]) // self.unit).astype(np.int64), np.int64(total) - 1)
+    def target(self, lanes: np.ndarray | slice, total: int = 0) -> np.ndarray:
+        self.unit = self.size[lanes] // np.uint64(total) if total else self.size[lanes] >> _SCALE
+        return np.minimum(((self.value[lanes] - self.low[lanes]) // self.unit).astype(np.int64), (total or 65536) - 1)
 
     def consume(self, lanes, start: np.ndarray, part: np.ndarray) -> None:
         low = self.low[lanes] + self.unit * start.astype(np.uint64)
@@ -200,11 +220,11 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> bytes:
         is1 = ~is2 & (mine == first)
         start = np.where(is2, 0, np.where(is1, part2, part2 + part1))
         part = np.where(is2, part2, np.where(is1, part1, 65536 - part2 - part1))
-        writer.code(slice(0, held), start, part, np.uint64(65536))
+        writer.code(slice(0, held), start, part)
         rest = np.flatnonzero(~is2 & ~is1)
         if len(rest):
             start, part = _interval(models, mine[rest])
-            writer.code(rest, start, part, np.uint64(int(models.limits[-1])))
+            writer.code(rest, start, part, int(models.limits[-1]))
         models.learn(now, held)
     lengths, words = writer.finish()
     return lengths.astype("<u4").tobytes() + words
@@ -221,7 +241,7 @@ def decode_ids(data: bytes, n: int, lanes: int, vocabulary: int) -> np.ndarray:
     for i in range(steps):
         held = min(lanes, max(0, -(-(n - i) // steps)))
         second, first, part2, part1 = (x[:held] for x in models.predict())
-        target = reader.target(slice(0, held), np.uint64(65536))
+        target = reader.target(slice(0, held))
         is2 = target < part2
         is1 = ~is2 & (target < part2 + part1)
         start = np.where(is2, 0, np.where(is1, part2, part2 + part1))
@@ -230,7 +250,7 @@ def decode_ids(data: bytes, n: int, lanes: int, vocabulary: int) -> np.ndarray:
         now = np.where(is2, second, first)
         rest = np.flatnonzero(~is2 & ~is1)
         if len(rest):
-            target = reader.target(rest, np.uint64(int(models.limits[-1])))
+            target = reader.target(rest, int(models.limits[-1]))
             found = np.searchsorted(models.limits, target, "right") - 1
             now[rest] = found
             reader.consume(rest, *_interval(models, found))

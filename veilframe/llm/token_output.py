@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import scratch_path
-from .common import q, text_or_empty
+from .common import materialize, q, text_or_empty
 from .rangecoder import BLOCK_IDS, open_block, pack_block
 from .tokenizers_fast import IdWriter, plan
 
@@ -178,7 +178,7 @@ def id_digests(files: DataFrame) -> DataFrame:
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     starts = totals.select(F.col("part").alias("__part"), F.coalesce(
         F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    pieces = read_ids(files, with_ids=False).drop("ids")
+    pieces = materialize(read_ids(files, with_ids=False).drop("ids"), "read-back")  # decoded once
     whole = pieces.where(~F.col("split")).select("part", "doc_id", "place", "n", "crc")
     joined = (pieces.where("split").groupBy("part", "document").agg(
         F.first("doc_id").alias("doc_id"), F.min("place").alias("place"), F.sum("n").alias("n"),
