@@ -17,7 +17,7 @@ HEADLINE = [
     "prepare_dataset", "stratified_split", "preprocess", "detect_column_roles", "profile_continuous", "profile_categorical_topk",
     "classical_metrics", "dcr_summary", "nearest_orders", "mia_rank_auc", "jsd_numeric", "tvd_categorical", "marginal_summary",
     "pearson_mae", "cramers_v_mae", "quality_score", "roc_auc_rank", "synth_tree", "synth_copula", "synth_dp_tree",
-    "run_history_merge", "run_log_extract", "verdict",
+    "privacy_report", "utility_report", "ml_efficacy", "mia_attack", "run_history_merge", "run_log_extract", "verdict",
 ]
 
 
