@@ -38,7 +38,7 @@ LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7":
               "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou"}
 SEPARATORS = " .-_*~'/\\,:;|+"
 
-_EDGES = re.compile(r"^[^\w@$€£+|(<*]+|[^\w@$€£+*]+$")
+_BEFORE, _AFTER = ".,;:!?'\"#%&)>[]{}/\\=~^`-_–—…«»„“”‘’¿", ".,;:!?'\"#%&()<>|[]{}/\\=~^`-_–—…«»„“”‘’*"
 _SUSPECT = re.compile(r"(?:[^\W\d_].*[0-9@$!|+(<€£¡*#.\-_~]|[0-9@$!|+(<€£¡*#].*[^\W\d_]|(.)\1\1)")
 _APART = re.compile(r"(?:(?<=\s)|^)\S(?:[ .\-_*~]{1,2}\S){2,}(?=[\s.,;:!?]|$)")
 
@@ -57,18 +57,31 @@ def _code(c: str) -> int:
 _TABLE = np.array([_code(chr(p).lower()[:1]) for p in range(0x250)], np.int64)
 
 
+def _letter_triples(text: str) -> np.ndarray:
+    """Each letter (or end of a word, 0) of a stretch of text with the two before it, as one number."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 27 + points % 37).astype(np.int32)
+    inside = codes > 0
+    inside[1:] |= codes[:-1] > 0
+    codes = np.concatenate((np.zeros(1, np.int32), codes[inside], np.zeros(1, np.int32)))  # one 0 between words
+    before = np.where(codes[1:-1] == 0, 0, codes[:-2])
+    return (before * _SYMBOLS + codes[1:-1]) * _SYMBOLS + codes[2:]
+
+
 def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of letter triples (two contexts and a letter, 0 between words) of all texts of a task."""
-    total = np.zeros(_SYMBOLS ** 3, np.int64)
+    """Counts of letter triples of all texts of a task."""
+    total, waiting, held = np.zeros(_SYMBOLS ** 3, np.int64), [], 0
     for batch in batches:
         for text in batch.column(0):
             text = text.as_py() or ""
             for start in range(0, len(text), SLICE):
-                points = np.frombuffer(text[start:start + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-                codes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 27 + points % 37)
-                codes = np.concatenate(([0], codes[(codes > 0) | np.concatenate(([True], codes[:-1] > 0))], [0]))  # one 0 between words
-                before = np.where(codes[1:-1] == 0, 0, codes[:-2])
-                total += np.bincount((before * _SYMBOLS + codes[1:-1]) * _SYMBOLS + codes[2:], minlength=len(total))
+                waiting.append(_letter_triples(text[start:start + SLICE]))
+                held += len(waiting[-1])
+                if held > 2 * SLICE:
+                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                    waiting, held = [], 0
+    if waiting:
+        total += np.bincount(np.concatenate(waiting), minlength=len(total))
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"gram": pa.array(found, pa.int32()), "n": pa.array(total[found])})
 
@@ -140,13 +153,16 @@ class Reader:
         self.memory = _Memory(self._entries if lexicon is None else self._weight, 200_000)
 
     def word(self, token: str) -> str:
-        token = _EDGES.sub("", token)
+        if not token.isalpha():
+            token = token.lstrip(_BEFORE).rstrip(_AFTER)
+        if token.isalpha() and len(set(token)) > len(token) - 2:    # no letter can stand three times in a row
+            return token
         return self.decoder.restore(token) if _SUSPECT.search(token) else token
 
     def _entries(self, token: str) -> tuple[int, ...]:
         """The word itself and its beginnings; 0 for a beginning that the word does not have."""
         word = self.word(token)
-        if len(word) < 3 or not any(map(str.isalpha, word)):
+        if len(word) < 3 or not (word.isalpha() or any(map(str.isalpha, word))):
             return ()
         return (_entry("w", word), *(_entry("b", word[:n]) if len(word) > n else 0 for n in BEGINNINGS))
 
