@@ -38,8 +38,7 @@ class UrlModel(NamedTuple):
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty for a null one or one without ``://``."""
     url = F.coalesce(url.cast("string"), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr("1")).isNotNull()
-    tail = F.when(rest, F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)).otherwise(F.lit(""))
+    tail = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)).otherwise(F.lit(""))
     host = F.regexp_extract(tail, r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(tail, r"(?s)^[^/?#]*([^?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
