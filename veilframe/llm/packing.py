@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import materialize, q, text_or_empty
-from .tokenizers_fast import IdWriter, plan
+from .tokenizers_fast import IdWriter, plan, shared_encoder
 
 LENGTH = 2048
 END = 0
@@ -34,17 +34,15 @@ _PIECE = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.St
 def piece_column(path: str, end: int = END, length: int = LENGTH, ids: bool = True):
     """Column function: text → its pieces: number, start, length, ids (little-endian unsigned 32 bit) and their crc32."""
     settled = plan(path)
-    kept: list[IdWriter] = []
     last = end.to_bytes(4, "little")
 
     @F.arrow_udf(_PIECE)
     def pieces(texts: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(IdWriter(settled))
+        encode = shared_encoder(IdWriter, settled).of_text
         number, start, size, body, crc, offsets = [], [], [], [], [], [0]
         for x in texts:
             text = x.as_py()
-            whole = memoryview((kept[0].of_text(text) if text else b"") + last)
+            whole = memoryview((encode(text) if text else b"") + last)
             for k in range(0, len(whole), 4 * length):
                 part = whole[k:k + 4 * length]
                 number.append(k // (4 * length))

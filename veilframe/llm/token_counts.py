@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import q, text_or_empty
-from .tokenizers_fast import Counter, plan
+from .tokenizers_fast import Counter, plan, shared_encoder
 
 OVER = 512
 
@@ -19,13 +19,10 @@ OVER = 512
 def token_counter(path: str):
     """Column function: text → number of tokens, as the library for the vocabulary file counts them."""
     settled = plan(path)
-    kept: list[Counter] = []  # one for a task's worker
 
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(Counter(settled))
-        count = kept[0].of_text
+        count = shared_encoder(Counter, settled).of_text
         return pa.array([count(text) if text else 0 for text in texts.to_pylist()], pa.int64())
 
     return n_tokens

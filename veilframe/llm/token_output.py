@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..session import scratch_path
 from .common import materialize, q, text_or_empty
 from .rangecoder import BLOCK_IDS, open_block, pack_block
-from .tokenizers_fast import IdWriter, plan
+from .tokenizers_fast import IdWriter, plan, shared_encoder
 
 END = 2
 _PLACE = "<IQQIBB"    # part, first id's place, first document's number, documents, goes on from before, goes on after
@@ -74,7 +74,7 @@ def _encode(path: str, end: int, size: int):
     settled = plan(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, blocks = IdWriter(settled), _Blocks(TaskContext.get().partitionId(), size)
+        writer, blocks = shared_encoder(IdWriter, settled), _Blocks(TaskContext.get().partitionId(), size)
         last = end.to_bytes(4, "little")
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

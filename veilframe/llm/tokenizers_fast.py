@@ -237,3 +237,14 @@ class IdWriter(_Encoder):
     def of_library(self, text: str) -> bytes:
         ids = self.tok.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_shared: dict[tuple[type, str], _Encoder] = {}
+
+
+def shared_encoder(kind: type[_Encoder], settled: Plan) -> _Encoder:
+    """The process's encoder of this kind: what it remembers serves all tasks of a Python worker."""
+    key = (kind, settled.path)
+    if key not in _shared:
+        _shared[key] = kind(settled)
+    return _shared[key]
