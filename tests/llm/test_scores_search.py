@@ -184,6 +184,29 @@ def test_nearest_is_exact_with_factor_one(spark):
     assert [tuple(r)[:3] for r in nearest(few).collect()] == [(0, 1, 1)]
 
 
+def test_repeated_rows_are_one_candidate(spark):
+    draw = np.random.default_rng(5)
+    ids, vectors = np.arange(1, 121), draw.normal(0, 1, (120, 4))
+    query = draw.normal(0, 1, 4)
+    near = np.argsort(distances(query[None], vectors)[0], kind="stable")
+    rows = [(0, query)] * 3 + list(zip(ids, vectors))
+    rows += [(ids[near[0]], vectors[near[0]])] * 30                                     # more copies than k
+    rows += [(ids[near[3]], vectors[near[3]])]
+    rows += [(ids[near[1]], vectors[near[1]] + (n + 1) * 1e-6) for n in range(15)]      # one id, many vectors
+    want = {}
+    for i, v in rows:
+        d = float(distances(query[None], v[None])[0, 0])
+        want[int(i)] = min(d, want.get(int(i), d))
+    del want[0]
+    want = sorted((d, i) for i, d in want.items())
+    frame = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id = 0")
+    for options in ({"k": 10}, {"k": 10, "shard_rows": 40, "leaf": 4}, {"k": 200}):
+        got = nearest(frame, asked, factor=1.0, **options).orderBy("rank").collect()
+        assert [(r["score"], r["vec_id"]) for r in got] == want[:options["k"]]
+        assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+
+
 def test_recall_of_relaxed_pruning(spark):
     frame = table(spark, "embeddings", LARGER)
     rows = frame.collect()

@@ -1,6 +1,7 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
-Vectors are dealt to shards by a hash of their id. A shard's equal vectors are folded, and a tree is built: an inner node
+Rows repeated with id and vector are folded, and the rest is dealt to shards by a hash of both. A shard's equal vectors are
+folded, and a tree is built: an inner node
 has a vantage point and the median distance to it, a leaf has a few hundred vectors. Queries come in blocks; every block
 goes to every shard, and what the shards find is merged by query.
 
@@ -50,8 +51,12 @@ class Tree:
         self.vectors, back = np.unique(vectors[order], axis=0, return_inverse=True)
         back = back.ravel()
         by = np.argsort(back, kind="stable")
-        self.ids = ids[order][by]                       # of equal vectors together, ascending
-        self.start = np.searchsorted(back[by], np.arange(len(self.vectors) + 1))
+        ids, back = ids[order][by], back[by]            # of equal vectors together, ascending
+        first = np.ones(len(ids), bool)
+        first[1:] = (ids[1:] != ids[:-1]) | (back[1:] != back[:-1])
+        self.ids, back = ids[first], back[first]        # an id once per vector
+        self.start = np.searchsorted(back, np.arange(len(self.vectors) + 1))
+        self.repeated = len(np.unique(self.ids)) < len(self.ids)    # ids with several vectors
         self.leaf = leaf
         self.root = self._build(np.arange(len(self.vectors)))
 
@@ -82,6 +87,11 @@ class Tree:
             all_d = np.hstack((best[active], wide))
             all_i = np.hstack((who[active], np.broadcast_to(ids, wide.shape)))
             all_i = np.where(np.isinf(all_d), np.iinfo(np.int64).max, all_i)
+            if self.repeated:   # of an id the nearest occurrence keeps its slot
+                by_id = np.lexsort((all_d, all_i))
+                all_d, all_i = np.take_along_axis(all_d, by_id, 1), np.take_along_axis(all_i, by_id, 1)
+                again = all_i[:, 1:] == all_i[:, :-1]
+                all_d[:, 1:][again], all_i[:, 1:][again] = np.inf, np.iinfo(np.int64).max
             keep = np.lexsort((all_i, all_d))[:, :k]
             best[active], who[active] = np.take_along_axis(all_d, keep, 1), np.take_along_axis(all_i, keep, 1)
             return d
@@ -132,10 +142,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, fa
     """
     def clean(df: DataFrame) -> DataFrame:
         return df.select(q(id_col).cast("long").alias("id"), q(vector_col).cast("array<double>").alias("vector")).where(
-            F.col("id").isNotNull() & usable(F.col("vector")))
+            F.col("id").isNotNull() & usable(F.col("vector"))).distinct()
 
-    all_ = clean(vectors)
-    asked = all_.where(F.pmod("id", F.lit(every)) == 0) if queries is None else clean(queries)
+    all_ = materialize(clean(vectors), "vectors")
+    asked = all_.where(F.pmod("id", F.lit(every)) == 0) if queries is None else materialize(clean(queries), "queries")
     shards = max(1, math.ceil(all_.count() / shard_rows))
     blocks = max(1, math.ceil(asked.count() / block_rows))
     shard = F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int")
