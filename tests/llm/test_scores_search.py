@@ -18,7 +18,7 @@ from veilframe.llm.quality import held_out, keep_good, quality_scores
 from veilframe.llm.rangecoder import decode_ids, encode_ids, open_block, pack_block
 from veilframe.llm.text_stats import STATS, text_stats
 from veilframe.llm.token_output import FILE_COLUMNS, combine_crc32, read_ids, round_trip, write_ids
-from veilframe.llm.toxicity import Decoder, letter_model, toxicity_scores
+from veilframe.llm.toxicity import Decoder, Reader, letter_model, toxicity_scores
 from veilframe.llm.url_filter import RULES, allowed_pages, judge_urls
 from veilframe.llm.vptree import Tree, distances, nearest
 
@@ -105,6 +105,17 @@ def test_decoding(spark, written, meant):
     assert Decoder(costs).restore(written) == meant
 
 
+@pytest.mark.parametrize("text, hidden", [("what a l o s e r", "loser"), ("you are a m o r o n", "moron"), ("m   o   r   o   n", "moron"), ("you m o r o n   l o s e r", "loser"),
+                                          ("m / o / r / o / n", "moron"), ("t,r,a,s,h", "trash"), ("lloser", "loser"), ("idiiot", "idiot"), ("you/moron", "moron"), ("tr:ash", "trash"),
+                                          ("(l o s e r)", "loser"), ("stuupid", "stupid"), ("a stupid loser", "stupid")])
+def test_hidden_words_are_read(spark, text, hidden):
+    texts = ["an idiot and a pathetic loser in the trash", "stupid moron scum and worthless clown", "the reading of the then and other things"] * 20
+    costs = letter_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    reader = Reader(costs)
+    word = reader._entries(hidden)[0]
+    assert any(set(word) <= set(read) for read in reader.of_text(text))
+
+
 def test_hidden_words_are_caught(spark):
     plain = table(spark, "documents", LARGER)
     clean = [r["text"] for r in plain.where("lang = 'en'").limit(30).collect()]
@@ -114,6 +125,16 @@ def test_hidden_words_are_caught(spark):
     assert got.predicted.mean() > 0.9
 
 
+def test_words_set_apart_beside_others_are_caught(spark):
+    plain = table(spark, "documents", LARGER)
+    clean = [r["text"] for r in plain.where("lang = 'en'").limit(30).collect()]
+    forms = ["you are a m o r o n and a l o s e r, a i d i o t", "m   o   r   o   n and l   o   s   e   r and i   d   i   o   t", "what a moroon, a llosser, an iddiot"]
+    hidden = [(5_000_000 + k, f"{t[:200]} {forms[k % 3]}") for k, t in enumerate(clean)]
+    docs = plain.select("doc_id", "text").unionByName(spark.createDataFrame(hidden, "doc_id long, text string"))
+    got = toxicity_scores(docs, table(spark, "labels", LARGER)).where("doc_id >= 5000000").toPandas()
+    assert got.predicted.mean() > 0.9
+
+
 def by_rules(url):
     if not url or "://" not in url:
         return "", "", None, None

@@ -1,17 +1,20 @@
 """Toxicity of texts behind a noisy channel: odd spellings are decoded, then the restored text is scored.
 
-The channel: letters are written as look-alike signs, repeated, hidden behind a sign, or set apart by spaces and dots. A
-token that looks like that opens a lattice of readings; Viterbi search finds the likeliest under a letter model (order
-2) counted over the whole corpus. The restored words, and their beginnings, are looked up in a lexicon that was learnt
-from labelled documents: what is significantly more frequent in toxic ones. A word weighs as much as its heaviest entry;
+The channel: letters are written as look-alike signs, repeated, hidden behind a sign, or set apart by separators. A token
+that looks like that opens a lattice of readings, in which a separator may also end a word; Viterbi search finds the
+likeliest under a letter model (order 2) counted over the whole corpus, and the words of readings nearly as likely. The
+restored words, and their beginnings, are looked up in a lexicon that was learnt from labelled documents: what is
+significantly more frequent in toxic ones. A word weighs as much as the heaviest entry of its readings;
 a logistic regression on the weights of a text's words, in sum and for its length, gives the probability.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +33,6 @@ SURE = 18.0             # likelihood ratio (2 ln) that a lexicon entry needs
 LEAST_WEIGHT = 2.0      # how much more frequent it is in toxic documents (ln)
 LEAST_DOCS = 3          # toxic documents that have it
 BEGINNINGS = (3, 4, 5, 6)   # letters of a word's beginning that are entries of their own
-STRIDE = 1 + len(BEGINNINGS)
 SLICE = 1 << 20
 
 # Letters that a sign can stand for; "*" hides any vowel.
@@ -39,8 +41,10 @@ LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7":
 SEPARATORS = " .-_*~'/\\,:;|+"
 
 _BEFORE, _AFTER = ".,;:!?'\"#%&)>[]{}/\\=~^`-_–—…«»„“”‘’¿", ".,;:!?'\"#%&()<>|[]{}/\\=~^`-_–—…«»„“”‘’*"
-_SUSPECT = re.compile(r"(?:[^\W\d_].*[0-9@$!|+(<€£¡*#.\-_~]|[0-9@$!|+(<€£¡*#].*[^\W\d_]|(.)\1\1)")
-_APART = re.compile(r"(?:(?<=\s)|^)\S(?:[ .\-_*~]{1,2}\S){2,}(?=[\s.,;:!?]|$)")
+_SIGNS, _GAPS = "".join(map(re.escape, LOOKS_LIKE)), "".join(map(re.escape, SEPARATORS))
+_SUSPECT = re.compile(rf"(?:[^\W\d_].*[0-9{_SIGNS}{_GAPS}]|[0-9{_SIGNS}].*[^\W\d_]|(.)\1)")
+_DOUBLED = re.compile(r"(.)\1")
+_APART = re.compile(rf"(?<![^\W_])(?:[*|+][{_GAPS}]+)?[^\s{_GAPS}](?:[{_GAPS}]+[^\s{_GAPS}]){{2,}}(?:[{_GAPS}]+[*|+])?(?![^\W_])")
 
 _SPACE = re.compile(r"\s")
 
@@ -103,42 +107,78 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi search for the likeliest word behind a written form."""
+    """Viterbi search for the likeliest words behind a written form."""
 
-    SIGN, REPEAT, GAP, KEEP = 0.6, 2.0, 0.4, 6.0
+    SIGN, REPEAT, GAP, KEEP, END = 0.6, 2.0, 0.4, 6.0, 0.4
+    BEAM = 6.0      # readings so much less likely (−ln) than the best at a place are still followed
 
     def __init__(self, costs: np.ndarray) -> None:
-        self.costs = costs
+        self.costs = costs.ravel().tolist()
 
     def restore(self, written: str) -> str:
-        """The states are the last two letters read; each written sign may give a letter or nothing."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        previous = ""
-        for c in written:
-            choices: list[tuple[str, float]] = []
-            if c.isalpha():
-                choices.append((c, 0.0))
-            choices += [(x, self.SIGN + 0.7 * (c in "*#")) for x in LOOKS_LIKE.get(c, "")]
-            if c == previous and c.isalpha():
-                choices.append(("", self.REPEAT * 0.5))
-            if c in SEPARATORS:
-                choices.append(("", self.GAP))
-            elif not choices:
-                choices.append(("", self.KEEP))
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, word) in paths.items():
-                for x, price in choices:
-                    if x:
-                        k = _code(x)
-                        state, total, longer = (b, k), cost + price + float(self.costs[a, b, k]), word + x
-                    else:
-                        state, total, longer = (a, b), cost + price + 2.0 * (c not in SEPARATORS), word
+        """The likeliest reading."""
+        return " ".join(words[0] for words in self.read(written))
+
+    def read(self, written: str) -> list[list[str]]:
+        """The words of the likeliest reading, each before the other words that were read at its place.
+
+        Each written sign may give a letter or nothing, a separator also the end of a word. The states are where the word
+        began, how many repeats were left out, and the last two letters read.
+        """
+        costs, paths, seen, previous = self.costs, {(0, 0, 0, 0): (0.0, None, None)}, [], ""
+        for at, c in enumerate(written):
+            letters = [(c, _code(c), 0.0)] if c.isalpha() else []
+            letters += [(x, _code(x), self.SIGN + 0.7 * (c in "*#")) for x in LOOKS_LIKE.get(c, "")]
+            apart = c in SEPARATORS
+            skip = self.GAP if apart else self.REPEAT * 0.5 + 2 if c == previous and c.isalpha() else None if letters else self.KEEP + 2
+            following: dict[tuple[int, int, int, int], tuple] = {}
+            ends = []
+            for (start, left, a, b), (cost, word, words) in paths.items():
+                row = (a * _SYMBOLS + b) * _SYMBOLS
+                for x, k, price in letters:
+                    state, total = (start, left, b, k), cost + price + costs[row + k]
                     if state not in following or total < following[state][0]:
-                        following[state] = (total, longer)
-            paths, previous = following, c
-        if not paths:
-            return ""
-        return min((cost + float(self.costs[a, b, 0]), word) for (a, b), (cost, word) in paths.items())[1]
+                        following[state] = (total, (word, x), words)
+                if skip is not None and (b or not apart):
+                    state, total = (start, left + (not apart), a, b), cost + skip
+                    if state not in following or total < following[state][0]:
+                        following[state] = (total, word, words)
+                if apart:
+                    state, total = (at + 1, 0, 0, 0), cost
+                    if b:
+                        total += self.END + costs[row]
+                        words = (words, (start, at, word))
+                        ends.append((total, words[1]))
+                    if state not in following or total < following[state][0]:
+                        following[state] = (total, None, words)
+            most = min(v[0] for v in following.values()) + self.BEAM
+            paths, previous = {k: v for k, v in following.items() if v[0] <= most}, c
+            seen += [place for total, place in ends if total <= most]
+        last = [(cost + (costs[(a * _SYMBOLS + b) * _SYMBOLS] if b else 0.0), (words, (start, len(written), word)) if b else words)
+                for (start, _, a, b), (cost, word, words) in paths.items()]
+        least = min(total for total, _ in last)
+        seen += [words[1] for total, words in last if words and total <= least + self.BEAM]
+        words, best = next(words for total, words in last if total == least), []
+        while words:
+            words, place = words
+            best.append(place)
+        best = best[::-1] or seen[:1]
+        found = [[_spelt(word)] for _, _, word in best]
+        starts = [start for start, _, _ in best]
+        for start, end, word in seen:
+            first = max(0, bisect.bisect_right(starts, start) - 1)
+            over = range(first, max(first + 1, bisect.bisect_left(starts, end)))
+            near = max(over, key=lambda k: min(end, best[k][1]) - max(start, starts[k]))
+            found[near].append(_spelt(word))
+        return [list(dict.fromkeys(x)) for x in found]
+
+
+def _spelt(word) -> str:
+    letters = []
+    while word:
+        word, x = word
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 def _entry(kind: str, text: str) -> int:
@@ -152,25 +192,32 @@ class Reader:
         self.decoder, self.lexicon = Decoder(costs), lexicon
         self.memory = _Memory(self._entries if lexicon is None else self._weight, 200_000)
 
-    def word(self, token: str) -> str:
+    def words(self, token: str) -> list[list[str]]:
+        """The words of a token, each with its other readings."""
         if not token.isalpha():
             token = token.lstrip(_BEFORE).rstrip(_AFTER)
-        if token.isalpha() and len(set(token)) > len(token) - 2:    # no letter can stand three times in a row
-            return token
-        return self.decoder.restore(token) if _SUSPECT.search(token) else token
+        if token.isalpha() and not _DOUBLED.search(token):
+            return [[token]]
+        return self.decoder.read(token) if _SUSPECT.search(token) else [[token]]
 
-    def _entries(self, token: str) -> tuple[int, ...]:
-        """The word itself and its beginnings; 0 for a beginning that the word does not have."""
-        word = self.word(token)
-        if len(word) < 3 or not (word.isalpha() or any(map(str.isalpha, word))):
-            return ()
-        return (_entry("w", word), *(_entry("b", word[:n]) if len(word) > n else 0 for n in BEGINNINGS))
-
-    def _weight(self, token: str) -> float:
-        return max((self.lexicon.get(x, 0.0) for x in self._entries(token)), default=0.0)
+    def _entries(self, token: str) -> tuple[tuple[int, ...], ...]:
+        """Of each word: its readings and their beginnings."""
+        out = []
+        for readings in self.words(token):
+            held = set()
+            for word in readings:
+                if len(word) >= 3 and (word.isalpha() or any(map(str.isalpha, word))):
+                    held.add(_entry("w", word))
+                    held.update(_entry("b", word[:n]) for n in BEGINNINGS if len(word) > n)
+            if held:
+                out.append(tuple(sorted(held)))
+        return tuple(out)
+
+    def _weight(self, token: str) -> tuple[float, ...]:
+        return tuple(max(self.lexicon.get(x, 0.0) for x in word) for word in self._entries(token))
 
     def of_text(self, text: str) -> list:
-        """What ``memory`` holds for the distinct tokens of each slice, those set apart letter by letter included."""
+        """What ``memory`` holds for the words of the distinct tokens of each slice, those set apart letter by letter included."""
         found: list = []
         start = 0
         while start < len(text):
@@ -181,9 +228,8 @@ class Reader:
             part = text[start:end].lower()
             start = end
             tokens = set(part.split())
-            if _APART.search(part):
-                tokens.update(m.group().replace(" ", "_") for m in _APART.finditer(part))
-            found.extend(map(self.memory.__getitem__, tokens))
+            tokens.update(x for x in (m.group() for m in _APART.finditer(part)) if " " in x)
+            found.extend(chain.from_iterable(map(self.memory.__getitem__, tokens)))
         return found
 
 
@@ -205,11 +251,11 @@ def evidence(weights: np.ndarray, words: int) -> tuple[float, ...]:
 def _reading(costs: np.ndarray):
     kept: list[Reader] = []
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def entries(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.append(Reader(costs))
-        return pa.array([[e for word in kept[0].of_text(x.as_py() or "") for e in word] for x in texts], pa.list_(pa.int32()))
+        return pa.array([kept[0].of_text(x.as_py() or "") for x in texts], pa.list_(pa.list_(pa.int32())))
 
     return entries
 
@@ -221,7 +267,7 @@ def _evidence_column(lexicon: dict[int, float]):
     def seen(entries: pa.Array) -> pa.Array:
         out = []
         for x in entries:
-            weights = np.array([lexicon.get(e, 0.0) for e in x.as_py() or ()], float).reshape(-1, STRIDE).max(1, initial=0.0)
+            weights = np.array([max(lexicon.get(e, 0.0) for e in word) for word in x.as_py() or ()], float)
             out.append(evidence(weights, len(weights)))
         return pa.array(out, pa.list_(pa.float64()))
 
@@ -233,11 +279,11 @@ def learn_lexicon(rows: DataFrame) -> dict[int, float]:
 
     ``rows (id, y, entries)`` is a bounded sample, and an entry is held by at least ``LEAST_DOCS`` of its toxic documents.
     """
-    words = rows.groupBy("y").agg(F.sum(F.size("entries") / STRIDE).alias("n"), F.count(F.lit(1)).alias("docs")).collect()
+    words = rows.groupBy("y").agg(F.sum(F.size("entries")).alias("n"), F.count(F.lit(1)).alias("docs")).collect()
     words = {r["y"]: float(r["n"] or 0) for r in words}
     if not words.get(1.0) or not words.get(0.0):
         return {}
-    each = rows.select("id", "y", F.explode("entries").alias("entry")).where(F.col("entry") != 0)
+    each = rows.select("id", "y", F.explode(F.flatten("entries")).alias("entry"))
     hits = materialize(each.where(F.col("y") == 1).groupBy("id", "entry").agg(F.count(F.lit(1)).alias("n"))
                        .groupBy("entry").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS), "hits")
     others = (each.where(F.col("y") == 0).join(small_side(hits.select("entry"), 12), "entry", "left_semi")
