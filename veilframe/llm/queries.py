@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from . import sql
+from .alignment import alignments
 from .common import ship_package
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
@@ -20,6 +21,7 @@ from .token_output import round_trip
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 from .vptree import nearest
+from .weak_rules import weak_quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +69,15 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignments(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_weak_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_quality(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -78,9 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_weak_rules": op12_weak_rules,
 }
 SQL: dict[str, str] = {
     "op1_exact_dedup": sql.OP1,
     "op5_nearest": sql.OP5,
     "op9_near_dedup": sql.OP9,
+    "op12_weak_rules": sql.OP12,
 }

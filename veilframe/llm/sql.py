@@ -1,5 +1,7 @@
 """DuckDB statements of the queries whose results SQL can express."""
 
+from . import weak_rules as rules
+
 OP1 = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
@@ -31,3 +33,50 @@ reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id,
 SELECT n.doc_id, len(any_value(shingles)) AS n_shingles, min(other) AS component_id, n.doc_id = min(other) AS kept
 FROM n JOIN reached USING (doc_id) GROUP BY n.doc_id
 """
+
+
+def _weak_rules() -> str:
+    """Counts by unnested windows, and the estimate as a recursive table with a row for each round."""
+    kinds, m = range(rules.KINDS + 1), len(rules.RULES)
+    start = [rules.ON_GOOD] * m + [rules.ON_KIND if r.kind == k else rules.ON_OTHER for k in range(rules.KINDS) for r in rules.RULES]
+    log = lambda k: f"ln(shares[{k + 1}])" + "".join(
+        f" + CASE v{j} WHEN 0 THEN ln(bad[{k * m + j + 1}]) WHEN 1 THEN ln(1 - bad[{k * m + j + 1}]) ELSE 0 END" for j in range(m))
+
+    def learnt(k: int, j: int) -> str:
+        low, high = (rules.CERTAIN, rules.MOST_ON_GOOD) if k == 0 else (
+            rules.LEAST_ON_KIND if rules.RULES[j].kind == k - 1 else rules.CERTAIN, 1 - rules.CERTAIN)
+        prior = f"{rules.PRIOR_WEIGHT} * sum(n)"
+        return (f"least({high}, greatest({low}, (coalesce(sum(p{k}) FILTER (v{j} = 0), 0) + {prior} * {start[k * m + j]}) / "
+                f"(coalesce(sum(p{k}) FILTER (v{j} IS NOT NULL), 0) + {prior})))")
+
+    shares = ", ".join(f"(sum(p{k}) + {rules.PRIOR_WEIGHT} * sum(n) * {rules.SHARES[k]}) / (sum(n) * (1 + {rules.PRIOR_WEIGHT}))" for k in kinds)
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 END AS v{j}" for j, r in enumerate(rules.RULES))
+    names = ", ".join(f"v{j}" for j in range(m))
+    logs = ", ".join(f"{log(k)} AS l{k}" for k in kinds)
+    each = ", ".join(f"n / ({' + '.join(f'exp(l{o} - l{k})' for o in kinds)}) AS p{k}" for k in kinds)
+    return rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, [x for x in regexp_split_to_array(text, '[\x20\x09-\x0D]+') if x <> ''] AS words,
+             [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM t),
+g AS (SELECT r, unnest(range(1, len(words) - 3)) AS i, unnest([words[i:i + 4] for i in range(1, len(words) - 3)]) AS gram FROM w),
+twice AS (SELECT r, unnest(range(i, i + 5)) AS place FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT place) AS n FROM twice GROUP BY r),
+c AS (SELECT r, doc_id, len(words) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             len(regexp_replace(text, '[^{rules.SYMBOLS}]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_replace(text, '[^{rules.UPPER}]+', '', 'g')) AS n_upper,
+             len(list_distinct(words)) AS n_distinct, len([i for i in range(2, len(words) + 1) if words[i] = words[i - 1]]) AS n_stutter,
+             len(regexp_replace(text, '[^{rules.STOPS}]+', '', 'g')) AS n_stops,
+             len(regexp_extract_all(text, '{rules.MARKS}')) AS n_marks FROM w LEFT JOIN repeated USING (r)),
+v AS (SELECT *, {votes} FROM c),
+table_of_votes AS (SELECT {names}, count(*) AS n FROM v GROUP BY ALL),
+em AS (SELECT 0 AS round, {[float(x) for x in rules.SHARES]}::DOUBLE[] AS shares, {start}::DOUBLE[] AS bad
+       UNION ALL
+       SELECT round + 1, [{shares}], [{', '.join(learnt(k, j) for k in kinds for j in range(m))}]
+       FROM (SELECT *, {each} FROM (SELECT *, {logs} FROM em, table_of_votes WHERE round < {rules.ROUNDS})) GROUP BY round)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({rules.BASE_FAILED}) AS base_failed,
+       NOT ({rules.BASE_FAILED}) AND 1 / (1 + exp(l1 - l0) + exp(l2 - l0)) >= 0.5 AS kept
+FROM (SELECT *, {logs} FROM v, em WHERE round = {rules.ROUNDS})
+"""
+
+
+OP12 = _weak_rules()

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,7 +22,7 @@ from typing import NamedTuple
 from tokenizers import Tokenizer
 
 SLICE = 1 << 20         # characters handled at a time
-MEMORY = 300_000        # pieces a worker remembers, in each of two generations
+MEMORY = 16 << 20       # bytes that one memory of an encoder may take, in each of two generations
 
 # The splitting rules of the two vocabularies, in the terms of Python's re.
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -136,21 +137,24 @@ def _whole_tokens(tok: Tokenizer, kind: str, spec: dict) -> frozenset:
     return frozenset(proven)
 
 
-class _Memory(dict):
-    """Bounded memory of ``compute``: two generations, so what is in use stays."""
+class Memory(dict):
+    """Memory of ``compute``, bounded by bytes: two generations, so what is in use stays."""
+
+    ENTRY = 110     # of a dictionary, for a key and a value
 
     def __init__(self, compute: Callable, limit: int = MEMORY) -> None:
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.size, self.old = compute, limit, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) < 256:  # a giant key is not worth keeping
-            if len(self) >= self.limit:
-                self.old = dict(self)
+            if self.size >= self.limit:
+                self.old, self.size = dict(self), 0
                 self.clear()
+            self.size += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
             self[key] = value
         return value
 
@@ -173,10 +177,10 @@ class _Encoder:
         self.plan, self.tok = settled, tokenizer(settled.path)
         self.model = self.tok.model
         self.unsafe = re.compile(settled.unsafe) if settled.kind != "other" else None
-        self.pieces = _Memory(self.of_piece, MEMORY // 4)
+        self.pieces = Memory(self.of_piece, MEMORY // 4)
         # a stretch of text as it stands: all of them for words, else only those with no space before
-        self.plain = _Memory(self._of_chunk, MEMORY if settled.kind == "word" else MEMORY // 4)
-        self.spaced = _Memory(lambda chunk: self._of_chunk(" " + chunk))  # the same with a space before it
+        self.plain = Memory(self._of_chunk, MEMORY if settled.kind == "word" else MEMORY // 4)
+        self.spaced = Memory(lambda chunk: self._of_chunk(" " + chunk))  # the same with a space before it
 
     def _of_chunk(self, chunk: str):
         pieces = BYTE_PIECES.findall(chunk) if self.plan.kind == "byte" else WORD_PIECES.findall(chunk.lower())
@@ -239,12 +243,28 @@ class IdWriter(_Encoder):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_shared: dict[tuple[type, str], _Encoder] = {}
+class PlainIdWriter(IdWriter):
+    """As ``IdWriter``, but the strings of special tokens are ordinary text."""
+
+    def __init__(self, settled: Plan) -> None:
+        super().__init__(settled)
+        self.tok = Tokenizer.from_file(settled.path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.tok.encode_special_tokens = True
+        self.model = self.tok.model
+
+
+_shared: dict[type, _Encoder] = {}
 
 
 def shared_encoder(kind: type[_Encoder], settled: Plan) -> _Encoder:
-    """The process's encoder of this kind: what it remembers serves all tasks of a Python worker."""
-    key = (kind, settled.path)
-    if key not in _shared:
-        _shared[key] = kind(settled)
-    return _shared[key]
+    """The process's encoder of this kind: what it remembers serves all tasks of a Python worker.
+
+    Any other is dropped: a worker outlives the stage that it was started for.
+    """
+    held = _shared.get(kind)
+    if held is None or held.plan.path != settled.path:
+        _shared.clear()
+        _shared[kind] = held = kind(settled)
+    return held

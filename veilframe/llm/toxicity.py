@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import materialize, q, small_side, text_or_empty
 from .quality import held_out, labelled_sample
-from .tokenizers_fast import _Memory
+from .tokenizers_fast import Memory
 
 TRAIN_ROWS = 20_000     # labelled documents used for fitting, about (a documented bound; scores cover all documents)
 SURE = 18.0             # likelihood ratio (2 ln) that a lexicon entry needs
@@ -190,7 +190,7 @@ class Reader:
 
     def __init__(self, costs: np.ndarray, lexicon: dict[int, float] | None = None) -> None:
         self.decoder, self.lexicon = Decoder(costs), lexicon
-        self.memory = _Memory(self._entries if lexicon is None else self._weight, 200_000)
+        self.memory = Memory(self._entries if lexicon is None else self._weight)
 
     def words(self, token: str) -> list[list[str]]:
         """The words of a token, each with its other readings."""
