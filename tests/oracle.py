@@ -70,7 +70,7 @@ def main():
     args = sys.argv[1:]
     folder = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = build_session("oracle", master="local[8]", shuffle_partitions=8, **{
-        "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1"})
+        "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     sqls, failed = e.oracle_sql(), []
