@@ -97,3 +97,29 @@ def carry_forward(df: DataFrame, group: list[str], position: str, values: dict[s
     local = cut.select("*", *[F.last(q(n), ignorenulls=True).over(inside).alias(f"__l_{n}") for n in names])
     joined = local.join(starts, keys, "left")
     return joined.select(*df.columns, *[F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n in names])
+
+
+def _segments(df: DataFrame, keys: list[str], order: list[Column], label: str) -> DataFrame:
+    """``df`` sorted by keys and order over many tasks and written, with ``__part`` and the place ``__at`` in the whole order.
+
+    A key of any size is cut where a task ends; rows alike in keys and order may be cut, too.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = "__row"   # so that rows that are alike don't crowd one range
+    salted = df.withColumn(row, F.monotonically_increasing_id())
+    by = [*[q(k) for k in keys], *order, F.col(row)]
+    return materialize(salted.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop(row)
+                       .withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), label)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Number the rows of each key 1, 2, … in ``order``; no task holds all rows of a frequent key."""
+    cut = _segments(df, keys, order, "numbered")
+    spans = cut.groupBy(*[q(k) for k in keys], "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*[q(k) for k in keys]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = spans.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"),
+                          (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    same = (F.col("__part") == F.col("__p"))
+    for i, k in enumerate(keys):
+        same = same & q(k).eqNullSafe(F.col(f"__k{i}"))
+    return cut.join(starts, same).select(*[q(c) for c in df.columns], (F.col("__at") + F.col("__shift") + 1).alias(out))
