@@ -15,6 +15,7 @@ from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
 from .mixing import mixed_words
 from .packing import packed_documents
+from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .token_counts import token_counts
 from .token_output import round_trip
@@ -78,6 +79,10 @@ def op12_weak_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -91,10 +96,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_token_alignment": op11_token_alignment,
     "op12_weak_rules": op12_weak_rules,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL: dict[str, str] = {
     "op1_exact_dedup": sql.OP1,
     "op5_nearest": sql.OP5,
     "op9_near_dedup": sql.OP9,
     "op12_weak_rules": sql.OP12,
+    "op13_prefix_trie": sql.OP13,
 }

@@ -80,3 +80,26 @@ FROM (SELECT *, {logs} FROM v, em WHERE round = {rules.ROUNDS})
 
 
 OP12 = _weak_rules()
+
+OP13 = r"""
+WITH t AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                  len([x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']) AS words
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(digest ORDER BY turn NULLS FIRST, digest) AS d, list(words ORDER BY turn NULLS FIRST, digest) AS w FROM t GROUP BY c),
+h AS (SELECT *, (xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT for x in string_split(c::VARCHAR, '')],
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+        4294967295) % 4)::BIGINT AS h FROM own),
+r AS (SELECT a.c, coalesce(b.d[1:a.h], []) || a.d[a.h + 1:] AS d, coalesce(b.w[1:a.h], []) || a.w[a.h + 1:] AS w
+      FROM h a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+p AS (SELECT c, len(d) AS length, unnest(range(0, len(d) + 1)) AS depth, unnest([d[1:i] for i in range(0, len(d) + 1)]) AS path,
+             unnest([coalesce(w[i], 0) for i in range(0, len(d) + 1)]) AS words FROM r),
+n AS (SELECT path, min(depth) AS depth, min(c) AS c, count(*) AS n, min(words) AS words,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length = depth), '')) AS ends FROM p GROUP BY path),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT unnest([n.path[1:i] for i in range(0, n.depth + 1)]) AS path, (n.n - 1) * n.words AS saved, (k.path IS NULL)::BIGINT AS leaf
+      FROM n LEFT JOIN k ON k.path = n.path),
+s AS (SELECT path, sum(saved)::BIGINT AS saved, sum(leaf)::BIGINT AS leaves FROM a GROUP BY path)
+SELECT n.c AS conv_id, n.depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(k.children, 0) AS n_children, s.leaves AS n_leaves,
+       s.saved AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n u ON n.depth > 0 AND u.path = n.path[1:n.depth - 1]
+"""
