@@ -40,39 +40,39 @@ def diagonal_runs(a: list[int], b: list[int]) -> list[Run]:
     ``i`` to ``i2`` and ``j`` to ``j2``, the ends left out.
     """
     found: list[Run] = []
+    add = found.append
     i = j = 0
     last_a, last_b = len(a), len(b)
+    a, b = [*a, -1], [*b, -2]   # so that looking one further is safe
     while i < last_a:
         x, y = a[i], b[j]
         first_i, first_j = i, j
-        if x != y:
-            while x != y:
-                if x < y:
-                    i += 1
-                    x = a[i]
-                else:
-                    j += 1
-                    y = b[j]
-            i += 1
-            j += 1
-            found.append((first_i, i, first_j, j, 0))
-            continue
         i += 1
         j += 1
-        if i < last_a and a[i] == b[j]:
-            room, step = min(last_a - i, last_b - j), 1
-            while step <= room and a[i:i + step] == b[j:j + step]:
-                i += step
-                j += step
-                room -= step
-                step += step
-            while step > 1:
-                step >>= 1
-                if step <= room and a[i:i + step] == b[j:j + step]:
+        if x == y:
+            if a[i] == b[j]:
+                room, step = min(last_a - i, last_b - j), 1
+                while step <= room and a[i:i + step] == b[j:j + step]:
                     i += step
                     j += step
                     room -= step
-        found.append((first_i, i, first_j, j, i - first_i))
+                    step += step
+                while step > 1:
+                    step >>= 1
+                    if step <= room and a[i:i + step] == b[j:j + step]:
+                        i += step
+                        j += step
+                        room -= step
+            add((first_i, i, first_j, j, i - first_i))
+        else:
+            while x != y:
+                if x < y:
+                    x = a[i]
+                    i += 1
+                else:
+                    y = b[j]
+                    j += 1
+            add((first_i, i, first_j, j, 0))
     return found
 
 
@@ -96,19 +96,19 @@ class Words:
 
 def groups_text(a: list[int], b: list[int], runs: list[Run], left: Words, right: Words) -> str:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+    first, second = [left.semicolon[x] for x in a], [right.bar[y] for y in b]
     parts: list[str] = []
-    start, more, bar = left.semicolon.__getitem__, left.comma.__getitem__, right.bar.__getitem__
+    add, extend = parts.append, parts.extend
     for i, i2, j, j2, n in runs:
-        if n == 1:
-            parts.append(start(a[i]))
-            parts.append(bar(b[j]))
-        elif n:
-            parts.extend(chain.from_iterable(zip(map(start, a[i:i2]), map(bar, b[j:j2]))))
-        else:
-            parts.append(start(a[i]))
-            parts.extend(map(more, a[i + 1:i2]))
-            parts.append(bar(b[j]))
-            parts.extend(map(right.comma.__getitem__, b[j + 1:j2]))
+        if n > 1:
+            extend(chain.from_iterable(zip(first[i:i2], second[j:j2])))
+            continue
+        add(first[i])
+        if i2 - i > 1:
+            extend([left.comma[x] for x in a[i + 1:i2]])
+        add(second[j])
+        if j2 - j > 1:
+            extend([right.comma[y] for y in b[j + 1:j2]])
     return "".join(parts)[1:]
 
 
@@ -144,20 +144,18 @@ def both_ids(text: str, settled: Plan, right_path: str) -> tuple[list[int], list
     whole = b" " + text.encode()
     left, right = byte_words(settled.path), pieces(right_path)
     a = np.frombuffer(shared_encoder(PlainIdWriter, settled).of_text(" " + text), "<u4").tolist()
-    if b"".join(map(left.bytes.__getitem__, a)) != whole:
-        return None
     b = right.model.encode(text)
-    if b"".join(map(right.words.bytes.__getitem__, b)) != whole:
+    if b"".join([left.bytes[x] for x in a]) != whole or b"".join([right.words.bytes[y] for y in b]) != whole:
         return None
     return a, b
 
 
 def align(a: list[int], b: list[int], left: Words, right: Words) -> tuple[list[Run], np.ndarray, np.ndarray]:
     """The runs of groups, and the ids of both tokens of each link."""
-    ends_a, ends_b = np.cumsum(left.sizes[a]), np.cumsum(right.sizes[b])
-    runs = diagonal_runs(ends_a.tolist(), ends_b.tolist())
+    at_a, at_b = np.array(a, np.int64), np.array(b, np.int64)
+    runs = diagonal_runs(np.cumsum(left.sizes[at_a]).tolist(), np.cumsum(right.sizes[at_b]).tolist())
     i, j = _links(runs)
-    return runs, np.array(a, np.int64)[i], np.array(b, np.int64)[j]
+    return runs, at_a[i], at_b[j]
 
 
 _LOCAL = "n_a long, n_b long, n_groups long, groups_sha256 string"     # what needs no other document

@@ -22,7 +22,7 @@ from typing import NamedTuple
 from tokenizers import Tokenizer
 
 SLICE = 1 << 20         # characters handled at a time
-MEMORY = 16 << 20       # bytes that one memory of an encoder may take, in each of two generations
+MEMORY = 32 << 20       # bytes that one memory of an encoder may take, in each of two generations
 
 # The splitting rules of the two vocabularies, in the terms of Python's re.
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -67,6 +67,8 @@ def _kind(spec: dict) -> str:
 
 
 def in_bytes(piece: str) -> str:
+    if piece.isascii() and piece.isprintable():     # only the space is written otherwise
+        return piece.replace(" ", BYTE_CHARS[32])
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_CHARS)
 
 
