@@ -54,7 +54,7 @@ def frames(spark):
 @pytest.mark.parametrize("pruned", [False, True])
 def test_two_nearest_match_brute_force(spark, monkeypatch, pruned):
     if pruned:
-        for name, value in [("BROADCAST_ROWS", 10), ("CELL_ROWS", 40), ("BLOCK_ROWS", 25), ("CHUNK_ROWS", 30)]:
+        for name, value in [("BROADCAST_VALUES", 10), ("CELL_ROWS", 6), ("FAN", 5), ("NODE_SAMPLE", 60), ("CHUNK_ROWS", 30)]:
             monkeypatch.setattr(neighbours, name, value)
     reference, query, ref_df, query_df = frames(spark)
     got = distances.dcr(query_df, ref_df, ["id"]).toPandas().sort_values("id")
@@ -65,7 +65,7 @@ def test_two_nearest_match_brute_force(spark, monkeypatch, pruned):
 
 
 def test_partitioning_does_not_matter(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(neighbours, "BROADCAST_VALUES", 10)
     monkeypatch.setattr(neighbours, "CELL_ROWS", 60)
     _, _, ref_df, query_df = frames(spark)
     one = distances.dcr(query_df, ref_df, ["id"]).toPandas().sort_values("id")
@@ -105,3 +105,29 @@ def test_rank_auc(spark):
     others = [d for d, _, n in rows for _ in range(n)]
     want = np.mean([(1.0 if a < b else 0.5 if a == b else 0.0) for a in members for b in others])
     assert distances.mia_rank_auc(features).first()["attack_auc"] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_tree_of_several_levels_keeps_its_leaves_small(spark, monkeypatch):
+    for name, value in [("CELL_ROWS", 6), ("FAN", 4), ("NODE_SAMPLE", 50)]:
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(3)
+    rows = [([float(x), float(x > 0)], [int(c)], 1) for x, c in zip(rng.normal(size=600) ** 3, rng.integers(-1, 90, 600))]
+    ref = spark.createDataFrame(rows, "num array<double>, cat array<long>, copies long")
+    tree = neighbours._Tree(ref, 2, 1)
+    sizes = [r["n"] for r in tree.leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 6 and len(tree.children) >= 3
+    for level in tree.children:
+        assert max(r["count"] for r in level.groupBy("node").count().collect()) <= 4
+
+
+def test_bounds_of_boxes_hold(spark):
+    rng = np.random.default_rng(4)
+    num, cat = rng.normal(size=(200, 2)), rng.integers(-1, 100, (200, 2))
+    index = neighbours.Index(num, cat, np.ones(200, np.int64), 10)
+    q_num, q_cat = rng.normal(size=(40, 2)), rng.integers(-1, 100, (40, 2))
+    least, most = index.boxes.bounds(q_num, q_cat)
+    for k, (a, b) in enumerate(zip(index.starts, index.ends)):
+        gap = ((q_num[:, None] - index.num[None, a:b]) ** 2).sum(2)
+        x, y = q_cat[:, None], index.cat[None, a:b]
+        gap = gap + ((x != y) * ((x >= 0) * 1.0 + (y >= 0))).sum(2)
+        assert (least[:, k] <= gap.min(1) + 1e-9).all() and (most[:, k] >= gap.max(1) - 1e-9).all()

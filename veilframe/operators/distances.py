@@ -17,17 +17,17 @@ from .split import sample_rows
 
 
 def dcr(query: DataFrame, reference: DataFrame, keep: Sequence[str] = (), fit_on: DataFrame | None = None,
-        columns: Sequence[str] | None = None) -> DataFrame:
+        columns: Sequence[str] | None = None, broadcast_values: int | None = None) -> DataFrame:
     """Per query row its ``keep`` columns, ``dcr`` (distance to the closest reference
     record) and ``d2`` (distance to the second closest).
 
     Ranges and dictionary come from ``fit_on``, by default the reference. ``columns``
-    limits the compared columns; identifiers should be left out.
+    limits the compared columns; identifiers should be left out. ``broadcast_values`` as in ``nearest_two``.
     """
     used = list(columns) if columns is not None else [c for c in common_columns(reference, query) if c not in keep]
     encoder = fit_encoder((fit_on or reference).select(*used))
     rows = materialize(encode(query, encoder, keep), "rows")
-    near = nearest_two(fold(rows).select("num", "cat"), fold(encode(reference, encoder)))
+    near = nearest_two(fold(rows).select("num", "cat"), fold(encode(reference, encoder)), broadcast_values)
     return rows.join(near, ["num", "cat"]).select(*keep, F.col("d1").alias("dcr"), "d2")
 
 

@@ -1,22 +1,25 @@
 """Exact distances to the two nearest rows of a reference table.
 
-A reference that is provably small is sent to every task. A larger one is cut
-into cells (boxes of similar rows, learnt from a bounded sample):
-
-1. every query visits the one cell it fits best and gets an upper bound;
-2. it then visits only those cells whose box could hold something closer than
-   that bound; the box bound is a true lower bound, so nothing is missed;
-3. the partial results of a query are merged.
-
-Equal vectors are folded with a count on both sides before anything is shuffled,
-over-full cells are cut into blocks by hash, and the queries of a crowded block
-into chunks, so no task receives an unbounded group. Row pairs are never made
-rows: a task compares one chunk with one block in arrays.
+A reference of checked size is sent to every task, as an index of cells (boxes of similar rows): a query looks into its
+best cell, and then into those whose box could hold something closer than what it has. The bounds are true ones, so
+nothing is missed.
+
+A larger reference becomes a tree of cells, built level by level: a node with too many vectors learns its cuts from a
+sample of its own, and its vectors move on to its children, until every leaf is small. A node's box holds the ranges of
+numbers and, for each text column, a signature of the codes below it. Queries descend the same way: first to the one
+leaf they fit best, which gives an upper bound, then into every branch that could hold something closer. Between levels a
+visit is a query's number and a node; vectors are joined where they are compared.
+
+Equal vectors are folded with a count on both sides before anything is shuffled, and the queries of a crowded node are cut into
+chunks, so no task receives an unbounded group. Row pairs are never made rows: a task compares a chunk with a leaf in arrays.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
-BROADCAST_ROWS = 20_000        # reference vectors sent to every task, at most
-BROADCAST_VALUES = 1_000_000   # … and at most this many numbers
-SAMPLE_ROWS = 50_000           # vectors the cells are learnt from
-CELL_ROWS = 1_024              # vectors wanted per cell
-MAX_CELLS = 8_192
-BLOCK_ROWS = 50_000            # vectors per block of an over-full cell
-CHUNK_ROWS = 20_000            # queries per chunk of a crowded block
+BROADCAST_VALUES = 4_000_000   # numbers and codes of a reference sent to every task, at most (8 bytes each)
+NODE_SAMPLE = 50_000           # vectors a node learns its cuts from, about
+CELL_ROWS = 1_024              # vectors of a leaf, at most
+LOCAL_CELL_ROWS = 256          # … of a cell inside a task
+FAN = 1_024                    # children of a node, at most
+CHUNK_ROWS = 20_000            # queries of a crowded node that a task takes at once
 
 
 # ------------------------------------------------------------ array helpers
@@ -100,7 +102,7 @@ class Cells:
 
     @staticmethod
     def _best_cut(num: np.ndarray, cat: np.ndarray):
-        """Cut along the axis with the largest variance; a category splits off its mode."""
+        """Cut along the axis with the largest variance; codes are cut where their order halves the rows best."""
         best = (0.0, None)
         for j in range(num.shape[1]):
             spread = num[:, j].var()
@@ -116,8 +118,8 @@ class Cells:
             codes, sizes = np.unique(cat[:, j], return_counts=True)
             spread = 1.0 - ((sizes / len(cat)) ** 2).sum()
             if len(codes) > 1 and spread > best[0]:
-                mode = codes[sizes.argmax()]
-                best = (spread, (num.shape[1] + j, float(mode), cat[:, j] == mode))
+                limit = codes[np.abs(2 * np.cumsum(sizes[:-1]) - len(cat)).argmin()]
+                best = (spread, (num.shape[1] + j, float(limit), cat[:, j] <= limit))
         return best[1]
 
     def locate(self, num: np.ndarray, cat: np.ndarray) -> np.ndarray:
@@ -133,39 +135,98 @@ class Cells:
             rows = moving[is_num]
             go_left[is_num] = num[rows, axis[is_num]] <= self.limit[node[rows]]
             rows = moving[~is_num]
-            go_left[~is_num] = cat[rows, axis[~is_num] - self.numbers] == self.limit[node[rows]]
+            go_left[~is_num] = cat[rows, axis[~is_num] - self.numbers] <= self.limit[node[rows]]
             node[moving] = self.children[node[moving], np.where(go_left, 0, 1)]
 
 
 class Boxes:
-    """Bounds on the distance from a query to anything in a cell."""
+    """Bounds on the distance from a query to anything in a box: ranges of numbers, and signatures of codes."""
 
-    def __init__(self, rows: list, numbers: int, cats: int) -> None:
-        self.cell = np.array([r["cell"] for r in rows], dtype=np.int64)
-        self.total = np.array([r["total"] for r in rows], dtype=np.int64)
-        self.blocks = np.array([r["blocks"] for r in rows], dtype=np.int64)
-        pick = lambda p, k: np.array([[r[f"{p}{j}"] for j in range(k)] for r in rows]).reshape(len(rows), k)
-        self.low, self.high = pick("nlo", numbers), pick("nhi", numbers)
-        self.cat_low, self.cat_high = pick("clo", cats), pick("chi", cats)
+    SIZE = 62   # bits of a signature; a missing text has one more
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, signs: np.ndarray, total: np.ndarray) -> None:
+        self.low, self.high, self.signs, self.total = low, high, signs, total
+
+    @classmethod
+    def bit(cls, codes: np.ndarray) -> np.ndarray:
+        return np.left_shift(np.int64(1), np.where(codes >= 0, codes % cls.SIZE, cls.SIZE))
 
     def bounds(self, num: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest and largest possible squared distance, query × cell."""
-        least = np.zeros((len(num), len(self.cell)))
+        """Smallest and largest possible squared distance, query × box."""
+        least = np.zeros((len(num), len(self.total)))
         most = np.zeros_like(least)
         for j in range(num.shape[1]):
             x = num[:, j, None]
             below, above = self.low[None, :, j] - x, x - self.high[None, :, j]
             least += np.maximum(0.0, np.maximum(below, above)) ** 2
             most += np.maximum(np.abs(below), np.abs(above)) ** 2
+        missing = np.int64(1) << self.SIZE
         for j in range(cat.shape[1]):
-            x, low, high = cat[:, j, None], self.cat_low[None, :, j], self.cat_high[None, :, j]
-            single = low == high
-            cost = (x != low) * ((x >= 0) * 1.0 + (low >= 0))
-            least += np.where(single, cost, 0.0)
-            most += np.where(single, cost, 1.0 + (x >= 0))
+            x, sign = cat[:, j, None], self.signs[None, :, j]
+            known = (x >= 0) * 1.0
+            absent = (sign & self.bit(x)) == 0
+            least += np.where(absent, known + ((sign & missing) == 0), 0.0)
+            most += known + ((sign & ~missing) != 0)
         return least, most
 
 
+class Index:
+    """A reference in memory, sorted by cells."""
+
+    def __init__(self, num: np.ndarray, cat: np.ndarray, copies: np.ndarray, cell_rows: int) -> None:
+        step = max(1, len(num) // NODE_SAMPLE)
+        cells = Cells(num[::step], cat[::step], max(1, len(num) // cell_rows))
+        at = cells.locate(num, cat)
+        order = np.argsort(at, kind="stable")
+        self.num, self.cat, self.copies = num[order], cat[order], copies[order]
+        sizes = np.bincount(at, minlength=cells.count)
+        self.ends = np.cumsum(sizes[sizes > 0])
+        self.starts = self.ends - sizes[sizes > 0]
+        if len(num):
+            self.boxes = Boxes(np.minimum.reduceat(self.num, self.starts), np.maximum.reduceat(self.num, self.starts),
+                               np.bitwise_or.reduceat(Boxes.bit(self.cat), self.starts), np.add.reduceat(self.copies, self.starts))
+
+    def _compare(self, cell: int, num: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[cell], self.ends[cell])
+        return two_nearest(num, cat, self.num[part], self.cat[part], self.copies[part])
+
+    def two_nearest(self, num: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, second = np.full(len(num), np.inf), np.full(len(num), np.inf)
+        if not len(self.num):
+            return first, second
+        step = max(1, 2_000_000 // len(self.starts))
+        for start in range(0, len(num), step):
+            part = slice(start, start + step)
+            first[part], second[part] = self._tile(num[part], cat[part])
+        return first, second
+
+    def _tile(self, num: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least, most = self.boxes.bounds(num, cat)
+        home = (least + 1e-6 * most).argmin(axis=1)
+        first, second = np.full(len(num), np.inf), np.full(len(num), np.inf)
+        for cell, rows in _groups(home):
+            first[rows], second[rows] = self._compare(cell, num[rows], cat[rows])
+        least[np.arange(len(num)), home] = np.inf
+        query, cell = np.nonzero(least < second[:, None])
+        for one, at in _groups(cell):
+            rows = query[at]
+            rows = rows[least[rows, one] < second[rows]]    # the bound has shrunk meanwhile
+            if len(rows):
+                s1, s2 = self._compare(one, num[rows], cat[rows])
+                second[rows] = np.minimum(np.minimum(second[rows], s2), np.maximum(first[rows], s1))
+                first[rows] = np.minimum(first[rows], s1)
+        return first, second
+
+
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``keys`` with the places where it stands."""
+    order = np.argsort(keys, kind="stable")
+    ends = np.flatnonzero(np.diff(keys[order])) + 1
+    for places in np.split(order, ends):
+        if len(places):
+            yield int(keys[places[0]]), places
+
+
 # ---------------------------------------------------------------- operators
 
 def fold(encoded: DataFrame, **totals: Column) -> DataFrame:
@@ -174,20 +235,20 @@ def fold(encoded: DataFrame, **totals: Column) -> DataFrame:
     return encoded.groupBy("num", "cat").agg(*sums)
 
 
-def nearest_two(queries: DataFrame, reference: DataFrame) -> DataFrame:
+def nearest_two(queries: DataFrame, reference: DataFrame, broadcast_values: int | None = None) -> DataFrame:
     """Add ``d1`` and ``d2``, the distances to the two nearest reference rows.
 
     ``queries`` has distinct vectors in ``num`` and ``cat`` and any other columns;
     ``reference`` is a folded table with ``copies``. Without a second reference row
-    ``d2`` is infinite.
+    ``d2`` is infinite. A reference of at most ``broadcast_values`` numbers and codes is sent to every task.
     """
-    asked = materialize(queries.withColumn("qid", F.monotonically_increasing_id()), "queries")
     ref = materialize(reference.select("num", "cat", "copies"), "reference")
     sizes = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("num")).alias("a"), F.max(F.size("cat")).alias("b")).first()
     rows, numbers, cats = sizes["n"], sizes["a"] or 0, sizes["b"] or 0
-    if rows <= BROADCAST_ROWS and rows * (numbers + cats + 1) <= BROADCAST_VALUES:
-        return _against_small(asked.drop("qid"), ref, numbers, cats)
-    near = _against_cells(asked.select("num", "cat", "qid"), ref, rows, numbers, cats)
+    if rows * (numbers + cats + 1) <= (BROADCAST_VALUES if broadcast_values is None else broadcast_values):
+        return _against_small(materialize(queries, "queries"), ref, numbers, cats)
+    asked = materialize(queries.withColumn("qid", F.monotonically_increasing_id()), "queries")
+    near = _Tree(ref, numbers, cats).search(asked.select("num", "cat", "qid"))
     return asked.join(near, "qid").drop("qid")
 
 
@@ -204,137 +265,187 @@ def _schema(df: DataFrame, *extra: str) -> str:
 def _against_small(queries: DataFrame, ref: DataFrame, numbers: int, cats: int) -> DataFrame:
     table = ref.toArrow()  # size checked by the caller
     n = table.num_rows
-    packed = (_matrix(table["num"], n, float).reshape(n, numbers), _matrix(table["cat"], n, np.int64).reshape(n, cats),
-              table["copies"].to_numpy())
-    shared = queries.sparkSession.sparkContext.broadcast(packed)
+    shared = queries.sparkSession.sparkContext.broadcast(Index(
+        _matrix(table["num"], n, float).reshape(n, numbers), _matrix(table["cat"], n, np.int64).reshape(n, cats),
+        table["copies"].to_numpy(), LOCAL_CELL_ROWS))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r_num, r_cat, copies = shared.value
         for b in batches:
             k = b.num_rows
-            d1, d2 = two_nearest(_matrix(b["num"], k, float).reshape(k, numbers),
-                                 _matrix(b["cat"], k, np.int64).reshape(k, cats), r_num, r_cat, copies)
+            d1, d2 = shared.value.two_nearest(_matrix(b["num"], k, float).reshape(k, numbers), _matrix(b["cat"], k, np.int64).reshape(k, cats))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.sqrt(d1)), pa.array(np.sqrt(d2))],
                                              names=[*b.schema.names, "d1", "d2"])
 
     return _spread(queries).mapInArrow(compare, _schema(queries, "d1 double", "d2 double"))
 
 
-def learn_cells(ref: DataFrame, rows: int, numbers: int, cats: int) -> Cells:
-    """Cells from a sample of at most ``SAMPLE_ROWS`` vectors, the lowest in hash order."""
-    sample = ref.select("num", "cat")
-    if rows > SAMPLE_ROWS:
-        share = min(1.0, 1.2 * SAMPLE_ROWS / rows)
-        place = F.pmod(F.xxhash64("num", "cat"), F.lit(1 << 30))
-        sample = sample.where(place < int(share * (1 << 30))).limit(SAMPLE_ROWS)
-    table = sample.toArrow()
-    n = table.num_rows
-    wanted = int(min(MAX_CELLS, max(1, rows // CELL_ROWS), max(1, n // 4)))
-    return Cells(_matrix(table["num"], n, float).reshape(n, numbers),
-                 _matrix(table["cat"], n, np.int64).reshape(n, cats), wanted)
+class _Shape(NamedTuple):
+    """How many numbers and codes a vector has."""
+    numbers: int
+    cats: int
 
+    def vectors(self, b) -> tuple[np.ndarray, np.ndarray]:
+        return (_matrix(b["num"], b.num_rows, float).reshape(b.num_rows, self.numbers),
+                _matrix(b["cat"], b.num_rows, np.int64).reshape(b.num_rows, self.cats))
 
-def _against_cells(numbered: DataFrame, ref: DataFrame, rows: int, numbers: int, cats: int) -> DataFrame:
-    """``(qid, d1, d2)`` of numbered query vectors."""
-    spark = ref.sparkSession
-    cells = spark.sparkContext.broadcast(learn_cells(ref, rows, numbers, cats))
+    def children(self, table) -> tuple[np.ndarray, np.ndarray, Boxes]:
+        n = table.num_rows
+        return table["child"].to_numpy(), table["leaf"].to_numpy(zero_copy_only=False), Boxes(
+            _matrix(table["lo"], n, float).reshape(n, self.numbers), _matrix(table["hi"], n, float).reshape(n, self.numbers),
+            _matrix(table["signs"], n, np.int64).reshape(n, self.cats), table["total"].to_numpy())
 
-    def vectors(b) -> tuple[np.ndarray, np.ndarray]:
-        return (_matrix(b["num"], b.num_rows, float).reshape(b.num_rows, numbers),
-                _matrix(b["cat"], b.num_rows, np.int64).reshape(b.num_rows, cats))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.value.locate(*vectors(b)))],
-                                             names=[*b.schema.names, "cell"])
-
-    placed = materialize(_spread(ref).mapInArrow(place, _schema(ref, "cell long")), "cells")
-    per_cell = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("vectors"), F.sum("copies").alias("total"),
-        *[e for j in range(numbers) for e in (F.min(F.col("num")[j]).alias(f"nlo{j}"), F.max(F.col("num")[j]).alias(f"nhi{j}"))],
-        *[e for j in range(cats) for e in (F.min(F.col("cat")[j]).alias(f"clo{j}"), F.max(F.col("cat")[j]).alias(f"chi{j}"))])
-    per_cell = per_cell.withColumn("blocks", F.ceil(F.col("vectors") / BLOCK_ROWS))
-    found = per_cell.collect()  # at most MAX_CELLS rows
-    boxes = spark.sparkContext.broadcast(Boxes(found, numbers, cats))
-    blocked = placed.join(F.broadcast(spark.createDataFrame(  # at most MAX_CELLS rows
-        [(r["cell"], r["blocks"]) for r in found], "cell long, blocks long")), "cell") \
-        .withColumn("block", F.pmod(F.xxhash64("num", "cat"), F.col("blocks"))).drop("blocks")
-
-    def best_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = boxes.value
-        for b in batches:
-            num, cat = vectors(b)
-            home = np.empty(len(num), dtype=np.int64)
-            step = max(1, 2_000_000 // len(box.cell))
-            for s in range(0, len(num), step):
-                least, most = box.bounds(num[s:s + step], cat[s:s + step])
-                home[s:s + step] = (least + 1e-6 * most).argmin(axis=1)
-            block = b["qid"].to_numpy() % box.blocks[home]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(box.cell[home]), pa.array(block)],
-                                             names=[*b.schema.names, "cell", "block"])
-
-    first = materialize(_compare_blocks(
-        materialize(_spread(numbered).mapInArrow(best_cell, _schema(numbered, "cell long", "block long")), "home"),
-        blocked, rows, numbers, cats, with_vectors=True), "first")
-
-    def other_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = boxes.value
-        start_of = np.concatenate([[0], np.cumsum(box.blocks)])
-        for b in batches:
+class _Tree:
+    """A tree of cells over a written reference. Node 0 is the root; the children of ``n`` are ``n * fan + 1 …``."""
+
+    def __init__(self, ref: DataFrame, numbers: int, cats: int) -> None:
+        self.shape, self.fan = _Shape(numbers, cats), FAN
+        self.leaves, depth = self._grow(ref)
+        self.children = self._boxes(depth)
+
+    def _grow(self, ref: DataFrame) -> tuple[DataFrame, int]:
+        """``(num, cat, copies, node)`` of all vectors in leaves, and the number of levels."""
+        fan, wanted, per_node, vectors = self.fan, CELL_ROWS, NODE_SAMPLE, self.shape.vectors
+        place = F.pmod(F.xxhash64(F.lit(3), "num", "cat"), F.lit(1 << 40))
+        deepest = int(62 / math.log2(fan + 1))   # node numbers stay below 2**63
+
+        def learn(table: pa.Table) -> pa.Table:
+            rows = int(table["rows"][0].as_py())
+            n = table.num_rows
+            cells = Cells(*vectors(table), max(2, min(fan, -(-2 * rows // wanted), n)))
+            return pa.table({"node": table["node"][:1], "tree": pa.array([pickle.dumps(cells)], pa.binary())})
+
+        def locate(table: pa.Table, trees: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return table
+            cell = pickle.loads(trees["tree"][0].as_py()).locate(*vectors(table))
+            return table.set_column(table.schema.get_field_index("node"), "node", pa.array(table["node"].to_numpy() * fan + 1 + cell))
+
+        done: list[DataFrame] = []
+        moving, depth = ref.withColumn("node", F.lit(0).cast("long")), 0
+        sizes = moving.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+        while True:
+            sample = moving.join(sizes, "node").where(place < F.lit(float(1 << 40)) * per_node / F.col("rows"))
+            trees = materialize(sample.select("num", "cat", "node", "rows").groupBy("node").applyInArrow(learn, "node long, tree binary"), "trees")
+            placed = materialize(_meet(moving, trees, "node", locate, "num array<double>, cat array<long>, copies long, node long",
+                                       F.xxhash64("num", "cat")), "placed")
+            depth += 1
+            sizes = materialize(placed.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > wanted), "crowded")
+            if depth == deepest or not sizes.count():
+                done.append(placed)
+                break
+            done.append(placed.join(sizes, "node", "left_anti").select(placed.columns))
+            moving = placed.join(sizes, "node", "left_semi").select(placed.columns)
+        leaves = done[0]
+        for part in done[1:]:
+            leaves = leaves.unionByName(part)
+        return leaves, depth
+
+    def _boxes(self, depth: int) -> list[DataFrame]:
+        """For each level the children of its nodes: ``node, child, leaf`` and the child's box."""
+        numbers, cats = self.shape
+        arrays = lambda fn, what, k, kind: F.array(*[fn(what(j)) for j in range(k)]).cast(f"array<{kind}>")
+        bit = lambda j: F.expr(f"shiftleft(1L, CAST(IF(cat[{j}] >= 0, cat[{j}] % {Boxes.SIZE}, {Boxes.SIZE}) AS int))")
+        boxes = self.leaves.groupBy("node").agg(
+            arrays(F.min, lambda j: F.col("num")[j], numbers, "double").alias("lo"), arrays(F.max, lambda j: F.col("num")[j], numbers, "double").alias("hi"),
+            arrays(F.bit_or, bit, cats, "long").alias("signs"), F.sum("copies").alias("total")).withColumn("leaf", F.lit(True))
+        boxes = materialize(boxes, "boxes")
+        first = [0]     # smallest number of each level
+        for _ in range(depth):
+            first.append(first[-1] * self.fan + 1)
+        levels: list[DataFrame] = []
+        inner = None
+        for level in range(depth, 0, -1):
+            here = boxes.where((F.col("node") >= first[level]) & (F.col("node") < first[level] * self.fan + 1))
+            here = here if inner is None else here.unionByName(inner)
+            here = materialize(here.withColumnRenamed("node", "child").withColumn("node", F.floor((F.col("child") - 1) / self.fan)), "level")
+            levels.insert(0, here)
+            inner = here.groupBy("node").agg(
+                arrays(F.min, lambda j: F.col("lo")[j], numbers, "double").alias("lo"), arrays(F.max, lambda j: F.col("hi")[j], numbers, "double").alias("hi"),
+                arrays(F.bit_or, lambda j: F.col("signs")[j], cats, "long").alias("signs"), F.sum("total").alias("total"), F.lit(False).alias("leaf"))
+        return levels
+
+    def _descend(self, asked: DataFrame, choose) -> DataFrame:
+        """``(qid, node)`` of the leaves that queries come to. ``choose`` says which children of a node a query goes on to."""
+        vectors, load = self.shape.vectors, self.shape.children
+
+        def go(b, children: np.ndarray, leaf: np.ndarray, boxes: Boxes) -> pa.Table:
             num, cat = vectors(b)
-            bound = b["s2"].to_numpy()
-            home, block = b["cell"].to_numpy(), b["block"].to_numpy()
-            step = max(1, 1_000_000 // len(box.cell))
+            queries, nodes, leaves = [], [], []
+            step = max(1, 2_000_000 // len(children))
             for s in range(0, len(num), step):
-                part = slice(s, s + step)
-                least, most = box.bounds(num[part], cat[part])
-                sure = np.where(box.total[None, :] > 1, most, np.inf).min(axis=1)
-                limit = np.minimum(bound[part], sure * (1 + 1e-9))
-                row, col = np.nonzero(least < limit[:, None])
-                times = box.blocks[col]
-                row, col = np.repeat(row, times), np.repeat(col, times)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                fresh = ~((box.cell[col] == home[part][row]) & (nth == block[part][row]))
-                row, col, nth = row[fresh], col[fresh], nth[fresh]
-                take = pa.array(row + s)
-                yield pa.RecordBatch.from_arrays(
-                    [b["num"].take(take), b["cat"].take(take), b["qid"].take(take), pa.array(box.cell[col]), pa.array(nth)],
-                    names=["num", "cat", "qid", "cell", "block"])
-
-    visits = materialize(_spread(first).mapInArrow(
-        other_cells, "num array<double>, cat array<long>, qid long, cell long, block long"), "visits")
-    more = _compare_blocks(visits, blocked, rows, numbers, cats, with_vectors=False)
-    return _merge(first.select("qid", "s1", "s2").unionByName(more))
-
-
-def _compare_blocks(visits: DataFrame, blocked: DataFrame, rows: int, numbers: int, cats: int,
-                    with_vectors: bool) -> DataFrame:
-    """Compare the queries visiting a block with its vectors, in chunks of queries.
-
-    The partition count is set here: it follows the amount of comparing, which
-    adaptive coalescing by bytes would pack into too few tasks.
+                part = b.slice(s, step)
+                row, col = choose(part, children, *boxes.bounds(num[s:s + step], cat[s:s + step]), boxes.total)
+                queries.append(part["qid"].to_numpy()[row])
+                nodes.append(children[col])
+                leaves.append(leaf[col])
+            return pa.table({"qid": pa.array(np.concatenate(queries)), "node": pa.array(np.concatenate(nodes)), "leaf": pa.array(np.concatenate(leaves))})
+
+        top = asked.sparkSession.sparkContext.broadcast(load(self.children[0].toArrow()))   # at most `fan` rows
+
+        def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield from go(b, *top.value).to_batches()
+
+        kind = "qid long, node long, leaf boolean"
+        came = materialize(_spread(asked).mapInArrow(start, kind), "visits")
+        found = [came.where("leaf")]
+        for children in self.children[1:]:
+            frontier = came.where("NOT leaf").select("qid", "node").join(asked, "qid")
+            came = materialize(_meet(frontier, children, "node", lambda q, c: go(q, *load(c)) if q.num_rows and c.num_rows else _NO_VISIT, kind,
+                                     F.xxhash64("qid")), "visits")
+            found.append(came.where("leaf"))
+        out = found[0]
+        for part in found[1:]:
+            out = out.unionByName(part)
+        return out.select("qid", "node")
+
+    def _compare(self, visits: DataFrame, asked: DataFrame) -> DataFrame:
+        vectors = self.shape.vectors
+
+        def compare(q: pa.Table, r: pa.Table) -> pa.Table:
+            s1, s2 = two_nearest(*vectors(q), *vectors(r), r["copies"].to_numpy() if r.num_rows else np.empty(0))
+            return pa.table({"qid": q["qid"], "s1": pa.array(s1), "s2": pa.array(s2)})
+
+        return _meet(visits.join(asked.select("qid", "num", "cat"), "qid"), self.leaves, "node", compare, "qid long, s1 double, s2 double", F.xxhash64("qid"))
+
+    def search(self, asked: DataFrame) -> DataFrame:
+        """``(qid, d1, d2)`` of numbered query vectors."""
+
+        def best(part, children, least, most, total):
+            return np.arange(len(least)), (least + 1e-6 * most).argmin(axis=1)
+
+        def under_bound(part, children, least, most, total):
+            sure = np.where(total[None, :] > 1, most, np.inf).min(axis=1)
+            limit = np.minimum(part["s2"].to_numpy(), sure * (1 + 1e-9))
+            return np.nonzero((least < limit[:, None]) & (children[None, :] != part["home"].to_numpy()[:, None]))
+
+        home = materialize(self._descend(asked, best), "home")
+        first = materialize(self._compare(home, asked), "first")
+        bounded = materialize(asked.join(first, "qid").join(home.withColumnRenamed("node", "home"), "qid"), "bounded")
+        more = self._compare(self._descend(bounded, under_bound), asked)
+        return _merge(first.unionByName(more))
+
+
+_NO_VISIT = pa.table({"qid": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "leaf": pa.array([], pa.bool_())})
+
+
+def _meet(left: DataFrame, right: DataFrame, key: str, fn, schema: str, spread) -> DataFrame:
+    """``fn`` on the left rows and the right rows of each key. Left rows of a crowded key are dealt to chunks by ``spread``;
+    the right rows, few for each key, go to each of them.
+
+    The partition count is set here: it follows the amount of comparing, which adaptive coalescing by bytes would pack into too few tasks.
     """
-    session = visits.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism,
-                min(20_000, rows // (16 * CELL_ROWS)))
-    loads = visits.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("chunks"))
-    left = visits.join(loads, ["cell", "block"]).withColumn("chunk", F.pmod("qid", "chunks")).drop("chunks")
-    right = blocked.join(loads, ["cell", "block"]) \
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-    extra = "num array<double>, cat array<long>, cell long, block long, " if with_vectors else ""
-
-    def compare(q: pa.Table, r: pa.Table) -> pa.Table:
-        n, m = q.num_rows, r.num_rows
-        s1, s2 = two_nearest(_matrix(q["num"], n, float).reshape(n, numbers), _matrix(q["cat"], n, np.int64).reshape(n, cats),
-                             _matrix(r["num"], m, float).reshape(m, numbers), _matrix(r["cat"], m, np.int64).reshape(m, cats),
-                             r["copies"].to_numpy() if m else np.empty(0))
-        out = {c: q[c] for c in (["num", "cat", "cell", "block"] if with_vectors else [])}
-        return pa.table({**out, "qid": q["qid"], "s1": pa.array(s1), "s2": pa.array(s2)})
-
-    keys = ["cell", "block", "chunk"]
-    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        compare, f"{extra}qid long, s1 double, s2 double")
+    loads = materialize(left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("__chunks")), "loads")
+    session = left.sparkSession
+    chunks = loads.agg(F.sum("__chunks")).first()[0] or 0
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism, min(20_000, chunks // 16))
+    a = left.join(loads, key).withColumn("__chunk", F.pmod(spread, F.col("__chunks"))).drop("__chunks")
+    b = right.join(loads, key).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__chunks") - 1))).drop("__chunks")
+    keys = [key, "__chunk"]
+    run = lambda q, r: fn(q.drop_columns(["__chunk"]), r.drop_columns(["__chunk"]))
+    return a.repartition(parts, *keys).groupBy(*keys).cogroup(b.repartition(parts, *keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
 def _merge(partial: DataFrame) -> DataFrame:

@@ -261,11 +261,11 @@ d AS (SELECT p_partkey, sqrt(pow((u.price - c.price) / dp, 2) + pow((u.size - c.
 near AS (SELECT p_partkey, min(d) AS d1, arg_min(n, d) AS n1, min(d, 2) AS two FROM d GROUP BY p_partkey)
 SELECT p_partkey, round(d1, 6) AS dcr, round(CASE WHEN n1 > 1 THEN d1 ELSE two[2] END, 6) AS d2 FROM near""")
 def nearest_lines(t: Tables) -> DataFrame:
-    """Every part against all order lines, on the columns both have; numbers and texts are partly missing. There are more lines
-    than are sent to every task, so the search goes through cells."""
+    """Every part against all order lines, on the columns both have; numbers and texts are partly missing. So few lines
+    may be sent to every task that the search goes through a tree of cells."""
     parts = t.part.select("p_partkey", (F.col("p_retailprice") * 20).alias("price"), F.when(F.col("p_size") != 13, F.col("p_size").cast("double")).alias("size"),
                           F.element_at(F.array(*map(F.lit, "ANRX")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("flag"), "p_name")
     lines = t.lineitem.select(F.col("l_extendedprice").alias("price"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("size"),
                               F.when(F.col("l_linenumber") != 2, F.col("l_returnflag")).alias("flag"), "l_orderkey")
-    near = distances.dcr(parts, lines, ["p_partkey"])
+    near = distances.dcr(parts, lines, ["p_partkey"], broadcast_values=10_000)
     return near.select("p_partkey", F.round("dcr", 6).alias("dcr"), F.round("d2", 6).alias("d2"))
