@@ -17,7 +17,9 @@ from veilframe.plans.prepare import PrepareConfig, prepare
 from veilframe.sources import catalog, readers, registry, writers
 from veilframe.synth import SYNTHESIZERS, fit_private_tree, fit_tree, load_model
 from veilframe.synth.fit import fit_copula, spanning_tree
+from veilframe.synth import private
 from veilframe.synth.ledger import epsilon_of, estimate_max_steps, rho_of
+from veilframe.synth.noise import add_noise, cell_name, discrete_gaussian, release_key
 from veilframe.synth.tokens import ColumnSpec
 
 
@@ -92,6 +94,51 @@ def test_private_tree_refuses(table, options, message):
         fit_private_tree(table, **options)
 
 
+def test_noise_is_discrete_gaussian():
+    key = release_key(4)
+    for sigma in (0.7, 3.0, 25.0):
+        drawn = discrete_gaussian([cell_name(("a", str(k), None)) for k in range(40_000)], sigma, key)
+        places = np.arange(-int(12 * sigma) - 2, int(12 * sigma) + 3)
+        weight = np.exp(-places ** 2 / (2 * sigma ** 2))
+        weight /= weight.sum()
+        seen = np.array([(drawn <= x).mean() for x in places])
+        assert np.abs(seen - np.cumsum(weight)).max() < 1.95 / np.sqrt(len(drawn))  # Kolmogorov's bound at one in a thousand
+        assert abs(drawn.std() / np.sqrt((weight * places ** 2).sum()) - 1) < 0.02
+    assert (discrete_gaussian([b"x"] * 3, 5.0, key) == discrete_gaussian([b"x"], 5.0, key)[0]).all()
+    assert cell_name(("a", "bc")) != cell_name(("ab", "c")) and cell_name((None,)) != cell_name(("",))
+    assert release_key(None) != release_key(None)
+
+
+def test_noise_does_not_depend_on_partitioning(spark):
+    counts = spark.range(500).select(F.col("id").cast("string").alias("t"), F.lit("x").alias("u"), F.col("id").alias("n"))
+    one = add_noise(counts.coalesce(1), "release", ["t", "u"], 9.0, release_key(1))
+    two = add_noise(counts.repartition(7), "release", ["t", "u"], 9.0, release_key(1))
+    assert one.exceptAll(two).count() == 0 and one.columns == counts.columns
+    assert one.exceptAll(add_noise(counts, "other", ["t", "u"], 9.0, release_key(1))).count() > 400
+
+
+def test_private_tree_of_open_domains(spark, monkeypatch):
+    """Categories that few rows have are not released, and pair tables too large to list keep their strong cells."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    kind = rng.integers(0, 40, n)
+    pdf = pd.DataFrame({"kind": np.char.add("k", kind.astype(str)), "twin": np.char.add("t", kind.astype(str)),
+                        "name": [f"person {k}" for k in range(n)]})
+    df = spark.createDataFrame(pdf)
+    roles = ColumnRoles(categorical=("kind", "twin", "name"), order=("kind", "twin", "name"))
+    model = fit_private_tree(df, roles, epsilon=8.0, seed=2)
+    tokens = {r["token"] for r in model.cells.select("token").distinct().collect()}
+    assert not any(t.startswith("person") for t in tokens) and {f"k{k}" for k in range(40)} <= tokens
+    assert model.dp_config["delta_accounted"] == model.dp_config["delta"] / 2
+    synth = model.sample(3000)
+    assert synth.count() == 3000
+    assert synth.where("substring(kind, 2) = substring(twin, 2)").count() > 2000
+    monkeypatch.setattr(private, "LISTED_CELLS", 10)
+    declared = {"kind": sorted(set(pdf["kind"])), "twin": sorted(set(pdf["twin"])), "name": ["nobody"]}
+    large = fit_private_tree(df, roles, epsilon=8.0, seed=2, domains=declared)
+    assert large.dp_config["domain_from_data"] is False and large.sample(3000).where("substring(kind, 2) = substring(twin, 2)").count() > 2000
+
+
 def test_private_tree_needs_rows(table):
     with pytest.raises(ValueError, match="too few"):
         fit_private_tree(table.limit(5), bounds={})

@@ -195,7 +195,7 @@ class Model:
         from .ledger import budget_ledger
 
         spark = self.cells.sparkSession
-        rows = [("model", i + 1, r["release"], r["columns"], float(r["rho"]), float(r["epsilon"]), float(self.dp_config["delta"]))
+        rows = [("model", i + 1, r["release"], r["columns"], float(r["rho"]), float(r["epsilon"]), float(self.dp_config.get("delta_accounted", self.dp_config["delta"])))
                 for i, r in enumerate(self.releases)]
         return budget_ledger(spark.createDataFrame(
             rows, "run_id string, step int, release string, columns string, rho double, epsilon double, delta double"))

@@ -1,37 +1,43 @@
 """Differentially private dependency tree.
 
-Counting runs on Spark over the raw table. What leaves the raw data is only: one
-histogram per column, the choice of links, and one pair table per link, each with
-noise, each written to the ledger. Noise is added to every cell of the declared
-domain, also the empty ones, once, on the driver: the tables have a checked, bounded
-size, and a task that is run again can not draw new noise.
-
-Not covered by the guarantee: cleaning and imputing with statistics of the raw data
-before fitting, and categories taken from the data instead of being declared (the
-report says so in ``domain_from_data``). Leave ``seed`` at None for real releases.
+Counting runs on Spark over the raw table. What leaves the raw data is only: one histogram per column, the choice of links,
+and one pair table per link, each with noise, each written to the ledger. Noise is added where the counts are, by a function
+of the cell's name and a key (``noise``), so a task that is run again can not draw new noise; the driver sees one number per
+column or pair of columns.
+
+A column of a declared domain (bins, or ``domains``) gets noise in every cell, also the empty ones. Of other columns, and
+of pair tables too large to list, only cells that hold a row get noise, and only those above a threshold are released: a cell that
+only one row fills passes it with a chance that is part of ``delta`` (a stability-based histogram). So domains of any size
+work, and categories found in the data are covered.
+
+Not covered by the guarantee: cleaning and imputing with statistics of the raw data before fitting. The number of rows counts as
+public. Leave ``seed`` at None for real releases.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.values import as_number, nan_to_null
 from ..operators.association import pair_cells
 from ..operators.roles import ColumnRoles, detect_column_roles
 from ..session import materialize
-from .fit import prepare_tokens, token_counts
+from .fit import edge_counts, prepare_tokens, token_counts
 from .ledger import default_delta, epsilon_of, rho_of
 from .model import NO_PARENT, Model, intervals, slot_counts
+from .noise import add_noise, release_key, threshold
 from .tokens import BINS, NULL_TOKEN
 
-MAX_DOMAIN_CELLS = 2_000_000
+LISTED_CELLS = 2_000_000    # a pair table with more cells is not listed: its empty cells stay empty
+FALLBACK_TOKENS = 64        # of a child, for parent tokens that no pair was released for
 MIN_ROWS = 10
-COUNT_SCALE = 1 << 16   # noisy counts are kept in so many parts of one
-_EXPONENTS = range(-40, 64)  # powers of two a private bound can take
+_EXPONENTS = range(-1074, 1025)  # powers of two around any double
 
 
 def private_bounds(df: DataFrame, columns: Sequence[str], epsilon: float, rng: np.random.Generator) -> dict[str, tuple[float, float]]:
@@ -46,7 +52,7 @@ def private_bounds(df: DataFrame, columns: Sequence[str], epsilon: float, rng: n
         entries.append(F.when(x.isNotNull(), F.struct(
             F.lit(i).alias("i"), F.signum(x).cast("int").alias("sign"), F.when(x == 0, 0).otherwise(power(x)).cast("int").alias("power"))))
     counted = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.i", "e.sign", "e.power").count()
-    seen = {(r["i"], r["sign"], r["power"]): r["count"] for r in counted.collect()}  # at most 209 cells per column
+    seen = {(r["i"], r["sign"], r["power"]): r["count"] for r in counted.collect()}  # at most 4,199 cells per column
     scale = len(columns) / epsilon
     cells = [(-1, p) for p in reversed(_EXPONENTS)] + [(0, 0)] + [(1, p) for p in _EXPONENTS]
     out = {}
@@ -54,7 +60,8 @@ def private_bounds(df: DataFrame, columns: Sequence[str], epsilon: float, rng: n
         noisy = [seen.get((i, *cell), 0) + rng.laplace(0.0, scale) for cell in cells]
         floor = scale * np.log(2 * len(cells) / 0.01)  # noise alone stays below this with probability 0.99
         full = [cell for cell, n in zip(cells, noisy) if n > floor] or [(1, 0)]
-        edge = lambda cell, up: cell[0] * 2.0 ** (cell[1] if (cell[0] > 0) == up else cell[1] - 1) if cell[0] else 0.0
+        power_of_two = lambda p: math.ldexp(1.0, p) if p < 1024 else sys.float_info.max
+        edge = lambda cell, up: cell[0] * power_of_two(cell[1] if (cell[0] > 0) == up else cell[1] - 1) if cell[0] else 0.0
         low, high = edge(full[0], False), edge(full[-1], True)
         out[c] = (low, high) if high > low else (low, low + 1.0)
     return out
@@ -81,7 +88,7 @@ def fit_private_tree(df: DataFrame, roles: ColumnRoles | None = None, epsilon: f
     if rows < MIN_ROWS:
         raise ValueError(f"{rows} rows are too few; at least {MIN_ROWS} are needed")
     delta = delta or default_delta(rows)
-    rng = np.random.default_rng(seed)
+    rng, key = np.random.default_rng(seed), release_key(seed)
     roles = roles or detect_column_roles(clean)
     names = roles.classified
     numbers = [c for c in names if c in roles.continuous]
@@ -96,8 +103,16 @@ def fit_private_tree(df: DataFrame, roles: ColumnRoles | None = None, epsilon: f
     edges = {c: np.linspace(*given[c], bins + 1).tolist() for c in numbers}
     specs, tokens, _ = prepare_tokens(clean, roles, bins, edges)
     d, links = len(names), max(len(names) - 1, 0)
+    listed = {s.name: s.tokens for s in specs if s.continuous}
+    listed |= {c: list(dict.fromkeys([*map(str, domains[c]), NULL_TOKEN])) for c in names if c not in listed and domains and c in domains}
+    unlisted = [c for c in names if c not in listed]
+    # a part of delta is kept for what thresholds let through
+    sparse = len(unlisted) + links
+    thresholds_needed = bool(unlisted) or any(len(listed[a]) * len(listed[b]) > LISTED_CELLS for a, b in combinations(names, 2))
+    accounted = delta / 2 if thresholds_needed else delta
+    passing = delta / 2 / max(1, sparse)
     if sigma is None:
-        rho = rho_of(epsilon - sum(r["epsilon"] for r in releases), delta)
+        rho = rho_of(epsilon - sum(r["epsilon"] for r in releases), accounted)
         part = rho / (3 if links else 1)
         sigma_one, rho_choice, sigma_two = np.sqrt(d / (2 * part)), part, np.sqrt(links / (2 * part)) if links else 0.0
     else:
@@ -105,23 +120,18 @@ def fit_private_tree(df: DataFrame, roles: ColumnRoles | None = None, epsilon: f
         rho_choice = links / (2 * sigma ** 2)
 
     # 1. one noisy histogram per column
-    domain, from_data = _domains(tokens, specs, domains)
-    if sum(map(len, domain.values())) > MAX_DOMAIN_CELLS:
-        _too_big()
-    listed = df.sparkSession.createDataFrame([(c, t) for c in names for t in domain[c]], "target string, token string")
-    one: dict[str, dict[str, int]] = {c: {} for c in names}
-    for r in token_counts(tokens, names).join(listed, ["target", "token"]).collect():  # size checked above
-        one[r["target"]][r["token"]] = r["n"]
-    noisy = {c: np.maximum(np.array([one[c].get(t, 0) for t in domain[c]]) + rng.normal(0, sigma_one, len(domain[c])), 0.0) for c in names}
+    histograms = materialize(_histograms(token_counts(tokens, names), listed, unlisted, sigma_one, passing, key), "histograms")
+    facts = {r["target"]: r for r in histograms.groupBy("target").agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("size")).collect()}
+    sums = {c: facts[c]["sum"] for c in names}
     releases += [{"release": "histogram", "columns": c, "rho": 1 / (2 * sigma_one ** 2), "epsilon": 0.0} for c in names]
 
     # 2. links, by the exponential mechanism on how far a pair is from independence
     order: list[tuple[str, str | None]] = [(names[0], None)]
-    counts = [("root", names[0], NO_PARENT, t, float(n)) for t, n in zip(domain[names[0]], _usable(noisy[names[0]]))]
+    counts = histograms.where(F.col("target") == names[0]).select("target", F.lit(NO_PARENT).alias("parent_token"), "token", "n")
     if links:
         pairs = list(combinations(names, 2))
         table = materialize(pair_cells(tokens, pairs), "pairs")
-        score = _dependence(table, pairs, domain, noisy)
+        score = _dependence(table, pairs, histograms, sums)
         strength = np.sqrt(8 * rho_choice / links)
         done = {names[0]}
         while len(done) < d:
@@ -132,83 +142,79 @@ def fit_private_tree(df: DataFrame, roles: ColumnRoles | None = None, epsilon: f
             order.append((child, parent))
             releases.append({"release": "link", "columns": f"{parent},{child}", "rho": rho_choice / links, "epsilon": 0.0})
         # 3. one noisy pair table per link
-        for child, parent in order[1:]:
-            counts += _noisy_edge(table, pairs, parent, child, domain, noisy, sigma_two, rng)
-            releases.append({"release": "pair table", "columns": f"{parent},{child}", "rho": 1 / (2 * sigma_two ** 2), "epsilon": 0.0})
-    # whole numbers, so that the intervals of a column meet exactly
-    whole = [(*c[1:4], n) for c in counts if (n := round(c[4] * COUNT_SCALE)) > 0]
-    frame = df.sparkSession.createDataFrame(whole, "target string, parent_token string, token string, n long")
-    cells = materialize(intervals(frame), "model")
+        counts = counts.unionByName(_pair_tables(edge_counts(table, pairs, order), order, histograms, listed, sigma_two, passing, key))
+        releases += [{"release": "pair table", "columns": f"{parent},{child}", "rho": 1 / (2 * sigma_two ** 2), "epsilon": 0.0} for child, parent in order[1:]]
+    cells = materialize(intervals(materialize(counts, "released")), "model")
     rho_spent = sum(r["rho"] for r in releases)
-    spent = sum(r["epsilon"] for r in releases) + epsilon_of(rho_spent, delta)
+    spent = sum(r["epsilon"] for r in releases) + epsilon_of(rho_spent, accounted)
     return Model("dp_tree", specs, order, cells, slot_counts(cells), rows, seed,
                  dp_config={"is_dp_enabled": True, "epsilon_initial": epsilon if sigma is None else None, "preprocessor_eps": preprocessor_eps,
-                            "sigma": float(sigma_one), "delta": delta, "domain_from_data": from_data},
+                            "sigma": float(sigma_one), "delta": delta, "delta_accounted": accounted, "domain_from_data": bool(unlisted)},
                  dp_spent={"spent_epsilon_final": spent, "epochs_requested": len(releases), "epochs_completed": len(releases)},
                  releases=[{**r, "rho": float(r["rho"])} for r in releases])
 
 
-def _too_big():
-    raise ValueError(f"the declared domain has more than {MAX_DOMAIN_CELLS} cells")
+def _listed_frame(spark, listed: dict[str, list[str]]) -> DataFrame:
+    return spark.createDataFrame([(c, t) for c, tokens in listed.items() for t in tokens], "target string, token string")
 
 
-def _domains(tokens: DataFrame, specs, declared) -> tuple[dict[str, list[str]], bool]:
-    """All tokens a column can take: bins of numbers, declared categories, or those in the data."""
-    out, open_columns = {}, []
-    for s in specs:
-        if s.continuous:
-            out[s.name] = s.tokens
-        elif declared and s.name in declared:
-            out[s.name] = [*map(str, declared[s.name]), NULL_TOKEN]
-        else:
-            out[s.name] = []
-            open_columns.append(s.name)
-    if open_columns:
-        found = token_counts(tokens, open_columns).select("target", "token").limit(MAX_DOMAIN_CELLS + 1).collect()
-        if len(found) > MAX_DOMAIN_CELLS:
-            _too_big()
-        for r in found:
-            out[r["target"]].append(r["token"])
-        for c in open_columns:
-            out[c] = sorted({*out[c], NULL_TOKEN})
-    return out, bool(open_columns)
+def _histograms(counts: DataFrame, listed: dict[str, list[str]], unlisted: list[str], sigma: float, passing: float, key: bytes) -> DataFrame:
+    """``(target, token, n)`` with noise, n positive; a column of which nothing is left gets its tokens once, or that of a missing value."""
+    spark = counts.sparkSession
+    all_cells = _listed_frame(spark, listed).join(counts.select("target", "token", "n"), ["target", "token"], "left").fillna(0, ["n"])
+    found = counts.where(F.col("target").isin(unlisted)).select("target", "token", "n")
+    noisy = add_noise(all_cells, "histogram", ["target", "token"], sigma, key).where("n > 0").unionByName(
+        add_noise(found, "histogram", ["target", "token"], sigma, key).where(F.col("n") > threshold(sigma, passing)))
+    noisy = materialize(noisy, "noisy")
+    there = {r["target"] for r in noisy.select("target").distinct().collect()}  # one row per column
+    empty = {c: listed.get(c, [NULL_TOKEN]) for c in [*listed, *unlisted] if c not in there}
+    return noisy.unionByName(_listed_frame(spark, empty).withColumn("n", F.lit(1).cast("long"))) if empty else noisy
 
 
-def _usable(values: np.ndarray) -> np.ndarray:
-    return values if values.sum() > 0 else np.ones_like(values)
-
-
-def _dependence(table: DataFrame, pairs, domain, noisy) -> dict[tuple[str, str], float]:
+def _dependence(table: DataFrame, pairs, histograms: DataFrame, sums: dict[str, int]) -> dict[tuple[str, str], float]:
     """L1 distance of every pair table from the product of its noisy histograms. One added row
     changes it by at most one."""
-    total = float(np.mean([v.sum() for v in noisy.values()])) or 1.0
-    margins = table.sparkSession.createDataFrame(
-        [(c, t, float(v)) for c in domain for t, v in zip(domain[c], noisy[c])], "column string, token string, m double")
+    total = float(np.mean(list(sums.values()))) or 1.0
     names = F.broadcast(table.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, left string, right string"))
-    side = lambda s, t, m: margins.select(F.col("column").alias(s), F.col("token").alias(t), F.col("m").alias(m))
+    side = lambda s, t, m: histograms.select(F.col("target").alias(s), F.col("token").alias(t), F.col("n").cast("double").alias(m))
     joined = (table.join(names, "pair").join(side("left", "a", "ma"), ["left", "a"], "left").join(side("right", "b", "mb"), ["right", "b"], "left"))
     expected = F.coalesce(F.col("ma") * F.col("mb") / total, F.lit(0.0))
     gaps = joined.groupBy("pair").agg(F.sum(F.abs(F.col("n") - expected) - expected).alias("g"))
     found = {r["pair"]: r["g"] for r in gaps.collect()}  # one row per pair of columns
-    return {p: found.get(i, 0.0) + noisy[p[0]].sum() * noisy[p[1]].sum() / total for i, p in enumerate(pairs)}
-
-
-def _noisy_edge(table: DataFrame, pairs, parent: str, child: str, domain, noisy, sigma: float, rng) -> list[tuple]:
-    """Noisy counts of the child given each parent token, over the whole domain."""
-    forward = (parent, child) in pairs
-    pair = pairs.index((parent, child) if forward else (child, parent))
-    if len(domain[parent]) * len(domain[child]) > MAX_DOMAIN_CELLS:
-        _too_big()
-    p_at, c_at = ({t: i for i, t in enumerate(domain[c])} for c in (parent, child))
-    grid = np.zeros((len(p_at), len(c_at)))
-    for r in table.where(F.col("pair") == pair).select("a", "b", "n").collect():  # size checked above
-        a, b = (r["a"], r["b"]) if forward else (r["b"], r["a"])
-        if a in p_at and b in c_at:
-            grid[p_at[a], c_at[b]] = r["n"]
-    grid = np.maximum(grid + rng.normal(0, sigma, grid.shape), 0.0)
-    fallback = _usable(noisy[child])
-    out = []
-    for t, i in p_at.items():
-        row = grid[i] if grid[i].sum() > 0 else fallback
-        out += [("edge", child, t, c, float(n)) for c, n in zip(domain[child], row)]
-    return out
+    return {p: found.get(i, 0.0) + sums[p[0]] * sums[p[1]] / total for i, p in enumerate(pairs)}
+
+
+def _pair_tables(counts: DataFrame, order, histograms: DataFrame, listed: dict[str, list[str]], sigma: float, passing: float, key: bytes) -> DataFrame:
+    """``(target, parent_token, token, n)`` with noise, n positive, for every link.
+
+    Tokens that the histograms lack are left out, so that what is drawn as a child is known as a parent. A parent token of which
+    nothing is left takes its child's largest histogram cells instead.
+    """
+    spark = counts.sparkSession
+    cells, names = ["target", "parent_token", "token"], ["target", "parent_token", "token"]
+    dense = [(child, parent) for child, parent in order[1:] if child in listed and parent in listed and len(listed[child]) * len(listed[parent]) <= LISTED_CELLS]
+    others = [child for child, parent in order[1:] if (child, parent) not in dense]
+    parts = []
+    known = histograms.select("target", "token")    # released before
+    if dense:
+        children = spark.createDataFrame([(child, parent, listed[child]) for child, parent in dense], "target string, parent string, tokens array<string>")
+        parents = _listed_frame(spark, {p: listed[p] for _, p in dense}).select(F.col("target").alias("parent"), F.col("token").alias("parent_token"))
+        grid = parents.join(children, "parent").select("target", "parent_token", F.explode("tokens").alias("token"))
+        parts.append(add_noise(grid.join(counts, cells, "left").fillna(0, ["n"]), "pair", names, sigma, key).where("n > 0")
+                     .join(known, ["target", "token"], "left_semi").select(*cells, "n"))
+    if others:
+        pairs = spark.createDataFrame([(child, parent) for child, parent in order[1:] if child in others], "target string, parent string")
+        found = (counts.join(F.broadcast(pairs), "target")  # one row per column
+                 .join(known.select(F.col("target").alias("parent"), F.col("token").alias("parent_token")), ["parent", "parent_token"], "left_semi")
+                 .join(known, ["target", "token"], "left_semi").select(*cells, "n"))
+        parts.append(add_noise(found, "pair", names, sigma, key).where(F.col("n") > threshold(sigma, passing)))
+    noisy = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    noisy = materialize(noisy, "edges")
+    links = F.broadcast(spark.createDataFrame(order[1:], "target string, parent string"))   # one row per column
+    bare = (histograms.select(F.col("target").alias("parent"), F.col("token").alias("parent_token")).join(links, "parent")
+            .join(noisy.select("target", "parent_token").distinct(), ["target", "parent_token"], "left_anti"))
+    largest = Window.partitionBy("target").orderBy(F.desc("n"), "token")
+    common = histograms.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= FALLBACK_TOKENS)
+    instead = common.groupBy("target").agg(F.collect_list(F.struct("token", "n")).alias("cells"))   # at most 64 each
+    return noisy.unionByName(bare.join(F.broadcast(instead), "target").select("target", "parent_token", F.explode("cells").alias("c"))
+                             .select("target", "parent_token", "c.token", "c.n"))
