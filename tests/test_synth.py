@@ -18,6 +18,7 @@ from veilframe.sources import catalog, readers, registry, writers
 from veilframe.synth import SYNTHESIZERS, fit_private_tree, fit_tree, load_model
 from veilframe.synth.fit import fit_copula, spanning_tree
 from veilframe.synth import private
+from veilframe.synth.conditional import column_predicates, conditioned
 from veilframe.synth.ledger import epsilon_of, estimate_max_steps, rho_of
 from veilframe.synth.noise import add_noise, cell_name, discrete_gaussian, release_key
 from veilframe.synth.tokens import ColumnSpec
@@ -61,6 +62,32 @@ def test_sampling_rules(spark, table):
     assert model.sample(10, condition="city = 'west'", max_tries=2).count() == 0
 
 
+def test_conditions_are_put_into_the_tree(spark):
+    """Exact shares of a small tree, rare combinations, bins that pass in part, and what is left to rejection."""
+    n = 20_000
+    rows = [("rare" if k == 0 else f"c{k % 4}", "x" if k < 5 else f"s{k % 4 if k % 10 else k % 3}", float(k % 1000), k) for k in range(n)]
+    df = spark.createDataFrame(rows, "city string, shop string, pay double, age int")
+    model = fit_tree(df, ColumnRoles(categorical=("city", "shop"), continuous=("pay", "age"), order=("city", "shop", "pay", "age")))
+    wanted = "city = 'rare' AND shop = 'x'"
+    predicates = column_predicates(spark, model.specs, wanted + " AND pay + age > 3 AND pay BETWEEN 100 AND 103.5")
+    assert set(predicates) == {"city", "shop", "pay"}
+    given, share = conditioned(model, column_predicates(spark, model.specs, wanted))
+    # the same share by adding up the table of the pair
+    total = df.count()
+    assert share == pytest.approx(1 / total, rel=1e-6)
+    many = model.sample(500, condition=wanted, max_tries=1)
+    assert many.count() == 500 and many.where(f"NOT ({wanted})").count() == 0
+    narrow = "pay >= 100 AND pay < 103.5 AND city = 'c1' AND pay + age > 3"
+    some = model.sample(300, condition=narrow)
+    assert some.count() == 300 and some.where(f"NOT ({narrow})").count() == 0
+    assert some.agg(F.max("pay") - F.min("pay")).first()[0] > 2.5
+    with pytest.warns(UserWarning, match="share of 0 "):
+        assert model.sample(5, condition="city = 'nowhere'").count() == 0
+    free = model.sample(4000).groupBy("shop").count().collect()
+    held = {r["shop"]: r["count"] for r in model.sample(4000, condition="city IS NOT NULL").groupBy("shop").count().collect()}
+    assert all(abs(held.get(r["shop"], 0) - r["count"]) < 250 for r in free)
+
+
 def test_spanning_tree_takes_the_strongest_links():
     weights = {("a", "b"): 0.1, ("a", "c"): 0.5, ("b", "c"): 0.4}
     assert spanning_tree(["a", "b", "c"], weights) == [("a", None), ("c", "a"), ("b", "c")]

@@ -22,6 +22,7 @@ from ..functions.hashing import key_hash, uniform
 from ..functions.ordered import dense_codes, running_totals
 from ..operators.split import sample_rows
 from ..session import materialize
+from .conditional import candidates, column_predicates, conditioned, first_passing
 from .tokens import ColumnSpec, detokenize
 
 NO_PARENT = ""
@@ -113,9 +114,10 @@ class Model:
                max_tries: int = 100) -> DataFrame:
         """Exactly ``n`` rows (default: as many as were fitted), from the model alone.
 
-        With ``condition`` (an SQL predicate) rows are drawn in rounds and kept if they
-        satisfy it. If ``max_tries`` rounds do not find enough, what was found is returned with a warning that says how
-        many rows are missing.
+        With ``condition`` (an SQL predicate) only rows that satisfy it are kept. What it asks of single columns of a tree
+        is put into the tree (``conditional``), so such rows are drawn straight away, however rare they are; the rest
+        is met by drawing in rounds. If ``max_tries`` rounds do not find enough, what was found is returned with a warning that
+        names how many rows are missing and the share that satisfies what was put into the tree.
         """
         n = self.sample_size if n in (None, 0) else n
         if n <= 0:
@@ -123,9 +125,13 @@ class Model:
         seed = seed if seed is not None else (self.seed or 0)
         if condition is None:
             return self._draw(0, n, seed).drop("__id")
+        source, predicates, given = self, {}, 1.0
+        if self.factor is None:
+            predicates = column_predicates(self.cells.sparkSession, self.specs, condition)
+            source, given = conditioned(self, predicates)
         kept, have, start, size = [], 0, 0, n
-        for _ in range(max_tries):
-            part = materialize(self._draw(start, start + size, seed).where(F.expr(condition)), "round")  # drawn once
+        for _ in range(max_tries if given else 0):
+            part = materialize(source._draw(start, start + size, seed, predicates).where(F.expr(condition)), "round")  # drawn once
             found = part.count()
             start += size
             # the next round is as large as the share kept so far suggests
@@ -139,7 +145,8 @@ class Model:
                 break
             size = min(100 * n, math.ceil(1.2 * (n - have) / share) + 10)
         if have < n:
-            warnings.warn(f"{n - have} of {n} rows are missing: {start} draws gave {have} that satisfy {condition!r}", stacklevel=2)
+            warnings.warn(f"{n - have} of {n} rows are missing: {start} draws gave {have} that satisfy {condition!r}; a share of {given:.3g} of all "
+                          "rows has what it asks of single columns", stacklevel=2)
         if not kept:
             return self._draw(0, 1, seed).drop("__id").limit(0)
         out = kept[0]
@@ -147,7 +154,7 @@ class Model:
             out = out.unionByName(part)
         return out.drop("__id")
 
-    def _draw(self, start: int, end: int, seed: int) -> DataFrame:
+    def _draw(self, start: int, end: int, seed: int, predicates: dict[str, str] | None = None) -> DataFrame:
         spark = self.cells.sparkSession
         tasks = max(spark.sparkContext.defaultParallelism, math.ceil((end - start) / ROWS_PER_TASK))
         rows = spark.range(start, end, 1, tasks).withColumnRenamed("id", "__id")
@@ -174,6 +181,13 @@ class Model:
             rows = (drawn.join(table, (F.col("__given") == F.col("__p")) & (F.col("__slot") == F.col("__s"))
                                & (F.col("__u") >= F.col("__a")) & (F.col("__u") < F.col("__b")))
                     .select(*[c for c in rows.columns if c != f"__u{i}"], f"__t{i}"))
+        tried = [(i, s) for i, s in enumerate(self.specs) if s.continuous and s.name in (predicates or {})]
+        if tried:
+            rows = rows.withColumns({f"__v{i}": candidates(F.col(f"__t{at[s.name]}"), s, seed, "__id") for i, s in tried})
+            place = {s.name: i for i, s in tried}
+            return rows.select("__id", *[
+                first_passing(f"__v{place[s.name]}", s.name, predicates[s.name]).alias(s.name) if s.name in place
+                else detokenize(F.col(f"__t{at[s.name]}"), s, uniform(seed, "v", s.name, F.col("__id"))).alias(s.name) for s in self.specs])
         return rows.select("__id", *[
             detokenize(F.col(f"__t{at[s.name]}"), s, uniform(seed, "v", s.name, F.col("__id"))).alias(s.name) for s in self.specs])
 
