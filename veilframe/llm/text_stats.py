@@ -29,12 +29,13 @@ _VOWEL[128:] = True
 
 
 def text_stats(text: bytes) -> np.ndarray:
-    """The ``STATS`` of a text in UTF-8; all zero for a text without words. Long texts are counted in slices."""
+    """The ``STATS`` of a text in UTF-8; all zero for a text without words. Long texts are read in slices."""
     out = np.zeros(len(STATS))
     if not text.strip():
         return out
     bytes_, flags, last, start = np.zeros(256), np.zeros(10), None, 0
-    words = distinct = top = same = pairs = 0   # of a text longer than a slice: summed over its slices
+    words = same = 0
+    counts, pairs = Counter(), set()    # of the whole text
     while start < len(text):
         end = len(text)
         if end - start > SLICE:
@@ -64,12 +65,10 @@ def text_stats(text: bytes) -> np.ndarray:
                   (stops + marks >= 3).sum(), (digits > 0).sum()]
         tokens = part.split()
         words += len(tokens)
-        counts = Counter(tokens)
-        distinct += len(counts)
-        top += max(counts.values())
+        counts.update(tokens)
         before = [last, *tokens[:-1]]
         same += sum(map(operator.eq, before, tokens))
-        pairs += len(set(zip(before, tokens)))
+        pairs.update(zip(before, tokens))
         last = tokens[-1]
     if not words:
         return out
@@ -80,9 +79,9 @@ def text_stats(text: bytes) -> np.ndarray:
     letters = bytes_[97:123] + bytes_[65:91]
     share = letters[letters > 0] / max(1.0, letters.sum())
     out[:] = (np.log1p(words), flags[0] / words, flags[1] / words, kinds[3] / n, kinds[4] / n, kinds[6] / n, kinds[5] / n, kinds[7] / n,
-              kinds[1] / n, distinct / words, same / words, top / words,
+              kinds[1] / n, len(counts) / words, same / words, max(counts.values()) / words,
               flags[2] / words, flags[3] / words, flags[4] / words, flags[5] / words, np.log1p(len(lines)), np.log1p(words / max(1, len(lines))),
-              1 - len(set(lines)) / max(1, len(lines)), -(share * np.log2(share)).sum(), 1 - pairs / words,
+              1 - len(set(lines)) / max(1, len(lines)), -(share * np.log2(share)).sum(), 1 - len(pairs) / words,
               flags[6] / words, flags[7] / words, flags[8] / words, flags[9] / words)
     return out
 

@@ -47,6 +47,7 @@ _DOUBLED = re.compile(r"(.)\1")
 _APART = re.compile(rf"(?<![^\W_])(?:[*|+][{_GAPS}]+)?[^\s{_GAPS}](?:[{_GAPS}]+[^\s{_GAPS}]){{2,}}(?:[{_GAPS}]+[*|+])?(?![^\W_])")
 
 _SPACE = re.compile(r"\s")
+_PIECES = re.compile(rf"[{_GAPS}]+")
 
 _SYMBOLS = 64
 
@@ -181,44 +182,34 @@ def _spelt(word) -> str:
     return "".join(reversed(letters))
 
 
-def _entry(kind: str, text: str) -> int:
-    return (xxhash.xxh32_intdigest(f"{kind}{text}") | 1) - (1 << 31)
-
-
 class Reader:
     """Text → its distinct words as they were restored, each as the entries that stand for it."""
 
-    def __init__(self, costs: np.ndarray, lexicon: dict[int, float] | None = None) -> None:
-        self.decoder, self.lexicon = Decoder(costs), lexicon
-        self.memory = Memory(self._entries if lexicon is None else self._weight)
+    def __init__(self, costs: np.ndarray) -> None:
+        self.decoder = Decoder(costs)
+        self.memory = Memory(self.of_token, 8 << 20)
 
     def words(self, token: str) -> list[list[str]]:
         """The words of a token, each with its other readings."""
-        if not token.isalpha():
-            token = token.lstrip(_BEFORE).rstrip(_AFTER)
-        if token.isalpha() and not _DOUBLED.search(token):
-            return [[token]]
-        return self.decoder.read(token) if _SUSPECT.search(token) else [[token]]
+        token, plain = _stripped(token)
+        return [[token]] if plain else self.decoder.read(token)
 
-    def _entries(self, token: str) -> tuple[tuple[int, ...], ...]:
+    def of_token(self, token: str) -> tuple:
         """Of each word: its readings and their beginnings."""
         out = []
         for readings in self.words(token):
             held = set()
             for word in readings:
-                if len(word) >= 3 and (word.isalpha() or any(map(str.isalpha, word))):
-                    held.add(_entry("w", word))
-                    held.update(_entry("b", word[:n]) for n in BEGINNINGS if len(word) > n)
+                if _counts(word):
+                    held.add(f"w{word}")
+                    held.update(f"b{word[:n]}" for n in BEGINNINGS if len(word) > n)
             if held:
                 out.append(tuple(sorted(held)))
         return tuple(out)
 
-    def _weight(self, token: str) -> tuple[float, ...]:
-        return tuple(max(self.lexicon.get(x, 0.0) for x in word) for word in self._entries(token))
-
     def of_text(self, text: str) -> list:
-        """What ``memory`` holds for the words of the distinct tokens of each slice, those set apart letter by letter included."""
-        found: list = []
+        """What ``memory`` holds for the words of the distinct tokens of the whole text, those set apart letter by letter included."""
+        tokens: set[str] = set()
         start = 0
         while start < len(text):
             end = len(text)
@@ -227,15 +218,87 @@ class Reader:
                 end = cut.start() if cut else end
             part = text[start:end].lower()
             start = end
-            tokens = set(part.split())
+            tokens.update(part.split())
             tokens.update(x for x in (m.group() for m in _APART.finditer(part)) if " " in x)
-            found.extend(chain.from_iterable(map(self.memory.__getitem__, tokens)))
-        return found
+        return list(chain.from_iterable(map(self.memory.__getitem__, tokens)))
+
+
+class Weigher(Reader):
+    """The same, with the weight of each word in a lexicon instead of its entries.
+
+    All entries of a word begin with its first three letters. A word that begins otherwise weighs nothing, and a lattice is opened
+    only if some reading of it can begin like an entry; else its pieces between separators count as words without weight.
+    """
+
+    def __init__(self, costs: np.ndarray, lexicon: dict[str, float]) -> None:
+        super().__init__(costs)
+        self.lexicon = lexicon
+        self.memory = Memory(self.of_token)
+        self.starts = {e[1:4] for e in lexicon}
+        self.on_the_way = {x[:n] for x in self.starts for n in (1, 2)}
+
+    def of_token(self, token: str) -> tuple:
+        token, plain = _stripped(token)
+        if plain:
+            return (self.weight(token),) if _counts(token) else ()
+        if not self.reachable(token):
+            return (0.0,) * max(1, sum(len(x) >= 3 for x in _PIECES.split(token)))
+        places = ([self.weight(word) for word in readings if _counts(word)] for readings in self.decoder.read(token))
+        return tuple(max(weights) for weights in places if weights)
+
+    def weight(self, word: str) -> float:
+        if word[:3] not in self.starts:
+            return 0.0
+        find = self.lexicon.get
+        return max(find(f"w{word}", 0.0), *(find(f"b{word[:n]}", 0.0) for n in BEGINNINGS if len(word) > n), 0.0)
+
+    def reachable(self, written: str) -> bool:
+        """Whether a reading can have a word that begins like an entry: the lattice's steps, followed for three letters only."""
+        states, previous = {""}, ""
+        for c in written:
+            letters = (c if c.isalpha() else "") + LOOKS_LIKE.get(c, "")
+            apart = c in SEPARATORS
+            following = set(states) if apart or not letters or (c == previous and c.isalpha()) else set()
+            for state in states:
+                for x in letters:
+                    begun = state + x
+                    if begun in self.starts:
+                        return True
+                    if begun in self.on_the_way:
+                        following.add(begun)
+            if apart:
+                following.add("")
+            states, previous = following, c
+        return False
+
+
+def _stripped(token: str) -> tuple[str, bool]:
+    """The token without marks around it, and whether it is to be taken as it stands."""
+    if not token.isalpha():
+        token = token.lstrip(_BEFORE).rstrip(_AFTER)
+    if token.isalpha() and not _DOUBLED.search(token):
+        return token, True
+    return token, not _SUSPECT.search(token)
+
+
+def _counts(word: str) -> bool:
+    return len(word) >= 3 and (word.isalpha() or any(map(str.isalpha, word)))
+
+
+_held: dict[type, tuple[str, Reader]] = {}
+
+
+def _shared(kind: type[Reader], name: str, *facts) -> Reader:
+    """The process's reader: what it remembers serves all tasks of a Python worker. ``name`` tells its facts from others."""
+    if kind not in _held or _held[kind][0] != name:
+        _held.clear()
+        _held[kind] = (name, kind(*facts))
+    return _held[kind][1]
 
 
 class Model(NamedTuple):
     costs: np.ndarray
-    lexicon: dict[int, float]
+    lexicon: dict[str, float]
     weights: np.ndarray     # of the logistic regression, the last one its constant
     base: float             # share of toxic documents, what is said if nothing could be learnt
 
@@ -249,18 +312,17 @@ def evidence(weights: np.ndarray, words: int) -> tuple[float, ...]:
 
 
 def _reading(costs: np.ndarray):
-    kept: list[Reader] = []
+    name = xxhash.xxh3_128_hexdigest(costs.tobytes())
 
-    @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def entries(texts: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(Reader(costs))
-        return pa.array([kept[0].of_text(x.as_py() or "") for x in texts], pa.list_(pa.list_(pa.int32())))
+        read = _shared(Reader, name, costs).of_text
+        return pa.array([read(x.as_py() or "") for x in texts], pa.list_(pa.list_(pa.string())))
 
     return entries
 
 
-def _evidence_column(lexicon: dict[int, float]):
+def _evidence_column(lexicon: dict[str, float]):
     """Column function: entries of a text's words → what the regression sees."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -274,7 +336,7 @@ def _evidence_column(lexicon: dict[int, float]):
     return seen
 
 
-def learn_lexicon(rows: DataFrame) -> dict[int, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Entries that words of toxic documents have significantly more often, and their weights (ln of the ratio of rates).
 
     ``rows (id, y, entries)`` is a bounded sample, and an entry is held by at least ``LEAST_DOCS`` of its toxic documents.
@@ -286,7 +348,7 @@ def learn_lexicon(rows: DataFrame) -> dict[int, float]:
     each = rows.select("id", "y", F.explode(F.flatten("entries")).alias("entry"))
     hits = materialize(each.where(F.col("y") == 1).groupBy("id", "entry").agg(F.count(F.lit(1)).alias("n"))
                        .groupBy("entry").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS), "hits")
-    others = (each.where(F.col("y") == 0).join(small_side(hits.select("entry"), 12), "entry", "left_semi")
+    others = (each.where(F.col("y") == 0).join(small_side(hits.select("entry"), 40), "entry", "left_semi")
               .groupBy("entry").agg(F.count(F.lit(1)).alias("o")))
     both = hits.join(others, "entry", "left").select("entry", "t", F.coalesce("o", F.lit(0)).alias("o"))
     rate = words[1.0] / (words[1.0] + words[0.0])
@@ -317,17 +379,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
 def score_column(model: Model):
     """Column function: text → probability of being toxic."""
-    kept: list[Reader] = []
+    name = xxhash.xxh3_128_hexdigest(model.costs.tobytes() + repr(sorted(model.lexicon.items())).encode())
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         if not model.lexicon:
             return pa.array(np.full(len(texts), model.base))
-        if not kept:
-            kept.append(Reader(model.costs, model.lexicon))
+        read = _shared(Weigher, name, model.costs, model.lexicon).of_text
         out = np.zeros(len(texts))
         for k, x in enumerate(texts):
-            weights = np.array(kept[0].of_text(x.as_py() or ""), float)
+            weights = np.array(read(x.as_py() or ""), float)
             out[k] = np.dot(model.weights[:-1], evidence(weights, len(weights))) + model.weights[-1]
         return pa.array(1 / (1 + np.exp(-np.clip(out, -60, 60))))
 
