@@ -182,12 +182,21 @@ def _spelt(word) -> str:
     return "".join(reversed(letters))
 
 
+def _start(letters: str) -> int:
+    return xxhash.xxh32_intdigest(letters) & 0xFFFFFF
+
+
+def _entry(kind: str, text: str) -> int:
+    """A whole number for a word or a beginning; its upper part tells the first three letters."""
+    return (_start(text[:3]) << 39) | (xxhash.xxh64_intdigest(f"{kind}{text}") >> 25)
+
+
 class Reader:
     """Text → its distinct words as they were restored, each as the entries that stand for it."""
 
     def __init__(self, costs: np.ndarray) -> None:
         self.decoder = Decoder(costs)
-        self.memory = Memory(self.of_token, 8 << 20)
+        self.memory = Memory(self.of_token, 4 << 20)
 
     def words(self, token: str) -> list[list[str]]:
         """The words of a token, each with its other readings."""
@@ -201,8 +210,8 @@ class Reader:
             held = set()
             for word in readings:
                 if _counts(word):
-                    held.add(f"w{word}")
-                    held.update(f"b{word[:n]}" for n in BEGINNINGS if len(word) > n)
+                    held.add(_entry("w", word))
+                    held.update(_entry("b", word[:n]) for n in BEGINNINGS if len(word) > n)
             if held:
                 out.append(tuple(sorted(held)))
         return tuple(out)
@@ -230,12 +239,12 @@ class Weigher(Reader):
     only if some reading of it can begin like an entry; else its pieces between separators count as words without weight.
     """
 
-    def __init__(self, costs: np.ndarray, lexicon: dict[str, float]) -> None:
+    def __init__(self, costs: np.ndarray, lexicon: dict[int, float]) -> None:
         super().__init__(costs)
         self.lexicon = lexicon
-        self.memory = Memory(self.of_token)
-        self.starts = {e[1:4] for e in lexicon}
-        self.on_the_way = {x[:n] for x in self.starts for n in (1, 2)}
+        self.memory = Memory(self.of_token, 16 << 20)
+        starts = {e >> 39 for e in lexicon}
+        self.begins = Memory(lambda letters: _start(letters) in starts, 4 << 20)
 
     def of_token(self, token: str) -> tuple:
         token, plain = _stripped(token)
@@ -247,10 +256,10 @@ class Weigher(Reader):
         return tuple(max(weights) for weights in places if weights)
 
     def weight(self, word: str) -> float:
-        if word[:3] not in self.starts:
+        if not self.begins[word[:3]]:
             return 0.0
         find = self.lexicon.get
-        return max(find(f"w{word}", 0.0), *(find(f"b{word[:n]}", 0.0) for n in BEGINNINGS if len(word) > n), 0.0)
+        return max(find(_entry("w", word), 0.0), *(find(_entry("b", word[:n]), 0.0) for n in BEGINNINGS if len(word) > n), 0.0)
 
     def reachable(self, written: str) -> bool:
         """Whether a reading can have a word that begins like an entry: the lattice's steps, followed for three letters only."""
@@ -262,10 +271,10 @@ class Weigher(Reader):
             for state in states:
                 for x in letters:
                     begun = state + x
-                    if begun in self.starts:
-                        return True
-                    if begun in self.on_the_way:
+                    if len(begun) < 3:
                         following.add(begun)
+                    elif self.begins[begun]:
+                        return True
             if apart:
                 following.add("")
             states, previous = following, c
@@ -298,7 +307,7 @@ def _shared(kind: type[Reader], name: str, *facts) -> Reader:
 
 class Model(NamedTuple):
     costs: np.ndarray
-    lexicon: dict[str, float]
+    lexicon: dict[int, float]
     weights: np.ndarray     # of the logistic regression, the last one its constant
     base: float             # share of toxic documents, what is said if nothing could be learnt
 
@@ -314,15 +323,15 @@ def evidence(weights: np.ndarray, words: int) -> tuple[float, ...]:
 def _reading(costs: np.ndarray):
     name = xxhash.xxh3_128_hexdigest(costs.tobytes())
 
-    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.LongType())))
     def entries(texts: pa.Array) -> pa.Array:
         read = _shared(Reader, name, costs).of_text
-        return pa.array([read(x.as_py() or "") for x in texts], pa.list_(pa.list_(pa.string())))
+        return pa.array([read(x.as_py() or "") for x in texts], pa.list_(pa.list_(pa.int64())))
 
     return entries
 
 
-def _evidence_column(lexicon: dict[str, float]):
+def _evidence_column(lexicon: dict[int, float]):
     """Column function: entries of a text's words → what the regression sees."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -336,7 +345,7 @@ def _evidence_column(lexicon: dict[str, float]):
     return seen
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[int, float]:
     """Entries that words of toxic documents have significantly more often, and their weights (ln of the ratio of rates).
 
     ``rows (id, y, entries)`` is a bounded sample, and an entry is held by at least ``LEAST_DOCS`` of its toxic documents.
@@ -348,7 +357,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     each = rows.select("id", "y", F.explode(F.flatten("entries")).alias("entry"))
     hits = materialize(each.where(F.col("y") == 1).groupBy("id", "entry").agg(F.count(F.lit(1)).alias("n"))
                        .groupBy("entry").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS), "hits")
-    others = (each.where(F.col("y") == 0).join(small_side(hits.select("entry"), 40), "entry", "left_semi")
+    others = (each.where(F.col("y") == 0).join(small_side(hits.select("entry"), 16), "entry", "left_semi")
               .groupBy("entry").agg(F.count(F.lit(1)).alias("o")))
     both = hits.join(others, "entry", "left").select("entry", "t", F.coalesce("o", F.lit(0)).alias("o"))
     rate = words[1.0] / (words[1.0] + words[0.0])
