@@ -242,7 +242,7 @@ class Weigher(Reader):
     def __init__(self, costs: np.ndarray, lexicon: dict[int, float]) -> None:
         super().__init__(costs)
         self.lexicon = lexicon
-        self.memory = Memory(self.of_token, 16 << 20)
+        self.memory = Memory(self.of_token, 32 << 20)
         starts = {e >> 39 for e in lexicon}
         self.begins = Memory(lambda letters: _start(letters) in starts, 4 << 20)
 
