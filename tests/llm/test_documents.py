@@ -5,13 +5,15 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
 
+from veilframe.llm import mixing
 from veilframe.llm.components import connected_components
 from veilframe.llm.exact_dedup import _misra_gries, drop_exact_duplicates, exact_duplicates
 from veilframe.llm.minhash import MinMax, bands_for, drop_near_duplicates, link_forest, near_duplicates, shingle_set
@@ -212,6 +214,68 @@ def test_mix(spark, rows):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["copies"] for r in copies(regular).collect() if r["copies"]})
 
 
+def _sampled(docs, ratio, target, near, places):
+    """Order sampling read from its definition: the draws ``{place: size}``, taken down the order, the last places by trying all subsets."""
+    order = sorted(docs)
+    goal = round(target) - int(ratio) * sum(docs.values())
+    taken, left, limit = [], goal, goal
+    for p in order:
+        if docs[p] > limit:
+            continue
+        if docs[p] > left:
+            limit = left
+            if left <= target * near:
+                break
+            continue
+        taken.append(p)
+        left -= docs[p]
+    last = taken[-places:]
+    need = left + sum(docs[p] for p in last)
+    others = [p for p in order if p not in set(taken) and docs[p] <= need][:places]
+    gap = min(abs(need - sum(c)) for k in range(len(last + others) + 1) for c in combinations([docs[p] for p in last + others], k))
+    return set(taken[:-places]), set(last + others), gap
+
+
+def test_mix_matches_plain_order_sampling(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LAST_PLACES", 4)
+    draw = np.random.default_rng(8)
+    sizes = [[400] * 300 + [100_000], list(draw.integers(1, 2000, 150)), list((draw.pareto(0.7, 200) * 5 + 1).astype(int)), [7] * 5]
+    table = [(1000 * s + k, " ".join(["w"] * int(n)), "abcd"[s]) for s, group in enumerate(sizes) for k, n in enumerate(group)]
+    docs = frame(spark, table)
+    got = {r["doc_id"]: r for r in copies(docs).collect()}
+    digest = {r[0]: r[1] for r in docs.select("doc_id", mixing._digest(F.col("doc_id"), F.col("text"))).collect()}
+    for source in "abcd":
+        mine = {i: r["size"] for i, r in got.items() if r["source"] == source}
+        target = next(r["target"] for r in got.values() if r["source"] == source)
+        ratio = target / sum(mine.values())
+        part = ratio - int(ratio)
+        # without importance the order by rank is the order of the uniform numbers
+        place = {((digest[i] & (1 << 64) - 1) >> 12, digest[i]): i for i in mine}
+        sure, weighed, gap = _sampled({p: mine[i] for p, i in place.items()}, ratio, target, mixing.NEAR, 4) if part else (set(), set(), 0)
+        extra = {i for i in mine if got[i]["copies"] > int(ratio)}
+        assert {place[p] for p in sure} - {place[p] for p in weighed} <= extra <= {place[p] for p in sure | weighed}
+        assert abs(sum(r["copies"] * mine[i] for i, r in got.items() if i in mine) - round(target)) == gap
+
+
+def test_mix_passes_over_long_documents(spark):
+    for seed in range(3):
+        docs = frame(spark, [(k, f"s{seed} " + "w " * 399, "a") for k in range(1000)] + [(5000, f"s{seed} " + "w " * 99_999, "a")]
+                     + [(7000 + k, "w " * 5000, "b") for k in range(80)])
+        got = mixed_words(docs).collect()
+        for source in (range(0, 6000), range(7000, 8000)):
+            mine = [r for r in got if r["doc_id"] in source]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= (400 if source[0] == 0 else 5000)
+
+
+def test_mix_gives_rows_without_id_their_own_draws(spark):
+    docs = frame(spark, [(None, words(30 + k % 20, k), "a") for k in range(3000)] + [(1, words(90_000, 5), "b")] + [(None, "same row", "a")] * 2)
+    by = defaultdict(lambda: [0, 0.0])
+    for r in copies(docs).collect():
+        by[r["source"]][0] += r["copies"] * r["size"]
+        by[r["source"]][1] = r["target"]
+    assert abs(by["a"][0] - by["a"][1]) <= 60
+
+
 TEXTS = ["", " ", "  ", "\n", "a", " a", "a ", "a  ", "a \n b", "don't  stop", "x²½ ñandú", "ΑΣ Σ", "é é", "中文 mixed 文", "😀 ok", "tab\tsep\r\n",
          "end <|endoftext|> of", "\x1c\x85\xa0x", "word " * 3000, "a" * 5000, "1234567 89", "___ a_b", "'s 're it's", "ﬁx İ"]
 
