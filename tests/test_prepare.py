@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import quantiles
+from veilframe.functions.quantiles import _pick
 from veilframe.functions.ordered import carry_forward, dense_codes, running_totals
 from veilframe.functions.values import bin_column, recode_contains, recode_equals, sanitize_nonfinite, split_at
 from veilframe.operators import clean, profile, roles, split
@@ -180,6 +181,24 @@ def test_exact_quantiles(spark, monkeypatch):
             np.testing.assert_allclose(got[c], np.quantile(v, probs), rtol=1e-12)
 
 
+def test_weighted_quantiles_with_little_to_rank(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    values = np.round(draw.normal(0, 50, 3000), 1)
+    weights = draw.integers(0, 4, 3000)
+    weights[7] = 9 * weights.sum()                   # one row has 90 % of the weight
+    crowd = np.where(np.arange(3000) % 10 < 9, 12.5, values)   # one value has 90 % of the rows
+    df = spark.createDataFrame([(float(a), float(b), int(w)) for a, b, w in zip(values, crowd, weights)], "v double, u double, w long").repartition(3)
+    probs = [0.0, 0.01, 0.05, 0.5, 0.93, 0.97, 0.999, 1.0]
+    for limit in (1, 20, 10_000):
+        monkeypatch.setattr(quantiles, "RANK_LIMIT", limit)
+        given = []
+        monkeypatch.setattr(quantiles, "_pick", lambda base, index, copies, targets, pick=_pick: given.extend(targets) or pick(base, index, copies, targets))
+        got = quantiles.exact_quantiles(df, {"v": probs, "u": probs}, "w")
+        assert all(t.rows <= limit or t.low == t.high for t in given)
+        for name, column in (("v", values), ("u", crowd)):
+            np.testing.assert_allclose(got[name], np.quantile(np.repeat(column, weights), probs), rtol=1e-12)
+
+
 def test_weighted_quantiles(spark):
     df = spark.createDataFrame([(1.0, 3, 0), (2.0, 1, 0), (9.0, 0, 5), (4.0, 2, 1)], "v double, w int, x int")
     facts = {}

@@ -6,6 +6,11 @@ one aggregate counts what lies below and inside the brackets, and only the
 pre-aggregated values inside the brackets are ranked. The counts prove that the
 rank is in its bracket, so the result is exact; brackets still too full are
 narrowed again.
+
+With weights, the sketch cuts the rows of a bracket and not their weight: the
+weight of every slot between two cuts, and of the cuts themselves, is summed, and
+the slot that holds the rank is the next bracket. So a bracket always gets fewer
+rows, however the weight lies.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from .values import as_number, q
 
 SKETCH_ACCURACY = 5_000
 RANK_LIMIT = 1_000_000  # values one ranking task may be given
+SLOTS = 64              # pieces that a bracket of weighted rows is cut into
 
 
 @dataclass
@@ -27,8 +33,9 @@ class _Target:
     rank: int           # 0-based rank among the non-null values
     low: float
     high: float
-    below: int          # values smaller than `low`
-    inside: int         # values in [low, high]
+    below: int          # values smaller than `low`, weighted
+    inside: int         # values in [low, high], weighted
+    rows: int           # rows with a value in [low, high]
 
 
 def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], weight: str | dict[str, str] | None = None,
@@ -51,7 +58,7 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], weight: str |
     base = base.select(*[F.when(F.col(copies[c]) > 0, F.col(index[c])).alias(index[c]) for c in cols],
                        *sorted(set(copies.values())))
     first = base.agg(*[e for c in cols for v, w in [(F.col(index[c]), F.col(copies[c]))] for e in (
-        F.sum(F.when(v.isNotNull(), w)).alias(f"n_{index[c]}"), F.min(v).alias(f"lo_{index[c]}"), F.max(v).alias(f"hi_{index[c]}"),
+        F.sum(F.when(v.isNotNull(), w)).alias(f"n_{index[c]}"), F.count(v).alias(f"r_{index[c]}"), F.min(v).alias(f"lo_{index[c]}"), F.max(v).alias(f"hi_{index[c]}"),
         *([(F.sum(v * w)).alias(f"m_{index[c]}"), F.stddev(v).alias(f"s_{index[c]}")] if facts is not None else []))]).first()
     targets: dict[tuple[str, int], _Target] = {}
     for c in cols:
@@ -62,14 +69,17 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], weight: str |
                         "mean": first[f"m_{v}"] / n if n else None}
         for p in probs[c] if n else []:
             for rank in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                targets[(c, rank)] = _Target(c, rank, first[f"lo_{v}"], first[f"hi_{v}"], 0, n)
+                targets[(c, rank)] = _Target(c, rank, first[f"lo_{v}"], first[f"hi_{v}"], 0, n, first[f"r_{v}"])
 
     margin = 4.0 / SKETCH_ACCURACY
-    crowded = [t for t in targets.values() if t.inside > RANK_LIMIT and t.low < t.high]
+    # a bracket of one single value needs no ranking, however many rows hold it
+    uneven = [t for t in targets.values() if weights[t.column]]
+    while uneven := [t for t in uneven if t.rows > RANK_LIMIT and t.low < t.high]:
+        _narrow_weighted(base, index, copies, uneven)
+    crowded = [t for t in targets.values() if not weights[t.column] and t.inside > RANK_LIMIT and t.low < t.high]
     while crowded and margin < 0.5:
         if not _narrow(base, index, copies, crowded, margin):
             margin *= 8
-        # a bracket of one single value needs no ranking, however many rows hold it
         crowded = [t for t in crowded if t.inside > RANK_LIMIT and t.low < t.high]
 
     ranked = _pick(base, index, copies, list(targets.values()))
@@ -120,6 +130,38 @@ def _narrow(base: DataFrame, index: dict[str, str], copies: dict[str, str], crow
     return smaller
 
 
+def _slot(cuts: Column, value: Column) -> Column:
+    """Odd slots are the cuts, even ones lie between them."""
+    return F.size(F.filter(cuts, lambda c: c < value)) * 2 + F.array_contains(cuts, value).cast("int")
+
+
+def _narrow_weighted(base: DataFrame, index: dict[str, str], copies: dict[str, str], crowded: list[_Target]) -> None:
+    """Cut the rows of each bracket and keep the slot that holds the weighted rank: fewer rows, or one single value."""
+    shared: dict[tuple, list[_Target]] = {}
+    for t in crowded:
+        shared.setdefault((t.column, t.low, t.high), []).append(t)
+    values = [F.when(F.col(index[column]).between(low, high), F.col(index[column])) for column, low, high in shared]
+    points = [i / SLOTS for i in range(SLOTS + 1)]
+    sketch = base.agg(*[F.percentile_approx(v, points, SKETCH_ACCURACY).alias(f"b{b}") for b, v in enumerate(values)]).first()
+    entries = []
+    for b, ((column, _, _), v) in enumerate(zip(shared, values)):
+        cuts = F.expr("array(" + ", ".join(f"double('{x!r}')" for x in sorted(set(sketch[f"b{b}"]))) + ")")
+        slot = _slot(cuts, v)
+        entries.append(F.when(v.isNotNull(), F.struct(F.lit(b).alias("b"), slot.alias("slot"), v.alias("v"), F.col(copies[column]).alias("w"))))
+    found = (base.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.b", "e.slot")
+             .agg(F.sum("e.w").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("e.v").alias("low"), F.max("e.v").alias("high"))
+             .orderBy("b", "slot").collect())  # at most 2 SLOTS + 3 rows per bracket
+    for b, group in enumerate(shared.values()):
+        below = group[0].below
+        for r in found:
+            if r["b"] != b:
+                continue
+            for t in group:
+                if below <= t.rank < below + r["n"]:
+                    t.low, t.high, t.below, t.inside, t.rows = r["low"], r["high"], below, r["n"], r["rows"]
+            below += r["n"]
+
+
 def _pick(base: DataFrame, index: dict[str, str], copies: dict[str, str],
           targets: list[_Target]) -> dict[tuple[str, int], float]:
     """Values at the wanted ranks; each bracket is ranked over its distinct values."""

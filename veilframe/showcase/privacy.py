@@ -12,12 +12,12 @@ BAND_SQL = "CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'midd
 PEOPLE_SQL = f"""
 people AS (SELECT c_nationkey, CASE WHEN c_nationkey <> 3 THEN c_mktsegment END AS c_mktsegment,
                   CASE WHEN c_acctbal <= 9000 THEN {BAND_SQL} END AS band FROM customer),
-reference AS (SELECT {BAND_SQL} AS band FROM customer WHERE c_acctbal >= -500)"""
+reference AS (SELECT {BAND_SQL.replace('c_acctbal', 's_acctbal')} AS band FROM supplier)"""
 QI = ["c_mktsegment", "c_nationkey"]
 
 
-def band() -> Column:
-    return F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "middle").otherwise("high")
+def band(balance: str = "c_acctbal") -> Column:
+    return F.when(F.col(balance) < 0, "debt").when(F.col(balance) < 5000, "middle").otherwise("high")
 
 
 def people(t: Tables) -> DataFrame:
@@ -26,7 +26,8 @@ def people(t: Tables) -> DataFrame:
 
 
 def bands(t: Tables) -> DataFrame:
-    return t.customer.where("c_acctbal >= -500").select(band().alias("band"))
+    """The suppliers' balances, against which the customers' are held."""
+    return t.supplier.select(band("s_acctbal").alias("band"))
 
 
 GROUPED = f"{PEOPLE_SQL}, placed AS (SELECT * FROM people WHERE c_mktsegment IS NOT NULL AND c_nationkey IS NOT NULL)"
