@@ -11,6 +11,7 @@ from ..session import materialize
 from .values import q
 
 RANGES = 256  # a power of two
+PAGE_ROWS = 100_000  # beyond so many rows, a page is found by numbering
 
 
 def ordered_ranges(df: DataFrame, order: str, out: str, by: str | None = None) -> DataFrame:
@@ -123,3 +124,34 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> D
     for i, k in enumerate(keys):
         same = same & q(k).eqNullSafe(F.col(f"__k{i}"))
     return cut.join(starts, same).select(*[q(c) for c in df.columns], (F.col("__at") + F.col("__shift") + 1).alias(out))
+
+
+def sums_upto(df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, str]) -> DataFrame:
+    """Per row, the sums over the rows of its key up to and including it, in ``order``; ``totals`` maps a new column to the summed one.
+
+    Sums are made in two levels, over the stretch of a key that a task holds and over its stretches, so no task holds all rows of a
+    frequent key.
+    """
+    cut = _segments(df, keys, order, "sums")
+    by = [q(k) for k in keys]
+    stretches = cut.groupBy(*by, "__part").agg(*[F.sum(q(c)).alias(f"__s_{n}") for n, c in totals.items()])
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)   # a row for each part
+    starts = stretches.select(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"),
+                              *[F.sum(f"__s_{n}").over(before).alias(f"__b_{n}") for n in totals])
+    inside = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumns({f"__l_{n}": F.sum(q(c)).over(inside) for n, c in totals.items()})
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & q(k).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(starts, same).select(*[q(c) for c in df.columns], *[F.coalesce(F.col(f"__b_{n}") + F.col(f"__l_{n}"), f"__b_{n}", f"__l_{n}").alias(n) for n in totals])
+
+
+def page_of(df: DataFrame, order: list[Column], start: int, rows: int) -> DataFrame:
+    """Rows ``start`` to ``start + rows`` of the whole order, in order.
+
+    Near the beginning every task keeps its first rows only. Further down rows are numbered over many tasks, so that no task
+    holds all that comes before the page.
+    """
+    if start + rows <= PAGE_ROWS:
+        return df.orderBy(*order).offset(start).limit(rows)
+    return numbered(df, [], order, "__place").where(F.col("__place").between(start + 1, start + rows)).orderBy("__place").drop("__place")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ordered import carry_forward
+from ..functions.ordered import carry_forward, page_of
 
 # How lines look.
 TIME_PATTERN = r"^\[([^\]]*)\] "
@@ -42,7 +42,7 @@ def run_log_tail(lines: DataFrame, run_id: str, n: int) -> DataFrame:
     if n < 1:
         raise ValueError("n must be positive")
     order = [F.col(c).desc() for c in ("ts", "file", "line_no")]
-    return run_log(lines, run_id).orderBy(*order).limit(n)
+    return page_of(run_log(lines, run_id), order, 0, n)
 
 
 def parse_budget_log(lines: DataFrame, chunk_rows: int = 100_000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ordered import running_totals
 from ..functions.values import as_number, q
 from ..session import materialize
-from .association import pair_cells, pearson_pairs
+from .association import pair_counts, pearson_pairs
 from .marginals import _sides, shared_columns, tvd_categorical
 
 PAIR_BINS = 10
@@ -64,9 +64,10 @@ def pair_trends(real: DataFrame, synth: DataFrame, columns: Sequence[str] | None
             cut.append(F.when(x < low, -1).when(x > high, PAIR_BINS).when(x.isNotNull(), inside).cast("string").alias(n))
         return d.select(F.lit(side).alias("__side"), *[q(c).cast("string").alias(c) for c in labels], *cut)
 
-    cells = pair_cells(coarse(real, 1).unionByName(coarse(synth, 0)), pairs, "__side") \
+    cells = pair_counts(coarse(real, 1).unionByName(coarse(synth, 0)), pairs, "__side") \
         .groupBy("pair", "a", "b").agg(F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("r"),
                                        F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("s"))
+    cells = materialize(cells, "cells")     # read twice
     totals = cells.groupBy("pair").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns"))
     gap = F.abs(F.coalesce(F.try_divide("r", "nr"), F.lit(0.0)) - F.coalesce(F.try_divide("s", "ns"), F.lit(0.0)))
     tvd = cells.join(F.broadcast(totals), "pair").groupBy("pair").agg((1 - F.sum(gap) / 2).alias("score"))  # one row per pair

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.ordered import page_of
 from ..functions.values import q
 
 RUN_FIELDS = ["run_id", "status", "verdict", "dataset_name", "config_name", "created_at", "started_at", "finished_at"]
@@ -61,7 +62,7 @@ def run_page(runs: DataFrame, page: int = 1, per_page: int = 20, **filters: str
         raise ValueError("page and per_page start at 1")
     kept = filter_runs(runs, **filters)
     total = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (kept.orderBy(F.col("created_at").desc(), F.col("run_id")).offset((page - 1) * per_page).limit(per_page)
+    return (page_of(kept, [F.col("created_at").desc(), F.col("run_id").asc()], (page - 1) * per_page, per_page)
             .withColumns({"page": F.lit(page), "per_page": F.lit(per_page), "total": total})
             .withColumn("pages", F.ceil(F.col("total") / per_page)))
 

@@ -54,13 +54,17 @@ class ProcessRegistry:
 
     @contextmanager
     def batch(self) -> Iterator[ProcessRegistry]:
-        self._held, outer = {}, self._held
+        """Rows of the body are written when it ends, also when it ends by an error; a batch inside another joins it."""
+        if self._held is not None:
+            yield self
+            return
+        self._held = {}
         try:
             yield self
-            for table, (schema, rows) in self._held.items():
-                self._write(table, schema, rows)
         finally:
-            self._held = outer
+            held, self._held = self._held, None
+            for table, (schema, rows) in held.items():
+                self._write(table, schema, rows)
 
     def _append(self, table: str, schema: str, row: tuple) -> None:
         if self._held is not None:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.values import nan_to_null, q
-from ..operators.association import _pair_stats, pair_cells, pearson_pairs
+from ..operators.association import PRODUCT_SUMS, correlations, pair_counts, pair_information, product_sums
 from ..operators.profile import value_counts
 from ..operators.roles import ColumnRoles, detect_column_roles
 from ..session import materialize
 from .model import NO_PARENT, Model, intervals, slot_counts
+from .packed import PACKED_CELLS
 from .tokens import BINS, ColumnSpec, column_specs, tokenize
 
 
@@ -53,23 +56,56 @@ def normal_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return ((a + b) / 2).clip(1e-9, 1 - 1e-9).map(normal.inv_cdf)
 
 
+def score_correlations(tokens: DataFrame, names: Sequence[str], scores: DataFrame, slots: dict[str, int]) -> DataFrame:
+    """``(a, b, r)`` of the columns' scores in one pass over the rows.
+
+    ``slots`` bounds the tokens of each column. Columns with together at most ``PACKED_CELLS`` tokens are looked up
+    in arrays while the products are summed; the scores of others are joined before.
+    """
+    small, room = [], PACKED_CELLS
+    for c in names:
+        if slots[c] <= room:
+            small.append(c)
+            room -= slots[c]
+    if len(small) < len(names):
+        scores = materialize(scores, "scores")
+    rows = tokens
+    for i, c in enumerate(names):
+        if c not in small:
+            part = scores.where(F.col("target") == c).select(F.col("token").alias(f"__k{i}"), F.col("score").alias(f"__z{i}"))
+            rows = rows.join(part, q(c) == F.col(f"__k{i}")).drop(f"__k{i}")
+    table = scores.where(F.col("target").isin(small)).toArrow()     # at most PACKED_CELLS rows
+    known = {}
+    for c in small:
+        mine = table.filter(pc.equal(table["target"], c))
+        known[c] = mine["token"].combine_chunks(), mine["score"].to_numpy()
+    looked_up = [known.get(c) for c in names]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(batch: pa.RecordBatch) -> np.ndarray:
+            return np.column_stack([
+                column.to_numpy(zero_copy_only=False) if look is None else look[1][pc.index_in(column, value_set=look[0]).to_numpy(zero_copy_only=False)]
+                for column, look in zip(batch.columns, looked_up)])
+        yield product_sums((block(b) for b in batches if b.num_rows), len(looked_up))
+
+    chosen = rows.select(*[q(c).alias(f"c{i}") if c in small else F.col(f"__z{i}").alias(f"c{i}") for i, c in enumerate(names)])
+    return correlations(chosen.mapInArrow(products, PRODUCT_SUMS), names)
+
+
 def fit_copula(df: DataFrame, roles: ColumnRoles | None = None, bins: int = BINS, seed: int = 42) -> Model:
     """Gaussian copula: tokens in order → normal scores → correlation of the scores."""
     specs, tokens, rows = prepare_tokens(df, roles, bins)
     names = [s.name for s in specs]
     counts = materialize(token_counts(tokens, names), "counts")
     cells = materialize(intervals(counts, ordered=True), "model")
-    scores = materialize(cells.select("target", "token", normal_score(F.col("a"), F.col("b")).alias("score")), "scores")
-    scored = tokens
-    for i, c in enumerate(names):
-        part = scores.where(F.col("target") == c).select(F.col("token").alias(f"__k{i}"), F.col("score").alias(f"__z{i}"))
-        scored = scored.join(part, q(c) == F.col(f"__k{i}")).drop(f"__k{i}")
-    zs = [f"__z{i}" for i in range(len(names))]
+    slots = slot_counts(cells)
+    found = score_correlations(tokens, names, cells.select("target", "token", normal_score(F.col("a"), F.col("b")).alias("score")), slots)
     matrix = np.eye(len(names))
-    for r in pearson_pairs(scored.select(*zs), zs).collect():  # one row per pair of columns
-        i, j = int(r["a"][3:]), int(r["b"][3:])
+    at = {c: i for i, c in enumerate(names)}
+    for r in found.collect():  # one row per pair of columns
+        i, j = at[r["a"]], at[r["b"]]
         matrix[i, j] = matrix[j, i] = r["r"] or 0.0
-    return Model("copula", specs, [(c, None) for c in names], cells, slot_counts(cells), rows, seed, factor=_factor(matrix).tolist())
+    return Model("copula", specs, [(c, None) for c in names], cells, slots, rows, seed, factor=_factor(matrix).tolist())
 
 
 def _factor(matrix: np.ndarray) -> np.ndarray:
@@ -101,8 +137,8 @@ def fit_tree(df: DataFrame, roles: ColumnRoles | None = None, bins: int = BINS,
     if not pairs:
         cells = materialize(intervals(root), "model")
         return Model("tree", specs, [(names[0], None)], cells, slot_counts(cells), rows, seed)
-    table = materialize(pair_cells(tokens, pairs), "pairs")
-    mi = {pairs[r["pair"]]: r["mi"] for r in _pair_stats(table).collect()}  # one row per pair of columns
+    table = materialize(pair_counts(tokens, pairs), "pairs")
+    mi = {pairs[r["pair"]]: r["mi"] for r in pair_information(table).collect()}  # one row per pair of columns
     order = spanning_tree(names, mi)
     cells = materialize(intervals(root.unionByName(edge_counts(table, pairs, order))), "model")
     return Model("tree", specs, order, cells, slot_counts(cells), rows, seed)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.ordered import sums_upto
+from ..functions.values import q
 
 
 def default_delta(rows: int) -> float:
@@ -31,14 +34,14 @@ def rho_of(epsilon: float, delta: float) -> float:
 def budget_ledger(releases: DataFrame) -> DataFrame:
     """Add ``rho_spent`` and ``epsilon_spent`` to releases ``(run_id, step, rho, delta[, epsilon])``.
 
-    ``epsilon`` holds the cost of pure-DP releases, which adds up as it is. The running
-    sum is per run, and a run has few releases.
+    ``epsilon`` holds the cost of pure-DP releases, which adds up as it is. Running sums are made over stretches of a run, so a run
+    may have any number of releases; of releases with equal ``step`` the order is that of their costs.
     """
-    so_far = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    pure = F.sum("epsilon").over(so_far) if "epsilon" in releases.columns else F.lit(0.0)
-    rho = F.sum("rho").over(so_far)
-    spent = pure + rho + 2 * F.sqrt(rho * F.log(1 / F.col("delta")))
-    return releases.withColumns({"rho_spent": rho, "epsilon_spent": spent})
+    pure = "epsilon" in releases.columns
+    order = [F.col(c).asc() for c in ("step", "rho", *(["epsilon"] if pure else []))]
+    summed = sums_upto(releases, ["run_id"], order, {"rho_spent": "rho", **({"__pure": "epsilon"} if pure else {})})
+    spent = (F.col("__pure") if pure else F.lit(0.0)) + F.col("rho_spent") + 2 * F.sqrt(F.col("rho_spent") * F.log(1 / F.col("delta")))
+    return summed.select(*[q(c) for c in releases.columns], "rho_spent", spent.alias("epsilon_spent"))
 
 
 def estimate_max_steps(history: DataFrame, budget: float) -> DataFrame:

@@ -1,7 +1,8 @@
 """A fitted model: token intervals per column (given the parent's token), and sampling from it.
 
 A column's tokens split [0, 1) into intervals. A row draws a uniform number and
-takes the token whose interval holds it. The search is an equality join: [0, 1) is
+takes the token whose interval holds it. Tables of checked size are searched as
+arrays (``packed``). For larger ones the search is an equality join: [0, 1) is
 cut into equal slots, intervals are listed under the slots they touch, and slots
 are met uniformly, so no key is hot even when one token holds most of the mass.
 """
@@ -11,11 +12,10 @@ from __future__ import annotations
 import json
 import math
 import warnings
-from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.hashing import key_hash, uniform
@@ -23,11 +23,13 @@ from ..functions.ordered import dense_codes, running_totals
 from ..operators.split import sample_rows
 from ..session import materialize
 from .conditional import candidates, column_predicates, conditioned, first_passing
+from .packed import PackedColumn, draw_packed, pack
 from .tokens import ColumnSpec, detokenize
 
 NO_PARENT = ""
 LEAST_SLOTS = 16
 ROWS_PER_TASK = 2_000_000
+SALTS = 32  # copies of a row of the slot sizes, for rows of a frequent parent token
 
 
 def intervals(counts: DataFrame, ordered: bool = False) -> DataFrame:
@@ -76,20 +78,11 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(z >= 0, 1.0 - upper, upper), 1.0 - 2.0 ** -53)
 
 
-def _correlated(rows: DataFrame, factor: np.ndarray, seed: int) -> DataFrame:
-    """Columns ``__u0 …``: places in [0, 1) of correlated normals. The numbers are hashes of the
-    row id, so they do not depend on partitioning; the matrix product runs on Arrow batches."""
+def correlated(raw: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Places in [0, 1) of correlated normals, one column for each row of ``factor``, from twice as many independent places."""
     d = len(factor)
-    drawn = rows.select("__id", *[uniform(seed, part, j, F.col("__id")).alias(f"__{part}{j}") for part in "ra" for j in range(d)])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = np.column_stack([c.to_numpy() for c in b.columns[1:]]) if b.num_rows else np.empty((0, 2 * d))
-            normal = np.sqrt(-2.0 * np.log(1.0 - raw[:, :d])) * np.cos(2.0 * np.pi * raw[:, d:])
-            u = normal_cdf(normal @ factor.T)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(u[:, i]) for i in range(d)]], names=["__id", *[f"__u{i}" for i in range(d)]])
-
-    return drawn.mapInArrow(place, "__id long, " + ", ".join(f"__u{i} double" for i in range(d)))
+    normal = np.sqrt(-2.0 * np.log(1.0 - raw[:, :d])) * np.cos(2.0 * np.pi * raw[:, d:])
+    return normal_cdf(normal @ factor.T)
 
 
 @dataclass
@@ -110,6 +103,10 @@ class Model:
 
     # -------------------------------------------------------------- sampling
 
+    @cached_property
+    def _packed(self) -> list[PackedColumn]:
+        return pack(self.cells, self.order)
+
     def sample(self, n: int | None = None, seed: int | None = None, condition: str | None = None,
                max_tries: int = 100) -> DataFrame:
         """Exactly ``n`` rows (default: as many as were fitted), from the model alone.
@@ -159,9 +156,17 @@ class Model:
         tasks = max(spark.sparkContext.defaultParallelism, math.ceil((end - start) / ROWS_PER_TASK))
         rows = spark.range(start, end, 1, tasks).withColumnRenamed("id", "__id")
         at = {c: i for i, (c, _) in enumerate(self.order)}
+        packed = {p.place for p in self._packed}
+        joined = [(i, c, p) for i, (c, p) in enumerate(self.order) if i not in packed]
         if self.factor is not None:
-            rows = _correlated(rows, np.array(self.factor), seed)
-        for i, (column, parent) in enumerate(self.order):
+            factor, d = np.array(self.factor), len(self.order)
+            # the numbers are hashes of the row id, so they do not depend on partitioning
+            raw = {f"__{part}{j}": uniform(seed, part, j, F.col("__id")) for part in "ra" for j in range(d)}
+            rows = draw_packed(rows.withColumns(raw), self._packed, list(raw), lambda x: correlated(x, factor), [i for i, _, _ in joined])
+        elif packed:
+            places = {f"__u{p.place}": uniform(seed, "t", self.order[p.place][0], F.col("__id")) for p in self._packed}
+            rows = draw_packed(rows.withColumns(places), self._packed, list(places), None, [])
+        for i, column, parent in joined:
             u = F.col(f"__u{i}") if self.factor is not None else uniform(seed, "t", column, F.col("__id"))
             cells = self.cells.where(F.col("target") == column)
             given = F.col(f"__t{at[parent]}") if parent else F.lit(NO_PARENT)
@@ -172,7 +177,9 @@ class Model:
                 slots = cells.groupBy(F.col("parent_token").alias("__q")).agg(
                     F.greatest(F.lit(LEAST_SLOTS), F.pow(F.lit(2), F.ceil(F.log2(F.count(F.lit(1)))))).cast("long").alias("__k"))
                 cells = cells.join(slots, F.col("parent_token") == F.col("__q")).drop("__q")
-                drawn = drawn.join(slots, F.col("__given") == F.col("__q")).drop("__q").withColumnRenamed("__k", "__m")
+                salted = slots.select("__q", F.col("__k").alias("__m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__w"))
+                drawn = drawn.join(salted, (F.col("__given") == F.col("__q")) & (F.pmod(F.xxhash64("__id"), F.lit(SALTS)) == F.col("__w"))) \
+                    .drop("__q", "__w")
                 k = F.col("__k")
             table = cells.select(
                 F.col("parent_token").alias("__p"), F.col("token").alias(f"__t{i}"), F.col("a").alias("__a"), F.col("b").alias("__b"),

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.values import as_number, nan_to_null
-from ..operators.association import pair_cells
+from ..operators.association import pair_counts
 from ..operators.roles import ColumnRoles, detect_column_roles
 from ..session import materialize
 from .fit import edge_counts, prepare_tokens, token_counts
@@ -130,7 +130,7 @@ def fit_private_tree(df: DataFrame, roles: ColumnRoles | None = None, epsilon: f
     counts = histograms.where(F.col("target") == names[0]).select("target", F.lit(NO_PARENT).alias("parent_token"), "token", "n")
     if links:
         pairs = list(combinations(names, 2))
-        table = materialize(pair_cells(tokens, pairs), "pairs")
+        table = materialize(pair_counts(tokens, pairs), "pairs")
         score = _dependence(table, pairs, histograms, sums)
         strength = np.sqrt(8 * rho_choice / links)
         done = {names[0]}
