@@ -331,3 +331,15 @@ def test_stages_take_odd_documents(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             result = stage(spark, frame, folder)
             assert result.count() >= 0
+
+
+def test_trees_see_a_rare_verdict_and_any_partitioning_gives_the_same(spark):
+    pages = [(k, f"https://site{k % 50}.org/a{k}/page.html") for k in range(3000)] + [(3000 + k, f"https://bad.biz/x?a={k}&b=1&c=2") for k in range(5)] \
+        + [(4000 + k, None) for k in range(50)] + [(5000 + k, "https://hot.org/same") for k in range(1000)]
+    docs = spark.createDataFrame(pages, "page_id long, url string")
+    labelled = docs.where("page_id < 4000 OR page_id >= 5000").select("url", F.col("page_id").between(3000, 3999).cast("int").alias("blocked"))
+    got = judge_urls(docs, rules=(), labelled=labelled, bound=100).toPandas().sort_values("page_id")
+    assert set(got[got.verdict == "block"].page_id) >= set(range(3000, 3005))
+    assert (got[got.page_id < 3000].verdict == "allow").all() and (got[got.page_id >= 5000].verdict == "allow").all()
+    again = judge_urls(docs.repartition(5), rules=(), labelled=labelled.repartition(3), bound=100).toPandas().sort_values("page_id")
+    assert (got.score.values == again.score.values).all()

@@ -13,9 +13,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, hashed_share, materialize, q
+from ..functions.hashing import uniform
+from .common import fresh, materialize, q
 
-TRAIN_ROWS = 20_000     # labelled URLs used to grow trees, about (a documented bound; statistics and verdicts cover all URLs)
+TRAIN_ROWS = 20_000     # labelled URLs used to grow trees, about, half of each verdict (a documented bound; statistics and verdicts cover all URLs)
 BUCKETS = 4096          # rows of the suffix statistics
 PRIOR = 20.0            # labelled URLs that the overall rate counts for in a bucket
 TREES, DEPTH = 12, 4
@@ -98,10 +99,24 @@ def _with_suffixes(urls: DataFrame, table: DataFrame, rate: float) -> DataFrame:
     return out.withColumn("features", array_to_vector(F.concat("__lexical", rates)))
 
 
+def _sampled(rows: DataFrame, blocked: float, allowed: float, bound: int) -> DataFrame:
+    """About ``bound / 2`` rows of each verdict, folded by URL, with the ``weight`` that makes them stand for all.
+
+    Whether a URL is taken depends on the URL alone, with a chance that grows with its rows up to certainty; so a frequent URL is
+    always there, and a verdict of which there are few keeps all of its rows.
+    """
+    folded = rows.groupBy("url", "host", "path", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    of_kind = F.when(F.col("label") == 1.0, F.lit(blocked)).otherwise(F.lit(allowed))
+    chance = F.least(F.lit(1.0), F.col("n") * F.lit(bound / 2) / of_kind)
+    drawn = folded.withColumn("__chance", chance).where(uniform("url-sample", F.col("url"), F.col("label")) < F.col("__chance"))
+    return drawn.select("url", "host", "path", "label", (F.col("n") / F.col("__chance")).alias("weight"))
+
+
 def fit(labelled: DataFrame, bound: int = TRAIN_ROWS, seed: int = 5) -> UrlModel:
     """Learn from rows with ``url, host, path, blocked`` (0 or 1).
 
-    Without any row all other URLs are allowed; with rows of one kind only, they get that verdict.
+    Without any row all other URLs are allowed; with rows of one kind only, they get that verdict. The model does not depend on how
+    the rows are partitioned.
     """
     rows = materialize(lexical(labelled, "url", "host", "path").select("url", "host", "path", "__lexical", *[f"__s{k}" for k in range(1, 5)],
                                                                       F.col("blocked").cast("double").alias("label")), "labelled-urls")
@@ -114,12 +129,9 @@ def fit(labelled: DataFrame, bound: int = TRAIN_ROWS, seed: int = 5) -> UrlModel
              .groupBy("bucket").agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
              .select("bucket", ((F.col("b") + PRIOR * rate) / (F.col("n") + PRIOR)).alias("rate")))
     table = materialize(table, "suffixes")
-    sample = _with_suffixes(rows.where(hashed_share([F.col("url"), F.monotonically_increasing_id()], 0.95 * bound / n)), table, rate)
-    sample = materialize(sample.select("features", "label").coalesce(FIT_TASKS), "url-sample")
-    kinds = sample.agg(F.min("label"), F.max("label")).first()
-    if kinds[0] == kinds[1]:
-        return UrlModel(None, None, 0.0, "block" if kinds[0] else "allow")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=64).fit(sample)
+    sample = materialize(_with_suffixes(lexical(_sampled(rows, blocked, n - blocked, bound), "url", "host", "path"), table, rate)
+                         .select("url", "features", "label", "weight").repartition(FIT_TASKS, "url").sortWithinPartitions("url", "label"), "url-sample")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, maxBins=64, weightCol="weight").fit(sample)
     return UrlModel(trees, table, rate, "allow")
 
 
