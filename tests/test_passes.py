@@ -1,6 +1,7 @@
 """Counting, drawing, paging and summing in blocks against plain versions."""
 
 import math
+import os
 from collections import Counter
 from itertools import combinations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import ordered
 from veilframe.operators import association, clean, runs
+from veilframe.sources import catalog
 from veilframe.sources.registry import ProcessRegistry
 from veilframe.synth import fit, ledger, packed
 
@@ -125,3 +127,19 @@ def test_a_failing_batch_keeps_its_rows(spark, tmp_path):
     assert registry.table("process_events").count() == 3
     registry.start("q", "data.csv", "run.yaml")     # rows are written at once again
     assert registry.table("process_events").count() == 4
+
+
+def test_listings_come_in_pages(spark, labels, tmp_path):
+    for i in range(5):
+        (tmp_path / f"d{i}.csv").write_text("x,y\n" + "1,2\n" * i)
+        os.utime(tmp_path / f"d{i}.csv", (1_700_000_000 + i // 2, 1_700_000_000 + i // 2))
+    (tmp_path / "d_synth_1.csv").write_text("x\n1\n")
+    pages = [catalog.dataset_page(spark, f"{tmp_path}/*.csv", page, 2).collect() for page in (1, 2, 3, 4)]
+    assert [[(r["name"], r["rows"]) for r in p] for p in pages] == [[("d4", 4), ("d2", 2)], [("d3", 3), ("d0", 0)], [("d1", 1)], []]
+    assert {(r["total"], r["pages"], r["per_page"]) for p in pages for r in p} == {(5, 3, 2)}
+    model = fit.fit_marginal(labels.select("x", "z"))
+    for i in range(3):
+        model.save(f"{tmp_path}/models/m{i}", created_at=f"2024-05-0{3 - i}T10:00:00+00:00")
+    assert [r["model_id"] for r in catalog.model_page(spark, f"{tmp_path}/models", 2, 2).collect()] == ["m2"]
+    with pytest.raises(ValueError, match="start at 1"):
+        catalog.model_page(spark, f"{tmp_path}/models", 0)

@@ -155,3 +155,13 @@ def page_of(df: DataFrame, order: list[Column], start: int, rows: int) -> DataFr
     if start + rows <= PAGE_ROWS:
         return df.orderBy(*order).offset(start).limit(rows)
     return numbered(df, [], order, "__place").where(F.col("__place").between(start + 1, start + rows)).orderBy("__place").drop("__place")
+
+
+def paged(df: DataFrame, order: list[Column], page: int, per_page: int) -> DataFrame:
+    """One page of a listing, with ``page, per_page, total, pages`` on every row."""
+    if page < 1 or per_page < 1:
+        raise ValueError("page and per_page start at 1")
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (page_of(df, order, (page - 1) * per_page, per_page)
+            .withColumns({"page": F.lit(page), "per_page": F.lit(per_page), "total": total})
+            .withColumn("pages", F.ceil(F.col("total") / per_page)))

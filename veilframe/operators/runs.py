@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordered import page_of
+from ..functions.ordered import paged
 from ..functions.values import q
 
 RUN_FIELDS = ["run_id", "status", "verdict", "dataset_name", "config_name", "created_at", "started_at", "finished_at"]
@@ -58,13 +58,7 @@ def filter_runs(runs: DataFrame, status: str | None = None, verdict: str | None
 def run_page(runs: DataFrame, page: int = 1, per_page: int = 20, **filters: str | None) -> DataFrame:
     """One page of the filtered runs, newest first (ties by run_id), with ``page, per_page,
     total, pages`` on every row."""
-    if page < 1 or per_page < 1:
-        raise ValueError("page and per_page start at 1")
-    kept = filter_runs(runs, **filters)
-    total = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (page_of(kept, [F.col("created_at").desc(), F.col("run_id").asc()], (page - 1) * per_page, per_page)
-            .withColumns({"page": F.lit(page), "per_page": F.lit(per_page), "total": total})
-            .withColumn("pages", F.ceil(F.col("total") / per_page)))
+    return paged(filter_runs(runs, **filters), [F.col("created_at").desc(), F.col("run_id").asc()], page, per_page)
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.ordered import paged
+
 _SEPARATOR_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 HIDDEN_MARK = "_synth_"
 
@@ -30,6 +32,11 @@ def dataset_summary(spark: SparkSession, path: str, multi_line: bool = False) ->
             .orderBy(F.col("uploaded_at").desc(), "name"))
 
 
+def dataset_page(spark: SparkSession, path: str, page: int = 1, per_page: int = 20, multi_line: bool = False) -> DataFrame:
+    """One page of ``dataset_summary``, with ``page, per_page, total, pages`` on every row."""
+    return paged(dataset_summary(spark, path, multi_line), [F.col("uploaded_at").desc(), F.col("name").asc()], page, per_page)
+
+
 SIDECAR = (
     "model_id string, run_id string, dataset_name string, generator_type string, created_at string, "
     "file_size_bytes long, privacy_report struct<synthesizer: string, data: struct<sample_size: long>, "
@@ -64,3 +71,8 @@ def model_catalog(spark: SparkSession, folder: str) -> DataFrame:
         report.dp_config.epsilon_initial.alias("epsilon"), report.dp_spent.epochs_completed.alias("epochs_completed"),
         report.dp_spent.spent_epsilon_final.alias("spent_epsilon"), report.data.sample_size.alias("sample_size"),
     ).orderBy(F.col("created_at").desc(), "model_id")
+
+
+def model_page(spark: SparkSession, folder: str, page: int = 1, per_page: int = 20) -> DataFrame:
+    """One page of ``model_catalog``, with ``page, per_page, total, pages`` on every row."""
+    return paged(model_catalog(spark, folder), [F.col("created_at").desc(), F.col("model_id").asc()], page, per_page)
