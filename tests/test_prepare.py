@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import quantiles
 from veilframe.functions.quantiles import _pick
-from veilframe.functions.ordered import carry_forward, dense_codes, running_totals
+from veilframe.functions.ordered import carry_forward, dense_codes, ordered_ranges, running_totals
 from veilframe.functions.values import bin_column, recode_contains, recode_equals, sanitize_nonfinite, split_at
 from veilframe.operators import clean, profile, roles, split
 from veilframe.plans.prepare import PrepareConfig, prepare
@@ -236,3 +236,18 @@ def test_describe_matches_pandas(spark, mixed):
     want = mixed.toPandas()["age"].describe()
     assert got["age"]["p50"] == want["50%"] and got["age"]["std"] == pytest.approx(want["std"])
     assert got["income"]["top"] == "high" and got["income"]["freq"] == 3
+
+
+def test_ranges_of_a_group_are_not_dealt_by_the_group(spark):
+    """Rows of a group must never meet their cuts in one task, whatever the optimizer guesses of the cuts' size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("a", float(i), 1) for i in range(2000)] + [("b", 5.0, 1)], "g string, v double, n long")
+        ranged = ordered_ranges(df, "v", "r", by="g")
+        rows = ranged.collect()
+        plan = ranged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert len(rows) == 2001 and len({r["r"] for r in rows if r["g"] == "a"}) > 200

@@ -18,13 +18,14 @@ def ordered_ranges(df: DataFrame, order: str, out: str, by: str | None = None) -
     """Tag rows with an ascending range number of a numeric column, from a sketch of it.
 
     With ``by`` (a column with few values, such as a column name or a class) every
-    group gets ranges of its own.
+    group gets ranges of its own. The cuts go to the rows: a join that deals rows by a column of few
+    values would bring a whole group into one task.
     """
     points = [i / RANGES for i in range(1, RANGES)]
     sketch = F.percentile_approx(q(order), points, 10_000)
     if by:
         cuts = df.groupBy(q(by).alias("__by")).agg(sketch.alias("__cuts"))
-        placed = df.join(cuts, q(by) == F.col("__by")).withColumn(out, F.lit(0))
+        placed = df.join(F.broadcast(cuts), q(by) == F.col("__by")).withColumn(out, F.lit(0))
         step = RANGES // 2
         while step:  # binary search in the sorted cuts, as plain column expressions
             nth = F.element_at("__cuts", F.col(out) + step)
