@@ -131,3 +131,42 @@ def test_bounds_of_boxes_hold(spark):
         x, y = q_cat[:, None], index.cat[None, a:b]
         gap = gap + ((x != y) * ((x >= 0) * 1.0 + (y >= 0))).sum(2)
         assert (least[:, k] <= gap.min(1) + 1e-9).all() and (most[:, k] >= gap.max(1) - 1e-9).all()
+
+
+@pytest.mark.parametrize("indexed", [1, 10_000])
+def test_leaves_are_compared_whole_or_as_an_index(spark, monkeypatch, indexed):
+    for name, value in [("BROADCAST_VALUES", 10), ("CELL_ROWS", 200), ("LOCAL_CELL_ROWS", 5), ("INDEXED_QUERIES", indexed)]:
+        monkeypatch.setattr(neighbours, name, value)
+    reference, query, ref_df, query_df = frames(spark)
+    got = distances.dcr(query_df, ref_df, ["id"]).toPandas().sort_values("id")
+    d1, d2 = dense(reference, query)
+    np.testing.assert_allclose(got["dcr"], d1, atol=1e-9)
+    np.testing.assert_allclose(got["d2"], d2, atol=1e-9)
+
+
+def test_boxes_are_looked_through_by_runs():
+    """The same boxes as by trying all of them, at a small part of the bounds."""
+    rng = np.random.default_rng(6)
+    num, cat = rng.random((40_000, 2)), rng.integers(0, 4, (40_000, 2))
+    boxes = neighbours.Index(num, cat, np.ones(40_000, np.int64), 40).boxes
+    q_num, q_cat = rng.random((500, 2)), rng.integers(-1, 6, (500, 2))
+    least, most = boxes.bounds(q_num, q_cat)
+    tried = 0
+    bounds = neighbours.Boxes.bounds
+
+    def counted(self, n, c):
+        nonlocal tried
+        tried += len(n) * len(self.total)
+        return bounds(self, n, c)
+
+    neighbours.Boxes.bounds = counted
+    try:
+        best = boxes.fitting(q_num, q_cat)
+        limit = np.full(500, 0.0005)
+        found = {(a, b) for q, box, _ in boxes.below(q_num, q_cat, limit) for a, b in zip(q.tolist(), box.tolist())}
+    finally:
+        neighbours.Boxes.bounds = bounds
+    score = least + 1e-6 * most
+    np.testing.assert_allclose(score[np.arange(500), best], score.min(axis=1))
+    assert found == set(zip(*(x.tolist() for x in np.nonzero(least < limit[:, None]))))
+    assert tried < 0.5 * 2 * least.size

@@ -6,9 +6,12 @@ nothing is missed.
 
 A larger reference becomes a tree of cells, built level by level: a node with too many vectors learns its cuts from a
 sample of its own, and its vectors move on to its children, until every leaf is small. A node's box holds the ranges of
-numbers and, for each text column, a signature of the codes below it. Queries descend the same way: first to the one
-leaf they fit best, which gives an upper bound, then into every branch that could hold something closer. Between levels a
-visit is a query's number and a node; vectors are joined where they are compared.
+numbers and, for each text column, a signature of the codes below it. Queries descend the same way: first to a leaf
+that they fit well, which gives an upper bound, then into every branch that could hold something closer. On the first way
+a query takes its row along, as it comes to one leaf only. On the second a visit is a query's number and a node; vectors
+are joined where they are compared, and only queries with such visits are merged. Cells are numbered so that neighbours in
+space are neighbours in number, and boxes are looked through by boxes around runs of them. A leaf that meets many queries
+becomes an index of small cells first.
 
 Equal vectors are folded with a count on both sides before anything is shuffled, and the queries of a crowded node are cut into
 chunks, so no task receives an unbounded group. Row pairs are never made rows: a task compares a chunk with a leaf in arrays.
@@ -16,6 +19,7 @@ chunks, so no task receives an unbounded group. Row pairs are never made rows: a
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 from collections.abc import Iterator
@@ -24,14 +28,17 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.values import q
 from ..session import materialize
 
 BROADCAST_VALUES = 4_000_000   # numbers and codes of a reference sent to every task, at most (8 bytes each)
 NODE_SAMPLE = 50_000           # vectors a node learns its cuts from, about
-CELL_ROWS = 1_024              # vectors of a leaf, at most
-LOCAL_CELL_ROWS = 256          # … of a cell inside a task
-FAN = 1_024                    # children of a node, at most
+CELL_ROWS = 32_768             # vectors of a leaf, at most
+LOCAL_CELL_ROWS = 128          # … of a cell inside a task
+FAN = 4_096                    # children of a node, at most
+INDEXED_QUERIES = 256          # a leaf that meets fewer queries is compared as a whole
 CHUNK_ROWS = 20_000            # queries of a crowded node that a task takes at once
 
 
@@ -78,27 +85,31 @@ class Cells:
     def __init__(self, num: np.ndarray, cat: np.ndarray, wanted: int) -> None:
         self.numbers = num.shape[1]
         feature, limit, children = [-1], [0.0], [(-1, -1)]
-        leaves = [(len(num), 0, np.arange(len(num)))]
-        done: list[int] = []
-        while leaves and len(leaves) + len(done) < wanted:
-            leaves.sort(key=lambda x: x[0])
-            _, node, rows = leaves.pop()
+        leaves = [(-len(num), 0, np.arange(len(num)))]      # the largest first
+        done = 0
+        while leaves and len(leaves) + done < wanted:
+            _, node, rows = heapq.heappop(leaves)
             cut = self._best_cut(num[rows], cat[rows])
             if cut is None:
-                done.append(node)
+                done += 1
                 continue
             axis, value, left = cut
             feature[node], limit[node] = axis, value
             children[node] = (len(feature), len(feature) + 1)
             for side in (rows[left], rows[~left]):
-                leaves.append((len(side), len(feature), side))
+                heapq.heappush(leaves, (-len(side), len(feature), side))
                 feature.append(-1), limit.append(0.0), children.append((-1, -1))
         self.feature, self.limit = np.array(feature), np.array(limit)
         self.children = np.array(children)
         self.cell_of_node = np.full(len(feature), -1)
-        ends = np.flatnonzero(self.feature < 0)
-        self.cell_of_node[ends] = np.arange(len(ends))
-        self.count = len(ends)
+        self.count, way = 0, [0]
+        while way:      # depth first, so that cells with close numbers lie close together
+            node = way.pop()
+            if self.feature[node] < 0:
+                self.cell_of_node[node] = self.count
+                self.count += 1
+            else:
+                way.extend(self.children[node][::-1])
 
     @staticmethod
     def _best_cut(num: np.ndarray, cat: np.ndarray):
@@ -146,6 +157,80 @@ class Boxes:
 
     def __init__(self, low: np.ndarray, high: np.ndarray, signs: np.ndarray, total: np.ndarray) -> None:
         self.low, self.high, self.signs, self.total = low, high, signs, total
+        self._runs: tuple[np.ndarray, Boxes] | None = None
+
+    def _slice(self, part: slice) -> Boxes:
+        return Boxes(self.low[part], self.high[part], self.signs[part], self.total[part])
+
+    @property
+    def runs(self) -> tuple[np.ndarray, Boxes]:
+        """Starts of runs of boxes, about as many runs as boxes in a run, and the boxes around them."""
+        if self._runs is None:
+            starts = np.arange(0, len(self.total), max(1, math.isqrt(len(self.total))))
+            self._runs = starts, Boxes(np.minimum.reduceat(self.low, starts), np.maximum.reduceat(self.high, starts),
+                                       np.bitwise_or.reduceat(self.signs, starts), np.add.reduceat(self.total, starts))
+        return self._runs
+
+    def _run(self, k: int) -> slice:
+        starts = self.runs[0]
+        return slice(starts[k], starts[k + 1] if k + 1 < len(starts) else len(self.total))
+
+    def tiles(self, rows: int) -> Iterator[slice]:
+        """Pieces of queries whose bounds to all runs, or to all boxes of a run, are held at once."""
+        step = max(1, 2_000_000 // max(1, len(self.runs[0])))
+        for start in range(0, rows, step):
+            yield slice(start, min(start + step, rows))
+
+    def fitting(self, num: np.ndarray, cat: np.ndarray) -> np.ndarray:
+        """The box that each query fits best: in its best run, or in another one that could hold a better box."""
+        out = np.zeros(len(num), dtype=np.int64)
+        for tile in self.tiles(len(num)):
+            bound, most = self.runs[1].bounds(num[tile], cat[tile])
+            score = np.full(len(bound), np.inf)
+
+            def look(k: int, rows: np.ndarray) -> None:
+                part, at = self._run(k), rows + tile.start
+                least, most = self._slice(part).bounds(num[at], cat[at])
+                fit = least + 1e-6 * most
+                box = fit.argmin(axis=1)
+                fit = fit[np.arange(len(rows)), box]
+                better = fit < score[rows]
+                out[at[better]], score[rows[better]] = part.start + box[better], fit[better]
+
+            first = (bound + 1e-6 * most).argmin(axis=1)
+            for k, rows in _groups(first):
+                look(k, rows)
+            bound[np.arange(len(bound)), first] = np.inf
+            for k in range(bound.shape[1]):
+                rows = np.flatnonzero(bound[:, k] < score)
+                if len(rows):
+                    look(k, rows)
+        return out
+
+    def below(self, num: np.ndarray, cat: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(query, box, bound)`` of all boxes whose smallest distance is less than the query's limit, in pieces of bounded
+        size; a query is in one piece only."""
+        longest = math.isqrt(len(self.total))
+        for tile in self.tiles(len(num)):
+            close = self.runs[1].bounds(num[tile], cat[tile])[0] < limit[tile, None]
+            piece = np.cumsum(close.sum(axis=1)) * longest // 4_000_000
+            for _, at in _groups(piece):
+                queries, boxes, bounds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+                for k in np.flatnonzero(close[at].any(axis=0)):
+                    part, rows = self._run(k), at[close[at, k]] + tile.start
+                    least = self._slice(part).bounds(num[rows], cat[rows])[0]
+                    query, box = np.nonzero(least < limit[rows, None])
+                    queries.append(rows[query]), boxes.append(part.start + box), bounds.append(least[query, box])
+                yield np.concatenate(queries), np.concatenate(boxes), np.concatenate(bounds)
+
+    def limits(self, num: np.ndarray, cat: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """``second``, and for queries that have no second vector yet a distance within which there surely are two."""
+        out, around = second.copy(), self.runs[1]
+        alone = np.flatnonzero(np.isinf(second))
+        for tile in self.tiles(len(alone)):
+            most = around.bounds(num[alone[tile]], cat[alone[tile]])[1]
+            out[alone[tile]] = np.where(around.total[None, :] > 1, most, np.inf).min(axis=1) * (1 + 1e-9)
+        return out
 
     @classmethod
     def bit(cls, codes: np.ndarray) -> np.ndarray:
@@ -194,27 +279,17 @@ class Index:
         first, second = np.full(len(num), np.inf), np.full(len(num), np.inf)
         if not len(self.num):
             return first, second
-        step = max(1, 2_000_000 // len(self.starts))
-        for start in range(0, len(num), step):
-            part = slice(start, start + step)
-            first[part], second[part] = self._tile(num[part], cat[part])
-        return first, second
-
-    def _tile(self, num: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        least, most = self.boxes.bounds(num, cat)
-        home = (least + 1e-6 * most).argmin(axis=1)
-        first, second = np.full(len(num), np.inf), np.full(len(num), np.inf)
+        home = self.boxes.fitting(num, cat)
         for cell, rows in _groups(home):
             first[rows], second[rows] = self._compare(cell, num[rows], cat[rows])
-        least[np.arange(len(num)), home] = np.inf
-        query, cell = np.nonzero(least < second[:, None])
-        for one, at in _groups(cell):
-            rows = query[at]
-            rows = rows[least[rows, one] < second[rows]]    # the bound has shrunk meanwhile
-            if len(rows):
-                s1, s2 = self._compare(one, num[rows], cat[rows])
-                second[rows] = np.minimum(np.minimum(second[rows], s2), np.maximum(first[rows], s1))
-                first[rows] = np.minimum(first[rows], s1)
+        for query, cell, least in self.boxes.below(num, cat, self.boxes.limits(num, cat, second)):
+            for one, at in _groups(cell):
+                at = at[(least[at] < second[query[at]]) & (home[query[at]] != one)]    # the bound has shrunk meanwhile
+                rows = query[at]
+                if len(rows):
+                    s1, s2 = self._compare(one, num[rows], cat[rows])
+                    second[rows] = np.minimum(np.minimum(second[rows], s2), np.maximum(first[rows], s1))
+                    first[rows] = np.minimum(first[rows], s1)
         return first, second
 
 
@@ -248,8 +323,7 @@ def nearest_two(queries: DataFrame, reference: DataFrame, broadcast_values: int
     if rows * (numbers + cats + 1) <= (BROADCAST_VALUES if broadcast_values is None else broadcast_values):
         return _against_small(materialize(queries, "queries"), ref, numbers, cats)
     asked = materialize(queries.withColumn("qid", F.monotonically_increasing_id()), "queries")
-    near = _Tree(ref, numbers, cats).search(asked.select("num", "cat", "qid"))
-    return asked.join(near, "qid").drop("qid")
+    return _Tree(ref, numbers, cats).search(asked).drop("qid")
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -290,6 +364,7 @@ class _Shape(NamedTuple):
 
     def children(self, table) -> tuple[np.ndarray, np.ndarray, Boxes]:
         n = table.num_rows
+        table = table.sort_by("child")      # runs of boxes want neighbours next to each other
         return table["child"].to_numpy(), table["leaf"].to_numpy(zero_copy_only=False), Boxes(
             _matrix(table["lo"], n, float).reshape(n, self.numbers), _matrix(table["hi"], n, float).reshape(n, self.numbers),
             _matrix(table["signs"], n, np.int64).reshape(n, self.cats), table["total"].to_numpy())
@@ -365,21 +440,15 @@ class _Tree:
                 arrays(F.bit_or, lambda j: F.col("signs")[j], cats, "long").alias("signs"), F.sum("total").alias("total"), F.lit(False).alias("leaf"))
         return levels
 
-    def _descend(self, asked: DataFrame, choose) -> DataFrame:
-        """``(qid, node)`` of the leaves that queries come to. ``choose`` says which children of a node a query goes on to."""
-        vectors, load = self.shape.vectors, self.shape.children
+    def _descend(self, asked: DataFrame, carried: DataFrame, choose) -> DataFrame:
+        """The leaves that queries come to: the columns of ``carried`` and ``node``. ``choose`` says which children of a node
+        a query goes on to. Columns of ``asked`` that are not carried are joined again at every level."""
+        vectors, load, names = self.shape.vectors, self.shape.children, carried.columns
 
         def go(b, children: np.ndarray, leaf: np.ndarray, boxes: Boxes) -> pa.Table:
-            num, cat = vectors(b)
-            queries, nodes, leaves = [], [], []
-            step = max(1, 2_000_000 // len(children))
-            for s in range(0, len(num), step):
-                part = b.slice(s, step)
-                row, col = choose(part, children, *boxes.bounds(num[s:s + step], cat[s:s + step]), boxes.total)
-                queries.append(part["qid"].to_numpy()[row])
-                nodes.append(children[col])
-                leaves.append(leaf[col])
-            return pa.table({"qid": pa.array(np.concatenate(queries)), "node": pa.array(np.concatenate(nodes)), "leaf": pa.array(np.concatenate(leaves))})
+            row, col = choose(b, children, boxes, *vectors(b))
+            out = pa.table([b[c] for c in names], names=names).take(pa.array(row))
+            return out.append_column("node", pa.array(children[col])).append_column("leaf", pa.array(leaf[col]))
 
         top = asked.sparkSession.sparkContext.broadcast(load(self.children[0].toArrow()))   # at most `fan` rows
 
@@ -388,47 +457,55 @@ class _Tree:
                 if b.num_rows:
                     yield from go(b, *top.value).to_batches()
 
-        kind = "qid long, node long, leaf boolean"
+        kind = _schema(carried, "node long", "leaf boolean")
+        empty = pa.schema([*to_arrow_schema(carried.schema), ("node", pa.int64()), ("leaf", pa.bool_())]).empty_table()
         came = materialize(_spread(asked).mapInArrow(start, kind), "visits")
         found = [came.where("leaf")]
         for children in self.children[1:]:
-            frontier = came.where("NOT leaf").select("qid", "node").join(asked, "qid")
-            came = materialize(_meet(frontier, children, "node", lambda q, c: go(q, *load(c)) if q.num_rows and c.num_rows else _NO_VISIT, kind,
+            frontier = came.where("NOT leaf").drop("leaf")
+            if set(asked.columns) - set(names):
+                frontier = frontier.join(asked, names)
+            came = materialize(_meet(frontier, children, "node", lambda q, c: go(q, *load(c)) if q.num_rows and c.num_rows else empty, kind,
                                      F.xxhash64("qid")), "visits")
             found.append(came.where("leaf"))
         out = found[0]
         for part in found[1:]:
             out = out.unionByName(part)
-        return out.select("qid", "node")
+        return out.drop("leaf")
 
-    def _compare(self, visits: DataFrame, asked: DataFrame) -> DataFrame:
+    def _compare(self, visits: DataFrame, out: list[str]) -> DataFrame:
+        """Columns ``out`` of the visits, and the squared distances ``s1`` and ``s2`` to the two nearest vectors of the leaf."""
         vectors = self.shape.vectors
 
         def compare(q: pa.Table, r: pa.Table) -> pa.Table:
-            s1, s2 = two_nearest(*vectors(q), *vectors(r), r["copies"].to_numpy() if r.num_rows else np.empty(0))
-            return pa.table({"qid": q["qid"], "s1": pa.array(s1), "s2": pa.array(s2)})
+            copies = r["copies"].to_numpy() if r.num_rows else np.empty(0)
+            near = two_nearest(*vectors(q), *vectors(r), copies) if q.num_rows < INDEXED_QUERIES \
+                else Index(*vectors(r), copies, LOCAL_CELL_ROWS).two_nearest(*vectors(q))
+            return pa.table([*[q[c] for c in out], pa.array(near[0]), pa.array(near[1])], names=[*out, "s1", "s2"])
 
-        return _meet(visits.join(asked.select("qid", "num", "cat"), "qid"), self.leaves, "node", compare, "qid long, s1 double, s2 double", F.xxhash64("qid"))
+        return _meet(visits, self.leaves, "node", compare, _schema(visits.select(*out), "s1 double", "s2 double"), F.xxhash64("qid"))
 
     def search(self, asked: DataFrame) -> DataFrame:
-        """``(qid, d1, d2)`` of numbered query vectors."""
-
-        def best(part, children, least, most, total):
-            return np.arange(len(least)), (least + 1e-6 * most).argmin(axis=1)
-
-        def under_bound(part, children, least, most, total):
-            sure = np.where(total[None, :] > 1, most, np.inf).min(axis=1)
-            limit = np.minimum(part["s2"].to_numpy(), sure * (1 + 1e-9))
-            return np.nonzero((least < limit[:, None]) & (children[None, :] != part["home"].to_numpy()[:, None]))
+        """``asked`` (numbered by ``qid``) with ``d1`` and ``d2``."""
 
-        home = materialize(self._descend(asked, best), "home")
-        first = materialize(self._compare(home, asked), "first")
-        bounded = materialize(asked.join(first, "qid").join(home.withColumnRenamed("node", "home"), "qid"), "bounded")
-        more = self._compare(self._descend(bounded, under_bound), asked)
-        return _merge(first.unionByName(more))
+        def fitting(part, children, boxes, num, cat):
+            return np.arange(len(num)), boxes.fitting(num, cat)
 
+        def under_bound(part, children, boxes, num, cat):
+            found = [p[:2] for p in boxes.below(num, cat, boxes.limits(num, cat, part["s2"].to_numpy()))]
+            row, col = (np.concatenate(x) for x in zip(*found))
+            other = children[col] != part["home"].to_numpy()[row]
+            return row[other], col[other]
 
-_NO_VISIT = pa.table({"qid": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "leaf": pa.array([], pa.bool_())})
+        home = self._descend(asked, asked, fitting)
+        first = materialize(self._compare(home, home.columns), "first").withColumnRenamed("node", "home")
+        bounded = first.select("num", "cat", "qid", "s2", "home")
+        visits = materialize(self._descend(bounded, bounded.select("qid"), under_bound), "visits")
+        more = _smallest(self._compare(visits.join(asked.select("qid", "num", "cat"), "qid"), ["qid"]))
+        d1 = F.least("s1", "m1")        # `least` passes over what is null
+        d2 = F.least("s2", "m2", F.when(F.col("m1").isNotNull(), F.greatest("s1", "m1")))
+        return first.join(materialize(more, "more"), "qid", "left").select(
+            *[q(c) for c in asked.columns], F.sqrt(d1).alias("d1"), F.sqrt(d2).alias("d2"))
 
 
 def _meet(left: DataFrame, right: DataFrame, key: str, fn, schema: str, spread) -> DataFrame:
@@ -448,10 +525,9 @@ def _meet(left: DataFrame, right: DataFrame, key: str, fn, schema: str, spread)
     return a.repartition(parts, *keys).groupBy(*keys).cogroup(b.repartition(parts, *keys).groupBy(*keys)).applyInArrow(run, schema)
 
 
-def _merge(partial: DataFrame) -> DataFrame:
-    """Two smallest of the partial pairs of each query; only its two best parts matter."""
+def _smallest(partial: DataFrame) -> DataFrame:
+    """``(qid, m1, m2)``: the two smallest of the partial pairs of each query; only its two best parts matter."""
     order = Window.partitionBy("qid").orderBy("s1", "s2")
     top = partial.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
     runner_up = F.min(F.when(F.col("rn") == 2, F.col("s1")))
-    return top.groupBy("qid").agg(F.sqrt(F.min("s1")).alias("d1"),
-                                  F.sqrt(F.least(F.min("s2"), runner_up)).alias("d2"))
+    return top.groupBy("qid").agg(F.min("s1").alias("m1"), F.least(F.min("s2"), runner_up).alias("m2"))
