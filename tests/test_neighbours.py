@@ -170,3 +170,20 @@ def test_boxes_are_looked_through_by_runs():
     np.testing.assert_allclose(score[np.arange(500), best], score.min(axis=1))
     assert found == set(zip(*(x.tolist() for x in np.nonzero(least < limit[:, None]))))
     assert tried < 0.5 * 2 * least.size
+
+
+def test_rows_find_their_vector_whatever_the_sign_of_zero(spark):
+    ref = spark.createDataFrame([(0.0, "a"), (10.0, "b")], "v double, c string")
+    qry = spark.createDataFrame([(1, -0.0, "a"), (2, 0.0, "a"), (3, 0.0, None)], "id int, v double, c string")
+    got = {r["id"]: r["dcr"] for r in distances.dcr(qry, ref, ["id"]).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 1.0}
+
+
+def test_small_batches_are_compared_together():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k * 10, k * 10 + 10))], names=["x"]) for k in range(5)]
+    tables = list(neighbours._together(iter(batches), 25))
+    assert [t.num_rows for t in tables] == [30, 20]
+    assert [x for t in tables for x in t["x"].to_pylist()] == list(range(50))
+    assert list(neighbours._together(iter([]), 25)) == []

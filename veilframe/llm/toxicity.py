@@ -205,6 +205,9 @@ class Reader:
 
     def of_token(self, token: str) -> tuple:
         """Of each word: its readings and their beginnings."""
+        return self._entries(token)
+
+    def _entries(self, token: str) -> tuple:
         out = []
         for readings in self.words(token):
             held = set()

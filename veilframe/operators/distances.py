@@ -28,7 +28,11 @@ def dcr(query: DataFrame, reference: DataFrame, keep: Sequence[str] = (), fit_on
     encoder = fit_encoder((fit_on or reference).select(*used))
     rows = materialize(encode(query, encoder, keep), "rows")
     near = nearest_two(fold(rows).select("num", "cat"), fold(encode(reference, encoder)), broadcast_values)
-    return rows.join(near, ["num", "cat"]).select(*keep, F.col("d1").alias("dcr"), "d2")
+    near = near.select(F.col("num").alias("__num"), F.col("cat").alias("__cat"), F.col("d1").alias("dcr"), "d2")
+    # sorting by a number first spares comparing arrays; + 0.0 makes of -0.0 the 0.0 that grouping makes of it
+    place = lambda num, cat: F.xxhash64(F.transform(num, lambda x: x + F.lit(0.0)), cat)
+    same = (place("num", "cat") == place("__num", "__cat")) & (F.col("num") == F.col("__num")) & (F.col("cat") == F.col("__cat"))
+    return rows.join(near, same).select(*keep, "dcr", "d2")
 
 
 def shared_encoder(train: DataFrame, holdout: DataFrame, synth: DataFrame, columns: Sequence[str] | None = None) -> Encoder:

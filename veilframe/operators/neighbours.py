@@ -38,6 +38,7 @@ NODE_SAMPLE = 50_000           # vectors a node learns its cuts from, about
 CELL_ROWS = 32_768             # vectors of a leaf, at most
 LOCAL_CELL_ROWS = 128          # … of a cell inside a task
 FAN = 4_096                    # children of a node, at most
+QUERY_ROWS = 1 << 17           # queries that look into an index of a small reference at once, about
 INDEXED_QUERIES = 256          # a leaf that meets fewer queries is compared as a whole
 CHUNK_ROWS = 20_000            # queries of a crowded node that a task takes at once
 
@@ -177,7 +178,7 @@ class Boxes:
 
     def tiles(self, rows: int) -> Iterator[slice]:
         """Pieces of queries whose bounds to all runs, or to all boxes of a run, are held at once."""
-        step = max(1, 2_000_000 // max(1, len(self.runs[0])))
+        step = max(1, 4_000_000 // max(1, len(self.runs[0])))
         for start in range(0, rows, step):
             yield slice(start, min(start + step, rows))
 
@@ -336,6 +337,19 @@ def _schema(df: DataFrame, *extra: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + list(extra))
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together until they have ``rows`` rows, so that a cell meets several queries at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _against_small(queries: DataFrame, ref: DataFrame, numbers: int, cats: int) -> DataFrame:
     table = ref.toArrow()  # size checked by the caller
     n = table.num_rows
@@ -344,11 +358,10 @@ def _against_small(queries: DataFrame, ref: DataFrame, numbers: int, cats: int)
         table["copies"].to_numpy(), LOCAL_CELL_ROWS))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _together(batches, QUERY_ROWS):
             k = b.num_rows
             d1, d2 = shared.value.two_nearest(_matrix(b["num"], k, float).reshape(k, numbers), _matrix(b["cat"], k, np.int64).reshape(k, cats))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.sqrt(d1)), pa.array(np.sqrt(d2))],
-                                             names=[*b.schema.names, "d1", "d2"])
+            yield from b.append_column("d1", pa.array(np.sqrt(d1))).append_column("d2", pa.array(np.sqrt(d2))).to_batches()
 
     return _spread(queries).mapInArrow(compare, _schema(queries, "d1 double", "d2 double"))
 

@@ -9,7 +9,7 @@ from ..operators.verdict import Thresholds
 from ..operators.roles import ColumnRoles
 from ..plans import pipeline, reports
 from ..plans.prepare import PrepareConfig, prepare
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import catalog
 from ..synth import fit_copula, fit_marginal, fit_private_tree, fit_tree, load_model
 from ..synth.ledger import budget_ledger, default_delta_frame, estimate_max_steps
@@ -165,14 +165,16 @@ def privacy_report(t: Tables) -> DataFrame:
     done = prepared_orders(t)
     train = done.roles.restrict(done.train)
     model = fit_private_tree(train, done.roles, epsilon=3.0, bounds={"o_totalprice": (0.0, 600000.0)}, seed=1)
-    return reports.privacy_report(train, done.roles.restrict(done.holdout), model.sample(), PRIVACY, model.report_frame())
+    synth = materialize(model.sample(), "synth")    # read for every part of the report
+    return reports.privacy_report(train, done.roles.restrict(done.holdout), synth, PRIVACY, model.report_frame())
 
 
 @query("utility_report")
 def utility_report(t: Tables) -> DataFrame:
     done = prepared_orders(t)
     train = done.roles.restrict(done.train)
-    return reports.utility_report(train, fit_tree(train, done.roles).sample(), done.roles.restrict(done.holdout), UTILITY)
+    synth = materialize(fit_tree(train, done.roles).sample(), "synth")      # read for every part of the report
+    return reports.utility_report(train, synth, done.roles.restrict(done.holdout), UTILITY)
 
 
 @query("final_report")
