@@ -9,11 +9,12 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
 
-from veilframe.llm import mixing
+from veilframe.llm import mixing, tokenizers_fast
 from veilframe.llm.components import connected_components
 from veilframe.llm.exact_dedup import _misra_gries, drop_exact_duplicates, exact_duplicates
 from veilframe.llm.minhash import MinMax, bands_for, drop_near_duplicates, link_forest, near_duplicates, shingle_set
@@ -290,6 +291,30 @@ def test_ids_are_the_librarys(path):
         assert own.of_text(text) == struct.pack(f"<{len(want)}I", *want), repr(text)
 
 
+@pytest.mark.parametrize("stretch", [300, 8 << 20])
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_a_column_are_the_librarys(path, stretch, monkeypatch):
+    monkeypatch.setattr(tokenizers_fast, "STRETCH", stretch)
+    library, own = Tokenizer.from_file(path), IdWriter(plan(path))
+    draw = np.random.default_rng(10)
+    alphabet = list("aB1!' _éßΣ²\n\t  .,\0")
+    texts = [None, *TEXTS, "a\0b c", "x\n\n", "two  spaces", "İstanbul"] + ["".join(draw.choice(alphabet, draw.integers(0, 25))) for _ in range(1500)]
+    ids, counts = own.of_column(pa.array(texts))
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert [len(x) for x in own.of_column(pa.array([], pa.string()))] == [0, 0]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_unseen_words_are_merged_without_the_librarys_model(path):
+    library, own = Tokenizer.from_file(path), IdWriter(plan(path))
+    own.model = None
+    draw = np.random.default_rng(11)
+    texts = [" ".join("".join(draw.choice(list("aeinrstñé"), draw.integers(1, 16))) for _ in range(40)) for _ in range(50)]
+    ids, _ = own.of_column(pa.array(texts))
+    assert ids.tolist() == [x for text in texts for x in library.encode(text, add_special_tokens=False).ids]
+
+
 def test_whole_tokens_are_proven():
     library, settled = Tokenizer.from_file(BYTE), plan(BYTE)
     assert " the" in settled.whole and len(settled.whole) > 40_000 and len(BYTE_CHARS) == 256

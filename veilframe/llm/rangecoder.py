@@ -10,6 +10,10 @@ lanes share the models, which learn after every step:
 Their opinions on the predicted ids are mixed in the logistic domain with learnt weights; the outcome (the order-2 id, the
 order-1 id, another one) is coded with the mixed probabilities, and another id with its order-0 probability. All arithmetic
 is on integers, so every machine decodes what any other has written.
+
+The range coder is the asymmetric one: a lane's state takes in an interval by one division and gives it back by one
+multiplication, and sheds at most one word for it. Writing goes through the intervals backwards, so the models run ahead of
+it; the words of all lanes make one stream, in the order in which reading asks for them.
 """
 
 from __future__ import annotations
@@ -22,19 +26,20 @@ import numpy as np
 
 LANES = 4096
 BLOCK_IDS = 1 << 20
-MAGIC = b"VFB1"
+MAGIC = b"VFB2"
 HEADER = struct.Struct("<4sIIIIII")     # magic, ids, lanes, vocabulary, bytes of the document table, crc32 of the ids, crc32 of the rest
 
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
-_SCALE = np.uint64(16)                  # bits of a coded probability
-_REFRESH = 8                            # steps between tables of probabilities
+_LOW = np.uint64(1 << 31)               # states stay between this and 2**63
+_32 = np.uint64(32)
+_SCALE = 16                             # bits of a coded probability
+_GUIDE = 15                             # bits of a place in order 0 that are looked up at once
+_REFRESH = 2                            # tables of probabilities are made anew after half as many steps more
 _LEVELS, _SIZES = 8, 24                 # confidences of an order; magnitudes of a count
-# confidence after a miss (halved) and after a hit (one more)
-_NEXT = np.array([*(x >> 1 for x in range(_LEVELS)), *(min(x + 1, _LEVELS - 1) for x in range(_LEVELS))], np.int8)
 _GAIN = np.int32(24)                              # what an occurrence adds to an id's count
 _TABLE = 1 << 17                        # slots of the order-2 table
-_NONE = np.int32(-1)
+_BITS = 3                               # of a confidence, below the id in a table's entry
+_NONE = np.int32(-1 << _BITS)
+_SURE = np.int32(_LEVELS - 1)
 
 # stretch(p) = ln(p / (1 - p)) in 1/256, for p in 1/4096; squash is its inverse
 _STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
@@ -48,21 +53,41 @@ class _Models:
     probabilities are looked up in tables, which are made anew at every refresh.
     """
 
-    def __init__(self, lanes: int, vocabulary: int) -> None:
+    def __init__(self, lanes: int, vocabulary: int, n: int) -> None:
         self.counts = np.ones(vocabulary, np.int32)     # their sum stays far below 2**31
-        self.sizes = np.ones(vocabulary + 1, np.int8)   # magnitudes of the counts, as of the last refresh
-        self.limits = np.arange(vocabulary + 1, dtype=np.int64)
-        self.steps = 0
+        self.scale = max(_GUIDE, (vocabulary + int(_GAIN) * n).bit_length())     # bits of an order-0 share: every id gets one
+        self.sizes = np.ones(vocabulary + 1, np.int32)  # magnitudes of the counts, as of the last refresh
+        self.steps, self.due, self.new = 0, 1, []
         self.last = [np.full(lanes, vocabulary, np.int64), np.full(lanes, vocabulary, np.int64)]
-        self.ids = [np.full(vocabulary + 1, _NONE), np.full(_TABLE, _NONE)]     # order 1, order 2
-        self.sure = [np.zeros(vocabulary + 1, np.int8), np.zeros(_TABLE, np.int8)]
+        self.held = [np.full(vocabulary + 1, _NONE), np.full(_TABLE, _NONE)]     # order 1, order 2: id and confidence
         self.hits = np.full((2, _LEVELS), 1024, np.int64)      # of 4096, by order and confidence
         self.weights = np.array([[40000, 20000, 6000], [0, 50000, 6000]], np.int64)  # of 65536, for order 2 and order 1
+        self._share()
         self._mix()
 
+    def _share(self) -> None:
+        """The ids' shares of 2**scale by order 0."""
+        ends = np.cumsum(self.counts, dtype=np.int64)
+        self.total = int(ends[-1])
+        self.limits = np.zeros(len(ends) + 1, np.int64)
+        self.limits[1:] = (ends << self.scale) // self.total
+        self.guide = None
+
+    def at(self, target: np.ndarray) -> np.ndarray:
+        """The ids whose shares hold these places."""
+        shift = self.scale - _GUIDE
+        if self.guide is None:      # of each cell, the id whose share holds its beginning
+            begins = (self.limits[:-1] + ((1 << shift) - 1)) >> shift
+            self.guide = np.cumsum(np.bincount(begins, minlength=1 << _GUIDE))[:1 << _GUIDE] - 1
+        found = self.guide[target >> shift]
+        other = np.flatnonzero(self.limits[found + 1] <= target)
+        if len(other):
+            found[other] = np.searchsorted(self.limits, target[other], "right") - 1
+        return found
+
     def _mix(self) -> None:
         """Mixed probabilities (of 4096) of the order-2 id and of the order-1 id, by what the orders say of them."""
-        total = int(self.limits[-1]).bit_length()
+        total = self.total.bit_length()
         t1, t2 = _STRETCH[self.hits[0]], _STRETCH[self.hits[1]]
         t0 = _STRETCH[np.minimum(4095, (1 << np.arange(_SIZES + 1)) * 4096 >> total)][:_SIZES]
         # by confidence of order 2, whether order 1 agrees and how surely, size of the count
@@ -75,36 +100,41 @@ class _Models:
         """Order-2 id, order-1 id, and their shares of 2**16."""
         one, two = self.last
         self.slots = (one, ((two * 40503 + one * 2654435761) >> 7) & (_TABLE - 1))
-        first, second = self.ids[0][one], self.ids[1][self.slots[1]]
-        level1, level2 = self.sure[0][one], self.sure[1][self.slots[1]]
+        held = self.held[0].take(one), self.held[1].take(self.slots[1])
+        first, second = held[0] >> _BITS, held[1] >> _BITS
+        level1, level2 = held[0] & _SURE, held[1] & _SURE
         same = first == second
-        self.guess, self.levels = (first, second), (level1, level2)
-        agree = (level1 + np.int8(1)) * same
+        self.entries, self.guess, self.levels = held, (first, second), (level1, level2)
         # an id of -1 (none yet) finds the last size, which no id has
-        self.spots = ((level2 * np.int16(_LEVELS + 1) + agree) * np.int16(_SIZES) + self.sizes[second], level1 * np.int16(_SIZES) + self.sizes[first])
-        part2 = self.mixed[0][self.spots[0]] << 4
-        part2[second < 0] = 1
-        part1 = (65300 - part2) * self.mixed[1][self.spots[1]] >> 12
-        part1[same | (first < 0)] = 1
+        size1, size2 = self.sizes.take(first, mode="wrap"), self.sizes.take(second, mode="wrap")
+        self.spots = ((level2 * np.int32(_LEVELS + 1) + (level1 + np.int32(1)) * same) * np.int32(_SIZES) + size2, level1 * np.int32(_SIZES) + size1)
+        part2 = self.mixed[0].take(self.spots[0], mode="wrap") << 4
+        np.putmask(part2, second < 0, 1)
+        part1 = (65300 - part2) * self.mixed[1].take(self.spots[1], mode="wrap") >> 12
+        np.putmask(part1, same | (first < 0), 1)
         np.maximum(part1, 1, out=part1)
         return second, first, part2, part1
 
     def learn(self, ids: np.ndarray, active: int) -> None:
         """``ids`` of the lanes; only the first ``active`` lanes have one."""
         now = ids[:active].astype(np.int32)
+        fresh = now << _BITS
         self.steps += 1
-        refresh = self.steps % _REFRESH == 0
+        refresh = self.steps == self.due
         for k in (0, 1):
-            guess, level, slot = self.guess[k][:active], self.levels[k][:active], self.slots[k][:active]
+            entry, guess, level, slot = (x[k][:active] for x in (self.entries, self.guess, self.levels, self.slots))
             hit = guess == now
             if refresh:
                 self._adapt(k, hit, guess >= 0, level, self.spots[1 - k][:active])
-            self.ids[k][slot] = np.where(hit | (level > 0), guess, now)
-            self.sure[k][slot] = _NEXT[level + np.int8(_LEVELS) * hit]
-        np.add.at(self.counts, ids[:active], _GAIN)
+            # one surer after a hit; after a miss half as sure, or another id if it was not at all
+            self.held[k][slot] = np.where(hit, entry + (level < _SURE), np.where(level > 0, entry - ((level + 1) >> 1), fresh))
+        self.new.append(now)
         if refresh:
-            np.cumsum(self.counts, out=self.limits[1:])
-            np.minimum(np.frexp(self.counts.astype(np.float32))[1], _SIZES - 1, out=self.sizes[:-1], casting="unsafe")
+            self.counts += _GAIN * np.bincount(np.concatenate(self.new), minlength=len(self.counts)).astype(np.int32)
+            self.new, self.due = [], self.steps + 1 + self.steps // _REFRESH
+            self._share()
+            # the exponent of a float is the magnitude
+            np.minimum((self.counts.astype(np.float32).view(np.int32) >> 23) - 126, _SIZES - 1, out=self.sizes[:-1])
             self._mix()
         self.last = [ids, self.last[0]]
 
@@ -120,90 +150,39 @@ class _Models:
             self.weights[1 - k] = np.clip(self.weights[1 - k] + step, -262144, 262144)
 
 
-def _interval(models: _Models, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of order 0, as its table stood at the last refresh."""
-    start = models.limits[ids]
-    return start, models.limits[ids + 1] - start
-
-
 def _lanes(n: int) -> tuple[int, int]:
     lanes = min(LANES, max(1, n // 64))
     return lanes, -(-n // lanes)
 
 
-def _renormalise(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lanes that have 16 bits to shift; the size of an interval that straddles is cut."""
-    settled = (low ^ (low + size)) < _TOP
-    small = ~settled & (size < _BOTTOM)
-    if small.any():
-        size[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
-    return np.flatnonzero(settled | small)
-
-
-class _Writer:
-    def __init__(self, lanes: int, steps: int) -> None:
-        self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.words, self.at = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def code(self, lanes: np.ndarray | slice, start: np.ndarray, part: np.ndarray, total: int = 0) -> None:
-        """An interval of each lane: of ``total``, by default of the scale of probabilities."""
-        low, size = self.low[lanes], self.size[lanes]
-        unit = size // np.uint64(total) if total else size >> _SCALE
-        low = low + unit * start.astype(np.uint64)
-        size = unit * part.astype(np.uint64)
-        lane = np.arange(len(self.low))[lanes]
-        go = _renormalise(low, size)
-        while len(go):
-            rows = lane[go]
-            self.words[rows, self.at[rows]] = (low[go] >> _48).astype(np.uint16)
-            self.at[rows] += 1
-            low[go] <<= _16
-            size[go] <<= _16
-            go = _renormalise(low, size)
-        self.low[lanes], self.size[lanes] = low, size
-
-    def finish(self) -> tuple[np.ndarray, bytes]:
-        lane = np.arange(len(self.low))
-        for _ in range(4):
-            self.words[lane, self.at] = (self.low >> _48).astype(np.uint16)
-            self.at += 1
-            self.low <<= _16
-        held = np.arange(self.words.shape[1])[None, :] < self.at[:, None]
-        return self.at, self.words[held].astype("<u2").tobytes()
+def _take_in(states: np.ndarray, start: np.ndarray, part: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """New states after an interval ``part`` of 2**scale, and the words that some of the lanes shed for it."""
+    part = part.astype(np.uint64)
+    full = states >= part << np.uint64(63 - scale)
+    words = states[full].astype(np.uint32)
+    states = np.where(full, states >> _32, states)
+    times = states // part
+    return (times << np.uint64(scale)) + (states - times * part) + start.astype(np.uint64), words
 
 
 class _Reader:
-    def __init__(self, lengths: np.ndarray, words: np.ndarray) -> None:
-        lanes = len(lengths)
-        self.low, self.size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.words = np.concatenate((words.astype(np.uint64), np.zeros(8, np.uint64)))
-        self.at = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-        self.value = np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            self.value = (self.value << _16) | self.words[self.at]
-            self.at += 1
-
-    def target(self, lanes: np.ndarray | slice, total: int = 0) -> np.ndarray:
-        self.unit = self.size[lanes] // np.uint64(total) if total else self.size[lanes] >> _SCALE
-        return np.minimum(((self.value[lanes] - self.low[lanes]) // self.unit).astype(np.int64), (total or 65536) - 1)
-
-    def consume(self, lanes, start: np.ndarray, part: np.ndarray) -> None:
-        low = self.low[lanes] + self.unit * start.astype(np.uint64)
-        size = self.unit * part.astype(np.uint64)
-        lane = np.arange(len(self.low))[lanes]
-        go = _renormalise(low, size)
-        while len(go):
-            rows = lane[go]
-            self.value[rows] = (self.value[rows] << _16) | self.words[self.at[rows]]
-            self.at[rows] += 1
-            low[go] <<= _16
-            size[go] <<= _16
-            go = _renormalise(low, size)
-        self.low[lanes], self.size[lanes] = low, size
+    def __init__(self, states: np.ndarray, words: np.ndarray) -> None:
+        self.states, self.words, self.at = states.astype(np.uint64), words.astype(np.uint64), 0
+
+    def target(self, lanes: np.ndarray | slice, scale: int) -> np.ndarray:
+        return (self.states[lanes] & np.uint64((1 << scale) - 1)).astype(np.int64)
+
+    def consume(self, lanes: np.ndarray | slice, target: np.ndarray, start: np.ndarray, part: np.ndarray, scale: int) -> None:
+        states = part.astype(np.uint64) * (self.states[lanes] >> np.uint64(scale)) + (target - start).astype(np.uint64)
+        empty = np.flatnonzero(states < _LOW)
+        if len(empty):
+            states[empty] = states[empty] << _32 | self.words[self.at:self.at + len(empty)]
+            self.at += len(empty)
+        self.states[lanes] = states
 
 
 def encode_ids(ids: np.ndarray, vocabulary: int) -> bytes:
-    """Coded ids: lengths of the lanes, then their 16-bit words."""
+    """Coded ids: last states of the lanes, then the 32-bit words in the order of reading."""
     n = len(ids)
     if not n:
         return b""
@@ -211,8 +190,8 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = grid.reshape(lanes, steps).T.copy()
-    active = np.array([min(lanes, max(0, -(-(n - i) // steps))) for i in range(steps)])
-    models, writer = _Models(lanes, vocabulary), _Writer(lanes, steps)
+    active = [min(lanes, max(0, -(-(n - i) // steps))) for i in range(steps)]
+    models, intervals = _Models(lanes, vocabulary, n), []
     for now, held in zip(grid, active):
         second, first, part2, part1 = (x[:held] for x in models.predict())
         mine = now[:held]
@@ -220,40 +199,43 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> bytes:
         is1 = ~is2 & (mine == first)
         start = np.where(is2, 0, np.where(is1, part2, part2 + part1))
         part = np.where(is2, part2, np.where(is1, part1, 65536 - part2 - part1))
-        writer.code(slice(0, held), start, part)
         rest = np.flatnonzero(~is2 & ~is1)
-        if len(rest):
-            start, part = _interval(models, mine[rest])
-            writer.code(rest, start, part, int(models.limits[-1]))
+        low = models.limits[mine[rest]]
+        intervals.append((start, part, rest, low, models.limits[mine[rest] + 1] - low))
         models.learn(now, held)
-    lengths, words = writer.finish()
-    return lengths.astype("<u4").tobytes() + words
+    states, words = np.full(lanes, _LOW), []
+    for held, (start, part, rest, low, size) in zip(reversed(active), reversed(intervals)):
+        if len(rest):
+            states[rest], shed = _take_in(states[rest], low, size, models.scale)
+            words.append(shed)
+        states[:held], shed = _take_in(states[:held], start, part, _SCALE)
+        words.append(shed)
+    return states.astype("<u8").tobytes() + np.concatenate(words[::-1]).astype("<u4").tobytes()
 
 
 def decode_ids(data: bytes, n: int, lanes: int, vocabulary: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     steps = -(-n // lanes)
-    lengths = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    reader = _Reader(lengths, np.frombuffer(data, "<u2", offset=4 * lanes))
-    models = _Models(lanes, vocabulary)
+    reader = _Reader(np.frombuffer(data, "<u8", lanes), np.frombuffer(data, "<u4", offset=8 * lanes))
+    models = _Models(lanes, vocabulary, n)
     grid = np.zeros((steps, lanes), np.int64)
     for i in range(steps):
         held = min(lanes, max(0, -(-(n - i) // steps)))
         second, first, part2, part1 = (x[:held] for x in models.predict())
-        target = reader.target(slice(0, held))
+        target = reader.target(slice(0, held), _SCALE)
         is2 = target < part2
         is1 = ~is2 & (target < part2 + part1)
         start = np.where(is2, 0, np.where(is1, part2, part2 + part1))
         part = np.where(is2, part2, np.where(is1, part1, 65536 - part2 - part1))
-        reader.consume(slice(0, held), start, part)
+        reader.consume(slice(0, held), target, start, part, _SCALE)
         now = np.where(is2, second, first)
         rest = np.flatnonzero(~is2 & ~is1)
         if len(rest):
-            target = reader.target(rest, int(models.limits[-1]))
-            found = np.searchsorted(models.limits, target, "right") - 1
-            now[rest] = found
-            reader.consume(rest, *_interval(models, found))
+            target = reader.target(rest, models.scale)
+            now[rest] = found = models.at(target)
+            low = models.limits[found]
+            reader.consume(rest, target, low, models.limits[found + 1] - low, models.scale)
         grid[i, :held] = now
         models.learn(grid[i], held)
     return grid.T.reshape(-1)[:n].astype(np.uint32)

@@ -75,13 +75,16 @@ def _encode(path: str, end: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, blocks = shared_encoder(IdWriter, settled), _Blocks(TaskContext.get().partitionId(), size)
-        last = end.to_bytes(4, "little")
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                ids = np.frombuffer((writer.of_text(text) if text else b"") + last, "<u4")
-                for row in blocks.add(doc, ids):
+            ids, counts = writer.of_column(batch.column(1))
+            ends = np.cumsum(counts)
+            ids = np.insert(ids, ends, end)     # after each document
+            ends += np.arange(1, len(ends) + 1)
+            start = 0
+            for doc, upto in zip(batch.column(0).to_pylist(), ends.tolist()):
+                for row in blocks.add(doc, ids[start:upto]):
                     yield _batch([row])
+                start = upto
         if blocks.held:
             yield _batch([blocks.close()])
 

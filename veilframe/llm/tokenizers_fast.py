@@ -6,6 +6,10 @@ looked up in a bounded memory, and only unseen ones are split into pre-tokens an
 What Python's character classes and the library's could see differently is settled offline, once for a process: every
 code point below 2**16 is tried in several surroundings, and those with any difference are listed. A text with such a
 code point, with one above, or with the string of a special token is given to the library as a whole.
+
+Ids of whole columns (``IdWriter.of_column``) take the same cuts, but Arrow splits the texts and finds the distinct
+stretches, the merges of all unseen pre-tokens run side by side in numpy (``Merges``), and the ids are put together by
+one gather.
 """
 
 from __future__ import annotations
@@ -17,22 +21,35 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 SLICE = 1 << 20         # characters handled at a time
 MEMORY = 32 << 20       # bytes that one memory of an encoder may take, in each of two generations
+STRETCH = 8 << 20       # bytes of texts whose distinct stretches are looked up together
 
 # The splitting rules of the two vocabularies, in the terms of Python's re.
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# The same over stretches that are joined by a NUL, which is a piece of its own and where a text may end.
+_BYTE_JOINED = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w\x00]|_)+|\s+(?![^\s\x00])|\s+")
+_WORD_JOINED = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w\x00]|_)+")
 # Byte-level vocabularies write a byte as itself if it is printable, else as a character above 255.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {
     b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 _TO_CHARS = {b: c for b, c in BYTE_CHARS.items()}
 
+# Last bytes, in UTF-8, of the characters of white space.
+_SPACE_ENDS = np.zeros(256, bool)
+_SPACE_ENDS[[chr(k).encode()[-1] for k in range(1 << 16) if chr(k).isspace()]] = True
+
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 _RUNS = re.compile(r"(\s\s+)")
 
@@ -219,6 +236,133 @@ class _Encoder:
         return self.join(found)
 
 
+class Merges:
+    """The merges of a byte-level vocabulary, made for many pre-tokens at once.
+
+    Every round merges the pair of least rank, the first of equal ones, in each pre-token that has any: what the
+    library's model does for one at a time. ``make`` gives None for a model with rules beyond that.
+    """
+
+    LONGEST = 32                # bytes; longer pre-tokens are left to the library
+    STEPS = (4, 6, 8, 11, 15, 21, 32)   # pre-tokens of like lengths are handled together
+
+    def __init__(self, first: np.ndarray, last: np.ndarray, pairs: np.ndarray, made: np.ndarray) -> None:
+        self.first, self.last = first, last     # ids of a byte, and of a byte at the end
+        self.none = len(pairs)                  # rank of what is no pair
+        self.made = np.append(made, 0).astype(np.int32)
+        self.bits = max(10, (4 * len(pairs)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int32)
+        left, place = np.arange(len(pairs)), self._places(pairs)
+        while len(left):    # an occupied place is passed over
+            free = self.keys[place] < 0
+            _, chosen = np.unique(np.where(free, place, -1), return_index=True)
+            chosen = chosen[free[chosen]]
+            self.keys[place[chosen]], self.ranks[place[chosen]] = pairs[left[chosen]], left[chosen]
+            stays = np.ones(len(left), bool)
+            stays[chosen] = False
+            left, place = left[stays], place[stays]
+            place = np.where(self.keys[place] >= 0, (place + 1) & ((1 << self.bits) - 1), place)
+
+    @classmethod
+    def make(cls, path: str, kind: str) -> Merges | None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        if kind == "other" or any(model.get(x) for x in ("ignore_merges", "byte_fallback", "continuing_subword_prefix", "dropout")):
+            return None
+        try:
+            first, last = (np.array([vocab[BYTE_CHARS[b] + end] for b in range(256)], np.int32) for end in ("", suffix))
+            merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            pairs = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64).reshape(-1)
+            made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        except (KeyError, ValueError):
+            return None
+        return cls(first, last, pairs, made) if len(np.unique(pairs)) == len(pairs) else None
+
+    def _places(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs >> 32) * 0x9E3779B1 + (pairs & 0xFFFFFFFF) * 0x85EBCA77 >> 9) & ((1 << self.bits) - 1)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair; an id of -1 is in none."""
+        pairs = a.astype(np.int64) << 32 | b.astype(np.int64) & 0xFFFFFFFF
+        place = self._places(pairs)
+        held = self.keys[place]
+        found = np.where(held == pairs, self.ranks[place], self.none)
+        left = np.flatnonzero((held != pairs) & (held >= 0))
+        while len(left):
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[place[left]]
+            hit = held == pairs[left]
+            found[left[hit]] = self.ranks[place[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return found
+
+    def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of 1 to ``LONGEST`` bytes, one after the other, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        grid, counts = np.full((len(pieces), self.LONGEST), -1, np.int32), sizes.copy()
+        shorter = 0
+        for longest in self.STEPS:
+            rows = np.flatnonzero((sizes > shorter) & (sizes <= longest))
+            shorter = longest
+            if len(rows):
+                self._merge(rows, longest, data, starts[rows], sizes[rows], grid, counts)
+        return grid[np.arange(self.LONGEST) < counts[:, None]].astype(np.uint32), counts
+
+    def _merge(self, rows, longest, data, starts, sizes, grid, counts) -> None:
+        ids = np.full((longest + 1, len(rows)), -1, np.int32)     # by place, then by pre-token
+        for k in range(longest):
+            has = sizes > k
+            ids[k, has] = self.first[data[starts[has] + k]]
+        ids[sizes - 1, np.arange(len(rows))] = self.last[data[starts + sizes - 1]]
+        ranks = np.stack([self.rank(ids[k], ids[k + 1]) for k in range(longest)])
+        while True:
+            best = ranks.min(0)
+            on = best < self.none
+            if not on.all():
+                done = ~on
+                grid[rows[done], :len(ids) - 1] = ids[:-1, done].T
+                counts[rows[done]] = (ids[:, done] >= 0).sum(0)
+                if not on.any():
+                    return
+                rows, best, ids, ranks = rows[on], best[on], ids[:, on], ranks[:, on]
+            column = np.arange(len(rows))
+            # the first: from it on, the least rank has been met
+            at = len(ranks) - np.logical_or.accumulate(ranks == best, 0).sum(0, dtype=np.int8).astype(np.int64)
+            for k in range(1, len(ids) - 1):    # what comes after moves up by one place
+                after = at < k
+                np.copyto(ids[k], ids[k + 1], where=after)
+                np.copyto(ranks[k], ranks[k + 1] if k + 1 < len(ranks) else self.none, where=after)
+            ids, ranks = ids[:-1], ranks[:-1]   # each has lost one id
+            ids = np.concatenate((ids, np.full((1, len(rows)), -1, np.int32))) if len(ids) < 2 else ids
+            made = self.made[best]
+            ids[at, column] = made
+            if not len(ranks):
+                ranks = np.full((1, len(rows)), self.none, np.int32)
+                continue
+            inner = at < len(ranks)
+            ranks[at[inner], column[inner]] = self.rank(made[inner], ids[at[inner] + 1, column[inner]])
+            inner = at > 0
+            ranks[at[inner] - 1, column[inner]] = self.rank(ids[at[inner] - 1, column[inner]], made[inner])
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches, put together."""
+    ends = np.cumsum(sizes)
+    found = np.repeat(starts - (ends - sizes), sizes)
+    found += np.arange(len(found))
+    return found
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches, of which some may be empty."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
 class Counter(_Encoder):
     """Number of tokens: 1 for a proven whole token; the rest is merged."""
 
@@ -236,6 +380,131 @@ class IdWriter(_Encoder):
 
     join = staticmethod(b"".join)
 
+    def __init__(self, settled: Plan) -> None:
+        super().__init__(settled)
+        self.merges = Merges.make(settled.path, settled.kind)
+        # a special token with white space inside could lie across stretches
+        self.by_column = self.merges is not None and not any(
+            any(c.isspace() for c in x.content) for x in self.tok.get_added_tokens_decoder().values())
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pre-tokens that were merged, by number, and where their ids stand."""
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.held = 0
+
+    def of_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has. Null texts have none."""
+        found, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, "right")))
+            ids, sizes = self._of_stretch(pc.fill_null(texts.slice(at, upto - at), ""))
+            found.append(ids)
+            counts.append(sizes)
+            at = upto
+        return np.concatenate(found), np.concatenate(counts)
+
+    def _one_by_one(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.of_text(text) if text else b"" for text in texts.to_pylist()]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _of_stretch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_column or pc.sum(pc.binary_length(texts)).as_py() > 4 * STRETCH:
+            return self._one_by_one(texts)
+        parts = pc.split_pattern(texts, " ")
+        per_text = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(per_text) - per_text
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slow = np.zeros(len(texts), bool)
+        joined = " ".join(chunks)
+        if "\0" in joined or self.unsafe.search(joined):
+            unsafe = np.fromiter(("\0" in c or self.unsafe.search(c) is not None for c in chunks), bool, len(chunks))
+            chunks = [c.replace("\0", "") for c in chunks]
+            slow |= _sums(unsafe[codes], per_text) > 0
+        byte = self.plan.kind == "byte"
+        alpha = [c.isalpha() for c in chunks]
+        if byte:
+            # white space may go on after a stretch that is empty or ends with it, unless the text begins or ends there
+            open_ = self._open(coded.dictionary, chunks)[codes]
+            open_[first + per_text - 1] = False
+            empty = codes[first] == (chunks.index("") if "" in chunks else -1)
+            open_[first[empty]] = False
+            slow |= _sums(open_, per_text) > 0
+            # what begins a text has no space before it: it gets numbers of its own
+            begins, codes[first] = np.unique(codes[first], return_inverse=True)
+            codes[first] += len(chunks)
+            words = [" " + c for c in compress(chunks, alpha)]
+            rest = [*(" " + c for c in compress(chunks, map(not_, alpha))), *(chunks[k] for k in begins.tolist())]
+            alpha += [False] * len(begins)
+        else:
+            lower = [c.lower() for c in chunks]
+            alpha = [x.isalpha() for x in lower]     # small letters may hold marks
+            words = list(compress(lower, alpha))
+            rest = [" ".join([x.lower() for x in c.split()]) for c in compress(chunks, map(not_, alpha))]
+        found = (_BYTE_JOINED if byte else _WORD_JOINED).findall("\0".join(rest) + "\0") if rest else []
+        marks = np.flatnonzero(np.fromiter(map("\0".__eq__, found), bool, len(found)))
+        many = np.diff(marks, prepend=-1) - 1
+        numbers = self._numbers([*words, *filter("\0".__ne__, found)])
+        # the chunks that are one word come first
+        places = np.empty(len(alpha), np.int64)
+        is_word = np.array(alpha, bool)
+        places[is_word], places[~is_word] = np.arange(len(words)), np.arange(len(words), len(alpha))
+        codes = places[codes]
+        many = np.concatenate((np.ones(len(words), np.int64), many))
+        # of a chunk: its ids stand together
+        ids = self.flat[spread(self.starts[numbers], self.sizes[numbers])]
+        sizes = _sums(self.sizes[numbers], many)
+        ends = np.cumsum(sizes)
+        found, counts = ids[spread((ends - sizes)[codes], sizes[codes])], _sums(sizes[codes], per_text)
+        if not slow.any():
+            return found, counts
+        cut = np.split(found, np.cumsum(counts)[:-1])
+        for k in np.flatnonzero(slow).tolist():
+            text = texts[k].as_py()
+            cut[k] = np.frombuffer(self.of_text(text) if text else b"", "<u4")
+            counts[k] = len(cut[k])
+        return np.concatenate(cut), counts
+
+    @staticmethod
+    def _open(values: pa.Array, chunks: list[str]) -> np.ndarray:
+        """Which are empty or end with white space."""
+        ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+        data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+        found = ends[1:] == ends[:-1]
+        if len(data):
+            maybe = np.flatnonzero(~found & _SPACE_ENDS[data[np.maximum(ends[1:] - 1, 0)]])
+            found[maybe] = [chunks[k][-1].isspace() for k in maybe.tolist()]
+        return found
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of pre-tokens, after what was not known has been merged."""
+        if self.held > 4 * MEMORY:
+            self._forget()
+        known = self.known
+        found = list(map(known.get, pieces))
+        if None in found:
+            missing = [k for k, number in enumerate(found) if number is None]
+            new = list(dict.fromkeys([pieces[k] for k in missing]))
+            in_utf8 = [x.encode() for x in new]
+            short = np.fromiter(map(len, in_utf8), np.int64, len(new)) <= Merges.LONGEST
+            ids, sizes = self.merges.ids([x for x, ok in zip(in_utf8, short.tolist()) if ok])
+            order = np.concatenate((np.flatnonzero(short), np.flatnonzero(~short)))
+            rest = [self.of_piece(new[k]) for k in np.flatnonzero(~short).tolist()]
+            sizes = np.concatenate((sizes, np.fromiter((len(x) // 4 for x in rest), np.int64, len(rest))))
+            starts = np.cumsum(sizes) - sizes + len(self.flat)
+            self.flat = np.concatenate((self.flat, ids, np.frombuffer(b"".join(rest), "<u4")))
+            self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
+            base = len(known)
+            known.update(zip([new[k] for k in order.tolist()], range(base, base + len(new))))
+            self.held += sum(map(len, in_utf8)) + len(new) * 180 + 4 * int(sizes.sum())
+            for k in missing:
+                found[k] = known[pieces[k]]
+        return np.array(found, np.int64)
+
     def of_piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(in_bytes(piece))]
         return struct.pack(f"<{len(ids)}I", *ids)
