@@ -8,13 +8,16 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from veilframe.llm import alignment
 from veilframe.llm.alignment import alignments, diagonal_runs
 from veilframe.llm.prefix_trie import prefix_trie
+from veilframe.llm.tokenizers_fast import plan
 from veilframe.llm.weak_rules import COUNTS, estimate, text_counts, votes, weak_quality
 
 LEFT, RIGHT = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -95,6 +98,16 @@ def test_alignment_equals_the_plain_one(spark, frequent):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_alignment_of_a_column_in_slices(monkeypatch):
+    monkeypatch.setattr(alignment, "SLICE", 7)
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(TEXTS))), "doc_id": list(range(len(TEXTS))), "text": [text or "" for text in TEXTS]})
+    got = pa.Table.from_batches(alignment._aligned(plan(LEFT), RIGHT)(iter([batch]))).to_pylist()
+    ids = list(alignment.both_ids(batch.column("text"), plan(LEFT), RIGHT))
+    for mine, x, want in zip(got, ids, _plain_alignment(TEXTS), strict=True):
+        assert (mine["n_a"], mine["n_b"], mine["n_groups"], mine["groups_sha256"]) == (*want[:3], want[-1])
+        assert (0, 0) == want[:2] if x is None else tuple(map(len, x)) == want[:2]
+
+
 def test_alignment_of_an_empty_table(spark):
     assert alignments(spark.createDataFrame([], "doc_id long, text string"), LEFT, RIGHT).collect() == []
 

@@ -16,18 +16,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, q, text_or_empty
-from .tokenizers_fast import BYTE_CHARS, Plan, PlainIdWriter, plan, shared_encoder, tokenizer
+from .tokenizers_fast import BYTE_CHARS, Plan, PlainIdWriter, plan, shared_encoder, spread, tokenizer
 
 FREQUENT = 1 << 18      # pairs that are sent to every task, 17 bytes each
 ID_BITS = 32
+SLICE = 1 << 16         # tokens that are spelt out at a time
 MARK = "▁"         # fixed value: how pieces write a space
 
 Run = tuple[int, int, int, int, int]   # (i, i2, j, j2, n), see diagonal_runs
@@ -86,30 +87,61 @@ def _links(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Of a vocabulary: the bytes of each id, their number, and the id as text behind each separator."""
+    """Of a vocabulary: the bytes of each id, their number, and the id in decimal."""
 
     def __init__(self, tokens: list[bytes]) -> None:
         self.bytes = tokens
         self.sizes = np.array([len(x) for x in tokens], np.int64)
-        self.semicolon, self.comma, self.bar = ([f"{mark}{k}" for k in range(len(tokens))] for mark in ";,|")
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        names = [b",%d" % k for k in range(len(tokens))]    # the separator is put in where it is used
+        self.names = np.frombuffer(b"".join(names), np.uint8)
+        self.name_sizes = np.array([len(x) for x in names], np.int64)
+        self.name_starts = np.cumsum(self.name_sizes) - self.name_sizes
+
+    def gives(self, ids: np.ndarray, whole: bytes) -> bool:
+        """Whether the ids' bytes are ``whole``."""
+        sizes = self.sizes[ids]
+        if int(sizes.sum()) != len(whole):
+            return False
+        data, at = np.frombuffer(whole, np.uint8), 0
+        for k in range(0, len(ids), SLICE):
+            part = self.flat[spread(self.starts[ids[k:k + SLICE]], sizes[k:k + SLICE])]
+            if not np.array_equal(part, data[at:at + len(part)]):
+                return False
+            at += len(part)
+        return True
+
+
+def _digest(a: np.ndarray, b: np.ndarray, runs: list[Run], left: Words, right: Words) -> str:
+    """SHA-256 of ``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+    table = np.array(runs, np.int64).reshape(-1, 5)
+    groups = np.maximum(table[:, 4], 1)
+    one = table[:, 4] > 0
+    size_a = np.repeat(np.where(one, 1, table[:, 1] - table[:, 0]), groups)
+    size_b = np.repeat(np.where(one, 1, table[:, 3] - table[:, 2]), groups)
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    # a group's second ids stand behind its first ones
+    place_a = np.arange(len(a)) + np.repeat(end_b - size_b, size_a)
+    place_b = np.arange(len(b)) + np.repeat(end_a, size_b)
+    n = len(a) + len(b)
+    starts, sizes, marks = np.empty(n, np.int64), np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+    starts[place_a], sizes[place_a] = left.name_starts[a], left.name_sizes[a]
+    starts[place_b], sizes[place_b] = right.name_starts[b] + len(left.names), right.name_sizes[b]
+    marks[place_a[end_a - size_a]], marks[place_b[end_b - size_b]] = ord(";"), ord("|")
+    names = _names(left, right)
+    found = hashlib.sha256()
+    for k in range(0, n, SLICE):
+        many = sizes[k:k + SLICE]
+        text = names[spread(starts[k:k + SLICE], many)]
+        text[np.cumsum(many) - many] = marks[k:k + SLICE]
+        found.update(text[0 if k else 1:])     # the first separator ends nothing
+    return found.hexdigest()
 
 
-def groups_text(a: list[int], b: list[int], runs: list[Run], left: Words, right: Words) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    first, second = [left.semicolon[x] for x in a], [right.bar[y] for y in b]
-    parts: list[str] = []
-    add, extend = parts.append, parts.extend
-    for i, i2, j, j2, n in runs:
-        if n > 1:
-            extend(chain.from_iterable(zip(first[i:i2], second[j:j2])))
-            continue
-        add(first[i])
-        if i2 - i > 1:
-            extend([left.comma[x] for x in a[i + 1:i2]])
-        add(second[j])
-        if j2 - j > 1:
-            extend([right.comma[y] for y in b[j + 1:j2]])
-    return "".join(parts)[1:]
+@lru_cache(maxsize=2)
+def _names(left: Words, right: Words) -> np.ndarray:
+    return np.concatenate((left.names, right.names))
 
 
 @lru_cache(maxsize=2)
@@ -139,23 +171,26 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def both_ids(text: str, settled: Plan, right_path: str) -> tuple[list[int], list[int]] | None:
-    """Ids of the text with a space before it under both vocabularies; None if either does not give its bytes back."""
-    whole = b" " + text.encode()
+def both_ids(texts: pa.Array, settled: Plan, right_path: str) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Ids of each text with a space before it under both vocabularies; None if either does not give its bytes back, or there is none."""
     left, right = byte_words(settled.path), pieces(right_path)
-    a = np.frombuffer(shared_encoder(PlainIdWriter, settled).of_text(" " + text), "<u4").tolist()
-    b = right.model.encode(text)
-    if b"".join([left.bytes[x] for x in a]) != whole or b"".join([right.words.bytes[y] for y in b]) != whole:
-        return None
-    return a, b
+    ids, counts = shared_encoder(PlainIdWriter, settled).of_column(pc.binary_join_element_wise(pa.scalar(""), texts, pa.scalar(" ")))
+    at = 0
+    for text, n in zip(texts, counts.tolist()):
+        text, a, at = text.as_py(), ids[at:at + n], at + n
+        if not text:
+            yield None
+            continue
+        whole = b" " + text.encode()
+        b = np.array(right.model.encode(text), np.int64)
+        yield (a.astype(np.int64), b) if left.gives(a, whole) and right.words.gives(b, whole) else None
 
 
-def align(a: list[int], b: list[int], left: Words, right: Words) -> tuple[list[Run], np.ndarray, np.ndarray]:
+def align(a: np.ndarray, b: np.ndarray, left: Words, right: Words) -> tuple[list[Run], np.ndarray, np.ndarray]:
     """The runs of groups, and the ids of both tokens of each link."""
-    at_a, at_b = np.array(a, np.int64), np.array(b, np.int64)
-    runs = diagonal_runs(np.cumsum(left.sizes[at_a]).tolist(), np.cumsum(right.sizes[at_b]).tolist())
+    runs = diagonal_runs(np.cumsum(left.sizes[a]).tolist(), np.cumsum(right.sizes[b]).tolist())
     i, j = _links(runs)
-    return runs, at_a[i], at_b[j]
+    return runs, a[i], b[j]
 
 
 _LOCAL = "n_a long, n_b long, n_groups long, groups_sha256 string"     # what needs no other document
@@ -168,15 +203,13 @@ def _aligned(settled: Plan, right_path: str):
         left, right = byte_words(settled.path), pieces(right_path).words
         for batch in batches:
             out: dict[str, list] = {name: [] for name in ("n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times")}
-            for text in batch.column(2):
-                text = text.as_py()
-                ids = both_ids(text, settled, right_path) if text else None
+            for ids in both_ids(batch.column(2), settled, right_path):
                 if ids is None:
                     values = (0, 0, 0, "", b"", b"")
                 else:
                     runs, x, y = align(*ids, left, right)
                     found, times = np.unique((x << ID_BITS) | y, return_counts=True)
-                    values = (len(ids[0]), len(ids[1]), len(x), hashlib.sha256(groups_text(*ids, runs, left, right).encode()).hexdigest(),
+                    values = (len(ids[0]), len(ids[1]), len(x), _digest(*ids, runs, left, right),
                               found.astype("<i8").tobytes(), times.astype("<i8").tobytes())
                 for column, value in zip(out.values(), values):
                     column.append(value)
