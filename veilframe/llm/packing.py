@@ -38,15 +38,17 @@ def piece_column(path: str, end: int = END, length: int = LENGTH, ids: bool = Tr
 
     @F.arrow_udf(_PIECE)
     def pieces(texts: pa.Array) -> pa.Array:
-        encode = shared_encoder(IdWriter, settled).of_text
+        tokens, counts = shared_encoder(IdWriter, settled).of_column(texts)
+        body_of, at = memoryview(tokens.astype("<u4").tobytes()), 0
         number, start, size, body, crc, offsets = [], [], [], [], [], [0]
-        for x in texts:
-            text = x.as_py()
-            whole = memoryview((encode(text) if text else b"") + last)
-            for k in range(0, len(whole), 4 * length):
-                part = whole[k:k + 4 * length]
-                number.append(k // (4 * length))
-                start.append(k // 4)
+        for n in counts.tolist():
+            own, at = body_of[4 * at:4 * (at + n)], at + n
+            for k in range(0, n + 1, length):
+                part = own[4 * k:4 * (k + length)]
+                if k + length > n:  # the last one
+                    part = bytes(part) + last
+                number.append(k // length)
+                start.append(k)
                 size.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
                 if ids:
