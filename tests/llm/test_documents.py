@@ -1,8 +1,10 @@
 """Operators over documents, each against a plain statement of what it should do."""
 
+import gc
 import hashlib
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -315,6 +317,21 @@ def test_unseen_words_are_merged_without_the_librarys_model(path):
     assert ids.tolist() == [x for text in texts for x in library.encode(text, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_what_is_remembered_of_words_is_small(path):
+    letters = str.maketrans("0123456789", "qwertyuiop")
+    own = IdWriter(plan(path))
+    texts = pa.array([" ".join(str(n).translate(letters) for n in range(k, k + 200)) for k in range(100_000, 200_000, 200)])
+    gc.collect()
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    own.of_column(texts)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(own.known) >= 99_000 and held < 80 * len(own.known), held
+
+
 def test_whole_tokens_are_proven():
     library, settled = Tokenizer.from_file(BYTE), plan(BYTE)
     assert " the" in settled.whole and len(settled.whole) > 40_000 and len(BYTE_CHARS) == 256

@@ -39,7 +39,7 @@ def piece_column(path: str, end: int = END, length: int = LENGTH, ids: bool = Tr
     @F.arrow_udf(_PIECE)
     def pieces(texts: pa.Array) -> pa.Array:
         tokens, counts = shared_encoder(IdWriter, settled).of_column(texts)
-        body_of, at = memoryview(tokens.astype("<u4").tobytes()), 0
+        body_of, at = memoryview(np.ascontiguousarray(tokens, "<u4").view(np.uint8)), 0     # not copied
         number, start, size, body, crc, offsets = [], [], [], [], [], [0]
         for n in counts.tolist():
             own, at = body_of[4 * at:4 * (at + n)], at + n

@@ -300,9 +300,11 @@ class Merges:
     def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens of 1 to ``LONGEST`` bytes, one after the other, and how many each has."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        grid, counts = np.full((len(pieces), self.LONGEST), -1, np.int32), sizes.copy()
+        return self.of_bytes(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+    def of_bytes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pre-tokens that stand in ``data``."""
+        grid, counts = np.full((len(sizes), self.LONGEST), -1, np.int32), sizes.copy()
         shorter = 0
         for longest in self.STEPS:
             rows = np.flatnonzero((sizes > shorter) & (sizes <= longest))
@@ -356,6 +358,16 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return found
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings, and where each begins and the last one ends."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), ends
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches, of which some may be empty."""
     total = np.concatenate(([0], np.cumsum(values)))
@@ -389,8 +401,8 @@ class IdWriter(_Encoder):
         self._forget()
 
     def _forget(self) -> None:
-        """Pre-tokens that were merged, by number, and where their ids stand."""
-        self.known: dict[str, int] = {}
+        """Pre-tokens that were merged, in the order of their numbers, and where their ids stand."""
+        self.known = pa.array([], pa.string())
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.held = 0
 
@@ -404,6 +416,7 @@ class IdWriter(_Encoder):
             found.append(ids)
             counts.append(sizes)
             at = upto
+        pa.default_memory_pool().release_unused()    # what Arrow keeps of the stretches
         return np.concatenate(found), np.concatenate(counts)
 
     def _one_by_one(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -418,43 +431,53 @@ class IdWriter(_Encoder):
         first = np.cumsum(per_text) - per_text
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = coded.dictionary
         slow = np.zeros(len(texts), bool)
-        joined = " ".join(chunks)
+        data, ends = _layout(values)
+        joined = str(data[ends[0]:ends[-1]], "utf-8")
         if "\0" in joined or self.unsafe.search(joined):
-            unsafe = np.fromiter(("\0" in c or self.unsafe.search(c) is not None for c in chunks), bool, len(chunks))
-            chunks = [c.replace("\0", "") for c in chunks]
-            slow |= _sums(unsafe[codes], per_text) > 0
+            slow |= _sums(np.fromiter(("\0" in c or self.unsafe.search(c) is not None for c in _strings(values)), bool, len(values))[codes], per_text) > 0
         byte = self.plan.kind == "byte"
-        alpha = [c.isalpha() for c in chunks]
+        # a chunk of letters is one word; what is not ASCII is asked of Python
+        plain = pc.ascii_is_alpha(values).to_numpy(zero_copy_only=False)
+        others = _strings(values.filter(pa.array(~plain)))
+        if "\0" in joined:      # between the chunks that are split together
+            others = [c.replace("\0", "") for c in others]
+        values_plain = values.filter(pa.array(plain))
         if byte:
             # white space may go on after a stretch that is empty or ends with it, unless the text begins or ends there
-            open_ = self._open(coded.dictionary, chunks)[codes]
+            open_ = self._open(values)[codes]
             open_[first + per_text - 1] = False
-            empty = codes[first] == (chunks.index("") if "" in chunks else -1)
-            open_[first[empty]] = False
+            open_[first[codes[first] == pc.index(values, "").as_py()]] = False
             slow |= _sums(open_, per_text) > 0
             # what begins a text has no space before it: it gets numbers of its own
             begins, codes[first] = np.unique(codes[first], return_inverse=True)
-            codes[first] += len(chunks)
-            words = [" " + c for c in compress(chunks, alpha)]
-            rest = [*(" " + c for c in compress(chunks, map(not_, alpha))), *(chunks[k] for k in begins.tolist())]
-            alpha += [False] * len(begins)
+            codes[first] += len(values)
+            alpha = [c.isalpha() for c in others]
+            words = pc.binary_join_element_wise(pa.scalar(" "), values_plain, pa.scalar(""))
+            more = [" " + c for c in compress(others, alpha)]
+            rest = [*(" " + c for c in compress(others, map(not_, alpha))),
+                    *(c.replace("\0", "") for c in _strings(values.take(pa.array(begins))))]
         else:
-            lower = [c.lower() for c in chunks]
+            begins, lower = (), [c.lower() for c in others]
             alpha = [x.isalpha() for x in lower]     # small letters may hold marks
-            words = list(compress(lower, alpha))
-            rest = [" ".join([x.lower() for x in c.split()]) for c in compress(chunks, map(not_, alpha))]
+            words = pc.ascii_lower(values_plain)
+            more = list(compress(lower, alpha))
+            rest = [" ".join([x.lower() for x in c.split()]) for c in compress(others, map(not_, alpha))]
         found = (_BYTE_JOINED if byte else _WORD_JOINED).findall("\0".join(rest) + "\0") if rest else []
         marks = np.flatnonzero(np.fromiter(map("\0".__eq__, found), bool, len(found)))
         many = np.diff(marks, prepend=-1) - 1
-        numbers = self._numbers([*words, *filter("\0".__ne__, found)])
+        pieces = pa.array([*more, *filter("\0".__ne__, found)], pa.string())
+        numbers = self._numbers(pa.concat_arrays([words, pieces]))
         # the chunks that are one word come first
-        places = np.empty(len(alpha), np.int64)
-        is_word = np.array(alpha, bool)
-        places[is_word], places[~is_word] = np.arange(len(words)), np.arange(len(words), len(alpha))
+        rank = np.ones(len(values) + len(begins), np.int8)
+        rank[:len(values)][plain] = 0
+        rank[np.flatnonzero(~plain)[~np.array(alpha, bool)]] = 2
+        rank[len(values):] = 2
+        places = np.empty(len(rank), np.int64)
+        places[np.argsort(rank, kind="stable")] = np.arange(len(rank))
         codes = places[codes]
-        many = np.concatenate((np.ones(len(words), np.int64), many))
+        many = np.concatenate((np.ones(len(words) + len(more), np.int64), many))
         # of a chunk: its ids stand together
         ids = self.flat[spread(self.starts[numbers], self.sizes[numbers])]
         sizes = _sums(self.sizes[numbers], many)
@@ -470,40 +493,40 @@ class IdWriter(_Encoder):
         return np.concatenate(cut), counts
 
     @staticmethod
-    def _open(values: pa.Array, chunks: list[str]) -> np.ndarray:
+    def _open(values: pa.Array) -> np.ndarray:
         """Which are empty or end with white space."""
-        ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
-        data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+        data, ends = _layout(values)
         found = ends[1:] == ends[:-1]
         if len(data):
             maybe = np.flatnonzero(~found & _SPACE_ENDS[data[np.maximum(ends[1:] - 1, 0)]])
-            found[maybe] = [chunks[k][-1].isspace() for k in maybe.tolist()]
+            found[maybe] = [c[-1].isspace() for c in _strings(values.take(pa.array(maybe)))]
         return found
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """Numbers of pre-tokens, after what was not known has been merged."""
-        if self.held > 4 * MEMORY:
+        if self.held > MEMORY:
             self._forget()
-        known = self.known
-        found = list(map(known.get, pieces))
-        if None in found:
-            missing = [k for k, number in enumerate(found) if number is None]
-            new = list(dict.fromkeys([pieces[k] for k in missing]))
-            in_utf8 = [x.encode() for x in new]
-            short = np.fromiter(map(len, in_utf8), np.int64, len(new)) <= Merges.LONGEST
-            ids, sizes = self.merges.ids([x for x, ok in zip(in_utf8, short.tolist()) if ok])
-            order = np.concatenate((np.flatnonzero(short), np.flatnonzero(~short)))
-            rest = [self.of_piece(new[k]) for k in np.flatnonzero(~short).tolist()]
+        numbers = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            coded = pieces.take(pa.array(missing)).dictionary_encode()
+            data, ends = _layout(coded.dictionary)
+            lengths = np.diff(ends).astype(np.int64)
+            short = lengths <= Merges.LONGEST
+            ids, sizes = self.merges.of_bytes(data, ends[:-1][short].astype(np.int64), lengths[short])
+            rest = [self.of_piece(x) for x in _strings(coded.dictionary.filter(pa.array(~short)))]
             sizes = np.concatenate((sizes, np.fromiter((len(x) // 4 for x in rest), np.int64, len(rest))))
             starts = np.cumsum(sizes) - sizes + len(self.flat)
+            # the short ones were merged first
+            order = np.concatenate((np.flatnonzero(short), np.flatnonzero(~short)))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            numbers[missing] = len(self.known) + place[coded.indices.to_numpy()]
             self.flat = np.concatenate((self.flat, ids, np.frombuffer(b"".join(rest), "<u4")))
             self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
-            base = len(known)
-            known.update(zip([new[k] for k in order.tolist()], range(base, base + len(new))))
-            self.held += sum(map(len, in_utf8)) + len(new) * 180 + 4 * int(sizes.sum())
-            for k in missing:
-                found[k] = known[pieces[k]]
-        return np.array(found, np.int64)
+            self.known = pa.concat_arrays([self.known, coded.dictionary.take(pa.array(order))])
+            self.held = self.known.nbytes + self.starts.nbytes + self.sizes.nbytes + self.flat.nbytes
+        return numbers
 
     def of_piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(in_bytes(piece))]
