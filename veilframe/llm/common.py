@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,6 +21,8 @@ HASH_RANGE = 1 << 62
 
 BROADCAST_BYTES = 8 << 20
 
+BATCH_BYTES = 8 << 20   # of texts that are given to Python at a time
+
 
 _shipped: set[str] = set()
 
@@ -40,6 +44,23 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What is computed inside goes to Python in batches of about ``size`` bytes, unless the session has a size of its own.
+
+    By rows alone a batch of long texts takes tens of MB, in the executor and again in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(q(name).cast("string"), F.lit(""))
 
@@ -73,4 +94,4 @@ def hashed_share(parts: list[Column], share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit(20241), *parts), F.lit(HASH_RANGE)) < F.lit(int(min(1.0, max(0.0, share)) * HASH_RANGE))
 
 
-__all__ = ["SPACE", "WORD", "BROADCAST_BYTES", "fresh", "hashed_share", "materialize", "q", "ship_package", "small_side", "text_or_empty", "word_count"]
+__all__ = ["SPACE", "WORD", "BROADCAST_BYTES", "fresh", "hashed_share", "materialize", "q", "ship_package", "small_batches", "small_side", "text_or_empty", "word_count"]

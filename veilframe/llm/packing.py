@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import materialize, q, text_or_empty
+from .common import materialize, q, small_batches, text_or_empty
 from .tokenizers_fast import IdWriter, plan, shared_encoder
 
 LENGTH = 2048
@@ -38,22 +38,23 @@ def piece_column(path: str, end: int = END, length: int = LENGTH, ids: bool = Tr
 
     @F.arrow_udf(_PIECE)
     def pieces(texts: pa.Array) -> pa.Array:
-        tokens, counts = shared_encoder(IdWriter, settled).of_column(texts)
-        body_of, at = memoryview(np.ascontiguousarray(tokens, "<u4").view(np.uint8)), 0     # not copied
         number, start, size, body, crc, offsets = [], [], [], [], [], [0]
-        for n in counts.tolist():
-            own, at = body_of[4 * at:4 * (at + n)], at + n
-            for k in range(0, n + 1, length):
-                part = own[4 * k:4 * (k + length)]
-                if k + length > n:  # the last one
-                    part = bytes(part) + last
-                number.append(k // length)
-                start.append(k)
-                size.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                if ids:
-                    body.append(bytes(part))
-            offsets.append(len(number))
+        for tokens, counts in shared_encoder(IdWriter, settled).of_stretches(texts):
+            body_of, at = memoryview(np.ascontiguousarray(tokens, "<u4").view(np.uint8)), 0     # not copied
+            for n in counts.tolist():
+                own, at = body_of[4 * at:4 * (at + n)], at + n
+                for k in range(0, n + 1, length):
+                    part = own[4 * k:4 * (k + length)]
+                    if k + length > n:  # the last one
+                        part = bytes(part) + last
+                    number.append(k // length)
+                    start.append(k)
+                    size.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if ids:
+                        body.append(bytes(part))
+                offsets.append(len(number))
+            tokens = body_of = own = part = None    # not kept while the next ones are made
         n = len(number)
         parts = pa.StructArray.from_arrays(
             [pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
@@ -269,13 +270,17 @@ def packed_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     are documents like others, an empty table gives an empty result, and other columns are not read.
     """
     pieces = token_pieces(docs, path, id_col, text_col, end, length, ids=False).withColumn("key", F.monotonically_increasing_id())
-    return pack(materialize(pieces, "pieces"), length, shard_pieces).drop("key")
+    with small_batches(docs.sparkSession):
+        written = materialize(pieces, "pieces")
+    return pack(written, length, shard_pieces).drop("key")
 
 
 def packed_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, length: int = LENGTH,
                      shard_pieces: int = SHARD) -> DataFrame:
     """One row per sequence: ``sequence_id, n_tokens, ids`` (little-endian unsigned 32 bit). Rules as in ``packed_documents``."""
-    pieces = materialize(token_pieces(docs, path, id_col, text_col, end, length).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    pieces = token_pieces(docs, path, id_col, text_col, end, length).withColumn("key", F.monotonically_increasing_id())
+    with small_batches(docs.sparkSession):
+        pieces = materialize(pieces, "pieces")
     placed = pack(pieces, length, shard_pieces)
     return placed.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"),

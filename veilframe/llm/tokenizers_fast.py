@@ -14,6 +14,7 @@ one gather.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import struct
@@ -33,6 +34,7 @@ from tokenizers import Tokenizer
 SLICE = 1 << 20         # characters handled at a time
 MEMORY = 32 << 20       # bytes that one memory of an encoder may take, in each of two generations
 STRETCH = 8 << 20       # bytes of texts whose distinct stretches are looked up together
+GATHER = 1 << 18        # stretches whose ids are put together at a time
 
 # The splitting rules of the two vocabularies, in the terms of Python's re.
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -358,6 +360,28 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return found
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """The values of stretches, put together; with ``order``, of the stretches that it numbers. Places are made for some at a time."""
+    found = [values[:0]]
+    for k in range(0, len(sizes) if order is None else len(order), GATHER):
+        some = slice(k, k + GATHER) if order is None else order[k:k + GATHER]
+        found.append(values[spread(starts[some], sizes[some])])
+    return np.concatenate(found)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim   # glibc has it
+except (AttributeError, OSError, TypeError):
+    _trim = None
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library keep goes back to the system: a worker outlives the stage that needed it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def _strings(texts: pa.Array) -> list[str]:
     return texts.to_numpy(zero_copy_only=False).tolist()
 
@@ -370,7 +394,8 @@ def _layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches, of which some may be empty."""
-    total = np.concatenate(([0], np.cumsum(values)))
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=total[1:])
     ends = np.cumsum(sizes)
     return total[ends] - total[ends - sizes]
 
@@ -408,16 +433,21 @@ class IdWriter(_Encoder):
 
     def of_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has. Null texts have none."""
-        found, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for ids, sizes in self.of_stretches(texts):
+            found.append(ids)
+            counts.append(sizes)
+        return np.concatenate(found), np.concatenate(counts)
+
+    def of_stretches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for some texts after the other, about ``STRETCH`` bytes at a time."""
+        at = 0
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, "right")))
-            ids, sizes = self._of_stretch(pc.fill_null(texts.slice(at, upto - at), ""))
-            found.append(ids)
-            counts.append(sizes)
+            yield self._of_stretch(pc.fill_null(texts.slice(at, upto - at), ""))
             at = upto
-        pa.default_memory_pool().release_unused()    # what Arrow keeps of the stretches
-        return np.concatenate(found), np.concatenate(counts)
+        give_back()
 
     def _one_by_one(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [self.of_text(text) if text else b"" for text in texts.to_pylist()]
@@ -432,6 +462,7 @@ class IdWriter(_Encoder):
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         values = coded.dictionary
+        del parts
         slow = np.zeros(len(texts), bool)
         data, ends = _layout(values)
         joined = str(data[ends[0]:ends[-1]], "utf-8")
@@ -468,7 +499,9 @@ class IdWriter(_Encoder):
         marks = np.flatnonzero(np.fromiter(map("\0".__eq__, found), bool, len(found)))
         many = np.diff(marks, prepend=-1) - 1
         pieces = pa.array([*more, *filter("\0".__ne__, found)], pa.string())
-        numbers = self._numbers(pa.concat_arrays([words, pieces]))
+        words_first, pieces = len(words) + len(more), pa.concat_arrays([words, pieces])
+        joined = others = lower = words = more = rest = found = None    # not kept while new pre-tokens are merged
+        numbers = self._numbers(pieces)
         # the chunks that are one word come first
         rank = np.ones(len(values) + len(begins), np.int8)
         rank[:len(values)][plain] = 0
@@ -477,12 +510,12 @@ class IdWriter(_Encoder):
         places = np.empty(len(rank), np.int64)
         places[np.argsort(rank, kind="stable")] = np.arange(len(rank))
         codes = places[codes]
-        many = np.concatenate((np.ones(len(words) + len(more), np.int64), many))
+        many = np.concatenate((np.ones(words_first, np.int64), many))
         # of a chunk: its ids stand together
-        ids = self.flat[spread(self.starts[numbers], self.sizes[numbers])]
+        ids = gathered(self.flat, self.starts[numbers], self.sizes[numbers])
         sizes = _sums(self.sizes[numbers], many)
         ends = np.cumsum(sizes)
-        found, counts = ids[spread((ends - sizes)[codes], sizes[codes])], _sums(sizes[codes], per_text)
+        found, counts = gathered(ids, ends - sizes, sizes, codes), _sums(sizes[codes], per_text)
         if not slow.any():
             return found, counts
         cut = np.split(found, np.cumsum(counts)[:-1])
