@@ -12,11 +12,13 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
 
-from veilframe.llm import mixing, tokenizers_fast
+from veilframe.llm import mixing, packing, tokenizers_fast
+from veilframe.llm.common import BATCH_BYTES, small_batches
 from veilframe.llm.components import connected_components
 from veilframe.llm.exact_dedup import _misra_gries, drop_exact_duplicates, exact_duplicates
 from veilframe.llm.minhash import MinMax, bands_for, drop_near_duplicates, link_forest, near_duplicates, shingle_set
@@ -332,6 +334,45 @@ def test_what_is_remembered_of_words_is_small(path):
     assert len(own.known) >= 99_000 and held < 80 * len(own.known), held
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_are_gathered_for_some_stretches_at_a_time(path, monkeypatch):
+    texts = pa.array([None, *TEXTS, "x\n\n", "two  spaces"] + ["the cat sat on the mat " * k for k in range(60)])
+    whole = IdWriter(plan(path)).of_column(texts)
+    monkeypatch.setattr(tokenizers_fast, "GATHER", 7)
+    for want, got in zip(whole, IdWriter(plan(path)).of_column(texts)):
+        assert want.tolist() == got.tolist()
+
+
+def test_packing_holds_neither_a_batch_of_ids_nor_what_was_remembered(monkeypatch):
+    monkeypatch.setattr(tokenizers_fast, "STRETCH", 1 << 18)
+    pieces = packing.piece_column(WORD, ids=False).func
+    texts = pa.array(["the cat sat on the mat " * 800] * 500)      # 9 MB
+    list(pieces(iter([texts.slice(0, 1)])))     # the encoder is made
+    gc.collect()
+    tracemalloc.start()
+    found, = pieces(iter([texts]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = 4 * pc.sum(pc.struct_field(found.flatten(), "length")).as_py()
+    assert ids > 9 << 20 and peak < ids, (peak, ids)
+    encoder = tokenizers_fast.shared_encoder(IdWriter, plan(WORD))
+    assert not len(encoder.known) and not len(encoder.flat) and not any((encoder.pieces, encoder.plain, encoder.spaced))
+
+
+def test_packing_gives_python_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark):
+        assert int(spark.conf.get(key).rstrip("b")) == BATCH_BYTES
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "1000000")
+    try:
+        with small_batches(spark):     # the session's own size stays
+            assert spark.conf.get(key).rstrip("b") == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_whole_tokens_are_proven():
     library, settled = Tokenizer.from_file(BYTE), plan(BYTE)
     assert " the" in settled.whole and len(settled.whole) > 40_000 and len(BYTE_CHARS) == 256

@@ -21,7 +21,7 @@ HASH_RANGE = 1 << 62
 
 BROADCAST_BYTES = 8 << 20
 
-BATCH_BYTES = 8 << 20   # of texts that are given to Python at a time
+BATCH_BYTES = 4 << 20   # of texts that are given to Python at a time
 
 
 _shipped: set[str] = set()

@@ -36,10 +36,9 @@ def piece_column(path: str, end: int = END, length: int = LENGTH, ids: bool = Tr
     settled = plan(path)
     last = end.to_bytes(4, "little")
 
-    @F.arrow_udf(_PIECE)
-    def pieces(texts: pa.Array) -> pa.Array:
+    def cut(encoder: IdWriter, texts: pa.Array) -> pa.Array:
         number, start, size, body, crc, offsets = [], [], [], [], [], [0]
-        for tokens, counts in shared_encoder(IdWriter, settled).of_stretches(texts):
+        for tokens, counts in encoder.of_stretches(texts):
             body_of, at = memoryview(np.ascontiguousarray(tokens, "<u4").view(np.uint8)), 0     # not copied
             for n in counts.tolist():
                 own, at = body_of[4 * at:4 * (at + n)], at + n
@@ -62,6 +61,13 @@ def piece_column(path: str, end: int = END, length: int = LENGTH, ids: bool = Tr
             names=["piece", "start", "length", "ids", "ids_crc32"])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
 
+    @F.arrow_udf(_PIECE)
+    def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = shared_encoder(IdWriter, settled)
+        for texts in columns:
+            yield cut(encoder, texts)
+        encoder.forget()
+
     return pieces
 
 

@@ -179,6 +179,10 @@ class Memory(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
+
 
 def _slices(text: str) -> Iterator[str]:
     start = 0
@@ -431,6 +435,13 @@ class IdWriter(_Encoder):
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.held = 0
 
+    def forget(self) -> None:
+        """Keep nothing of the texts so far, at the end of a task: its worker goes on to other stages."""
+        self._forget()
+        for memory in (self.pieces, self.plain, self.spaced):
+            memory.forget()
+        give_back()
+
     def of_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has. Null texts have none."""
         found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -586,7 +597,7 @@ _shared: dict[type, _Encoder] = {}
 
 
 def shared_encoder(kind: type[_Encoder], settled: Plan) -> _Encoder:
-    """The process's encoder of this kind: what it remembers serves all tasks of a Python worker.
+    """The process's encoder of this kind: what it remembers serves all tasks of a Python worker, or until ``forget``.
 
     Any other is dropped: a worker outlives the stage that it was started for.
     """
